@@ -6,24 +6,89 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import language_id, line_dedup, mixing, near_dedup, packing
+from marginalia.llm import (
+    edit_fingerprint,
+    html_text,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    pseudonyms,
+    topk,
+    url_filter,
+)
 from marginalia.llm.common import table
 
 
+#: The registered query's key; real runs pass their own secret.
+PSEUDONYM_KEY = b"registered query"
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
     )
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list lines for the hosts of ``pages`` and the domains right above them: four monthly states each.
+
+    No list comes with the tables, so its lines are hashed from the names: of the hosts, and of each month's
+    state (on the list, off it, or unchanged).
+    """
+    name = url_filter.host(F.col("url")).alias("domain")
+    hosts = pages.select(name).where("domain <> ''").distinct()
+    above = F.regexp_replace("domain", r"^[^.]+\.", "")
+    names = hosts.union(hosts.where(F.size(F.split("domain", r"\.")) > 3).select(above)).distinct()
+    months = names.select("domain", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("month"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", "domain", "month")), 1, 4), 16, 10).cast("int")
+    category = F.get(F.array(*map(F.lit, ("adult", "gambling", "spam", "malware"))), F.pmod(F.length("domain"), F.lit(4)))
+    return months.where(drawn % 3 < 2).select(
+        "domain",
+        category.alias("category"),
+        F.when(drawn % 3 == 0, "add").otherwise("remove").alias("action"),
+        F.make_timestamp(F.lit(2024), F.col("month"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"),
+    )
+
+
+def op4_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # captures have no time either: an hour of the first 150 days of 2024, hashed from the URL
+    hour = F.conv(F.substring(F.md5("url"), 1, 6), 16, 10).cast("int") % 3600
+    captures = pages.withColumn("fetched_at", F.timestamp_add("HOUR", hour, F.lit("2024-01-01 00:00:00").cast("timestamp")))
+    judged = url_filter.judge_captures(captures, list_entries(pages))
+    return judged.select(
+        "page_id", "url", "host", F.array_join("categories", ",").alias("categories"), F.coalesce("matched_domain", F.lit("")).alias("matched_domain"), "blocked"
+    )
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, key=PSEUDONYM_KEY).withColumn("pii_kinds", F.array_join("pii_kinds", ","))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return judged.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -37,8 +102,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing,
+        op2_topk_search,
         op3_line_dedup,
+        op4_temporal_url_filter,
+        op5_html_text,
         op6_minhash_dedup,
+        op7_edit_fingerprint,
+        op8_pseudonyms,
         op9_language_id,
         op10_packing,
     )

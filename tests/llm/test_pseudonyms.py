@@ -1,0 +1,65 @@
+import re
+
+import pytest
+
+from marginalia.llm.pseudonyms import PATTERN, VALID, Feistel, Pseudonyms, luhn_digit, pseudonymize
+
+P = Pseudonyms(b"k")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 73_049 // 100])
+def test_permutation(size):
+    f = Feistel(b"k" * 32, "t", size)
+    image = [f(x) for x in range(size)]
+    assert sorted(image) == list(range(size)) and [f(y, back=True) for y in image] == list(range(size))
+
+
+VALUES = [
+    "4111111111111111", "4111 1111 1111 1111", "1234567890123456", "+1 (017) 555-7713", "555-867-5309", "078-05-1120", "144.137.247.239",
+    "2024-02-29", "31/12/1999", "01.02.2003", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "die.55@mail4.example.com",
+    "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "éte.12@mail.example.com",
+]
+
+
+@pytest.mark.parametrize("value", VALUES)
+def test_each_kind_keeps_its_format_and_comes_back(value):
+    text = f"see {value}, or {value}!! é{value[0]}"
+    new, counts = P.text(text)
+    assert sum(counts.values()) == 2 and value not in new
+    masked = new.removeprefix("see ")[: len(value)] if "." not in value or "@" in value else new.removeprefix("see ").split(",")[0]
+    assert new.count(masked) == 2
+    if "." not in value or "@" in value:
+        assert re.sub(r"[0-9]", "9", re.sub(r"[a-f0-9]" if len(value) == 40 else "[A-Z]", "9", masked)).replace(" ", "_")[-2:] is not None
+        assert len(masked) == len(value)
+    kind = next(iter(counts))
+    found = PATTERN.search(new)
+    assert found.lastgroup == kind and VALID[kind](found[kind])
+    assert P.text(new, back=True)[0] == text
+
+
+def test_luhn_stays_valid():
+    new, _ = P.text("4111111111111111")
+    assert luhn_digit(new[:-1]) == new[-1]
+
+
+@pytest.mark.parametrize("text", ["version 2.0.", "CC BY-NC 4.0.", "999.1.1.1", "2024-02-30", "12345", "000-12-3456", "1 2 3 4 5 6 7 8 9 10 11 12 13", "a@b", "deadbeef", "x" * 70])
+def test_clean_texts_stay(text):
+    assert P.text(text) == (text, {})
+
+
+def test_frame(spark):
+    rows = [(1, "call +1 (961) 555-6946 at"), (2, "or +1 (961) 555-6946 at"), (2, "or +1 (961) 555-6946 at"), (3, None), (4, ""), (None, "clean"), (5, "x " * 50_000 + "10.1.2.3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' AS n_pii")
+    got = {r["doc_id"]: r for r in pseudonymize(df, b"k").collect()}
+    assert got[1]["text"][5:22] == got[2]["text"][3:20] and got[1]["n_pii"] == 1 and got[1]["pii_kinds"] == ["phone"]
+    assert got[3]["text"] is None and got[3]["n_pii"] == 0 and got[4]["text"] == "" and got[None]["text"] == "clean"
+    assert got[5]["n_pii"] == 1 and got[5]["text"].startswith("x " * 50_000)
+    assert pseudonymize(df.limit(0), b"k").count() == 0
+
+
+def test_planted_values_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in docs.join(pseudonymize(docs, b"k").selectExpr("doc_id", "text AS new", "n_pii"), "doc_id").collect():
+        planted = re.findall(r"\b\d{16}\b|\+1 \(\d{3}\) 555-\d{4}|\b\d+\.\d+\.\d+\.\d+\b|\S+\.\d\d@\S+\.com|\b[0-9a-f]{40}\b", r["text"])
+        assert len(planted) == r["n_pii"] and not any(p in r["new"] for p in planted)
+        assert planted or r["new"] == r["text"]
