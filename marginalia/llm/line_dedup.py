@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize
+from marginalia.llm.common import broadcast_if_small, materialize
 
 MULTIPLIER, MODULUS = 1_000_003, 4_294_967_291
 
@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = materialize(
         pieces.select("_h", "_id", "_at").groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
     )
-    suspects = materialize(pieces.join(again, "_h", "left_semi"))
+    suspects = materialize(pieces.join(broadcast_if_small(again), "_h", "left_semi"))
     # grouping by the body itself compares the bytes; partial sums absorb a chunk that is everywhere
     firsts = materialize(
         suspects.groupBy("_h", "_body")
