@@ -24,7 +24,7 @@ CAPACITY, END_ID = 2048, 1
 #: Pieces of one length are ranked in so many parts.
 PARTS = 128
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _BEFORE_SPACE = re.compile(r"\s ")
 
