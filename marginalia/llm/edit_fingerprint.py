@@ -145,11 +145,13 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, Column]:
     bucket = F.lit(0)
     if cuts:
         above = F.array(*[F.lit(c) for c in reversed(cuts)])
-        width = 1 << len(cuts).bit_length()
-        while width:
-            reach = bucket + width
-            bucket = F.when((reach <= len(cuts)) & (F.get(above, reach - 1) > F.col("key")), reach).otherwise(bucket)
-            width >>= 1
+        widths = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+
+        def halve(found: Column, width: Column) -> Column:
+            reach = found + width
+            return F.when((reach <= len(cuts)) & (F.get(above, reach - 1) > F.col("key")), reach).otherwise(found)
+
+        bucket = F.aggregate(widths, F.lit(0), halve)
     return keyed, bucket
 
 
