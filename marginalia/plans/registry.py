@@ -1,4 +1,409 @@
-"""All registered queries of the library, and their SQL."""
+"""All registered queries of the library over the driver's tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``part`` plays the catalogue (its words are authors and categories), ``lineitem`` the reviews, ``orders`` dated
+works of an author, ``documents`` the review texts and ``events`` the stream.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import parsing
+from marginalia.operators import aggregates, filters, joins, text
+from marginalia.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Words and polarities of the registered sentiment queries.
+LEXICON = (("the", 0.5), ("of", -0.25), ("and", 0.25))
+_LEXICON_SQL = "(VALUES ('the', 0.5), ('of', -0.25), ('and', 0.25)) AS lex(word, polarity)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _words(spark, d) -> DataFrame:
+    return _t(spark, d, "part").withColumn("words", F.split("p_name", " "))
+
+
+def _lexicon(spark) -> DataFrame:
+    return spark.createDataFrame(LEXICON, "word string, polarity double")
+
+
+def _rated(spark, d, low=10, high=19) -> DataFrame:
+    items = filters.in_range(_t(spark, d, "part"), "p_size", low, high).select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    return joins.with_items(_t(spark, d, "lineitem"), items, "l_partkey")
+
+
+# --- fields: messy texts are made of the tables' values by the same expression in both engines
+
+_YEAR = """CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN concat(CAST(year(o_orderdate) AS STRING), '*')
+ WHEN 2 THEN concat(substr(CAST(year(o_orderdate) AS STRING), 1, 2), '??') WHEN 3 THEN 'undated'
+ WHEN 4 THEN concat(CAST(year(o_orderdate) AS STRING), '-01-02') ELSE CAST(year(o_orderdate) AS STRING) END"""
+_LIST = """CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat('[''', replace(p_name, ' ', ''', '''), ''']')
+ WHEN 2 THEN concat('["', p_name, '"]') WHEN 3 THEN concat('[''', p_name, ''', "O''', p_type, '"]') ELSE concat('[''', p_name, ', ', p_brand, ''']') END"""
+_CATEGORIES = """CASE p_partkey % 3 WHEN 0 THEN concat('[''', replace(p_name, ' ', ' & '), ''']') WHEN 1 THEN concat('["', p_name, '"]') ELSE '' END"""
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN t = '' THEN 0 ELSE TRY_CAST(split_part(replace(replace(t, '*', ''), '?', '0'), '-', 1) AS INTEGER) END AS year
+ FROM (SELECT o_orderkey, {_YEAR} AS t FROM orders)""")
+def scalar_parse_year(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", parsing.parse_year(F.expr(_YEAR)).alias("year"))
+
+
+@query(f"""SELECT p_partkey, array_to_string(string_split(CASE WHEN contains(b, '"') THEN replace(b, '"', '') ELSE replace(b, '''', '') END, ','), '|') AS names,
+ len(string_split(b, ',')) AS n FROM (SELECT p_partkey, replace(replace(replace(replace(replace({_LIST}, '"[', ''), ']"', ''), '[', ''), ']', ''), ', ', ',') AS b FROM part)""")
+def scalar_parse_list(spark, d):
+    names = _t(spark, d, "part").select("p_partkey", parsing.parse_list(F.expr(_LIST)).alias("a"))
+    return names.select("p_partkey", F.array_join("a", "|").alias("names"), F.size("a").cast("bigint").alias("n"))
+
+
+@query(f"""SELECT p_partkey, array_to_string(string_split(replace(replace({_CATEGORIES}, '[''', ''), ''']', ''), ' & '), '|') AS categories FROM part""")
+def scalar_parse_categories(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.array_join(parsing.parse_categories(F.expr(_CATEGORIES)), "|").alias("categories"))
+
+
+@query("SELECT p_partkey, p_size - p_size % 10 AS decade FROM part")
+def scalar_decade_bucket(spark, d):
+    return _t(spark, d, "part").select("p_partkey", parsing.decade(F.col("p_size")).alias("decade"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, TRY_CAST(CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE CAST(l_quantity AS STRING) END AS DOUBLE) AS score FROM lineitem""")
+def scalar_score_cast(spark, d):
+    raw = F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", parsing.score(raw).alias("score"))
+
+
+@query("SELECT p_partkey, p_name || '|' || 'O''' || p_type AS names FROM part")
+def scalar_list_literal(spark, d):
+    raw = F.concat(F.lit("['"), F.col("p_name"), F.lit("', \"O'"), F.col("p_type"), F.lit('"]'))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(parsing.list_literal(raw), "|").alias("names"))
+
+
+@query("""SELECT 'catalogue' AS part, p_name AS title, p_size AS n FROM part UNION ALL SELECT 'decades', p_brand, p_size - p_size % 10 FROM part
+ UNION ALL SELECT 'categories', p_type, length(p_type) FROM part""")
+def fanout_projection(spark, d):
+    part = _t(spark, d, "part")
+    one = part.select(F.lit("catalogue").alias("part"), F.col("p_name").alias("title"), F.col("p_size").cast("bigint").alias("n"))
+    two = part.select(F.lit("decades").alias("part"), F.col("p_brand").alias("title"), parsing.decade(F.col("p_size")).cast("bigint").alias("n"))
+    return one.unionByName(two).unionByName(part.select(F.lit("categories").alias("part"), F.col("p_type").alias("title"), F.length("p_type").cast("bigint").alias("n")))
+
+
+@query()
+def map_rows(spark, d):
+    return aggregates.average(_rated(spark, d), "l_quantity", "p_name").select(F.create_map("p_name", "average").alias("row"))
+
+
+# --- filters
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 20 AND 43")
+def filter_range_recent(spark, d):
+    return filters.in_range(_t(spark, d, "part"), "p_size", 20, 43).select("p_partkey", "p_size")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 19")
+def filter_range_nineties(spark, d):
+    return filters.in_range(_t(spark, d, "part"), "p_size", 10, 19).select("p_partkey", "p_size")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%widget%'")
+def filter_keyword_ci(spark, d):
+    return filters.has_keyword(_t(spark, d, "part"), "p_name", "WidGet").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'ring')")
+def filter_array_contains(spark, d):
+    return filters.has_element(_words(spark, d), "words", "ring").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'blue')")
+def filter_array_contains_2(spark, d):
+    return filters.has_element(_words(spark, d), "words", "blue").select("p_partkey", "p_name")
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 35")
+def having_min_count(spark, d):
+    return aggregates.at_least(aggregates.sum_count(_t(spark, d, "lineitem"), "l_quantity", "l_partkey"), "n", 35).select("l_partkey", "n")
+
+
+@query("SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS n_distinct FROM orders GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) >= 6")
+def having_min_distinct(spark, d):
+    return aggregates.at_least(aggregates.distinct_per_key(_t(spark, d, "orders"), F.year("o_orderdate"), "o_custkey"), "n_distinct", 6)
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 OR event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 5 END AS route FROM events")
+def route_by_tag(spark, d):
+    first = F.when((F.col("user_id") % 2 == 0) | (F.col("event_type") == "click"), 1)
+    tags = F.array(F.when(F.col("event_type") == "view", 5), first)
+    return _t(spark, d, "events").select("event_id", F.coalesce(filters.route(F.array_compact(tags), [1, 5]), F.lit(None).cast("int")).alias("route"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size >= 10")
+def filter_dropna(spark, d):
+    return filters.drop_missing(_t(spark, d, "part").withColumn("words", F.when(F.col("p_size") >= 10, F.split("p_name", " "))), "words").select("p_partkey", "p_name")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM (SELECT split_part(p_name, ' ', 2) AS w FROM part WHERE p_size = 7) x
+ WHERE list_contains(string_split(part.p_name, ' '), x.w))""")
+def filter_list_overlap(spark, d):
+    wanted = _t(spark, d, "part").where("p_size = 7").select(F.get(F.split("p_name", " "), F.lit(1)).alias("w")).distinct()
+    return filters.overlaps(_words(spark, d), "words", wanted, "p_partkey").select("p_partkey", "p_name")
+
+
+# --- joins and deduplication
+
+
+@query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 19")
+def join_inner_title(spark, d):
+    return _rated(spark, d).select("l_orderkey", "l_linenumber", "p_name")
+
+
+@query("SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) r FROM part) WHERE r = 1")
+def dedup_keep_last(spark, d):
+    return joins.keep_last(_t(spark, d, "part"), "p_name", "p_partkey").select("p_name", "p_partkey", "p_brand")
+
+
+@query("SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) r FROM part) WHERE r = 1")
+def dedup_keep_first(spark, d):
+    return joins.keep_first(_t(spark, d, "part"), "p_name", "p_size", "p_partkey").select("p_name", "p_partkey", "p_brand")
+
+
+@query("""SELECT g AS query_group, l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN
+ (SELECT 'popular' AS g, p_partkey FROM part WHERE p_size BETWEEN 10 AND 19 UNION ALL SELECT 'fiction', p_partkey FROM part WHERE p_type = 'PROMO') ON l_partkey = p_partkey""")
+def join_multi_group(spark, d):
+    part = _t(spark, d, "part").withColumn("l_partkey", F.col("p_partkey"))
+    groups = {"popular": filters.in_range(part, "p_size", 10, 19).select("l_partkey"), "fiction": part.where("p_type = 'PROMO'").select("l_partkey")}
+    return joins.with_item_groups(_t(spark, d, "lineitem"), groups, "l_partkey").select("query_group", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def join_semi(spark, d):
+    return joins.semi(_t(spark, d, "documents").select("doc_id", "lang", "source"), _t(spark, d, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def join_shuffle_hash(spark, d):
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return joins.shuffled(_t(spark, d, "lineitem"), orders, "l_orderkey").select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+# --- aggregates
+
+
+@query("SELECT w AS word, p_partkey FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> ''")
+def explode_nonempty(spark, d):
+    return aggregates.exploded(_words(spark, d), "words", "word", "p_partkey").select("word", "p_partkey")
+
+
+@query("SELECT w AS word, count(DISTINCT dec) AS n_distinct FROM (SELECT p_size - p_size % 10 AS dec, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
+def distinct_periods_per_key(spark, d):
+    dated = _words(spark, d).withColumn("dec", parsing.decade(F.col("p_size")))
+    return aggregates.distinct_per_key(aggregates.exploded(dated, "words", "word", "dec"), F.col("dec"), "word")
+
+
+@query("SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM lineitem GROUP BY 1")
+def agg_sum_count_by_key(spark, d):
+    return aggregates.sum_count(_t(spark, d, "lineitem"), "l_quantity", "l_partkey")
+
+
+@query("SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average, count(*) AS n FROM lineitem GROUP BY 1")
+def agg_avg_by_key(spark, d):
+    return aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey")
+
+
+@query("SELECT o_custkey % 7 AS session_id, l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def agg_per_session(spark, d):
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 7).alias("session_id"))
+    return aggregates.sum_count(_t(spark, d, "lineitem").join(orders, "l_orderkey"), "l_quantity", "session_id", "l_partkey")
+
+
+@query("""SELECT query_group, count(*) AS n FROM (SELECT 'q1' AS query_group FROM part WHERE p_size BETWEEN 10 AND 40 UNION ALL SELECT 'q3' FROM part WHERE p_size BETWEEN 10 AND 19) GROUP BY 1""")
+def result_counts(spark, d):
+    part = _t(spark, d, "part")
+    one = filters.in_range(part, "p_size", 10, 40).select(F.lit("q1").alias("query_group"))
+    return one.unionByName(filters.in_range(part, "p_size", 10, 19).select(F.lit("q3").alias("query_group"))).groupBy("query_group").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, CAST(sum(user_id) AS BIGINT) AS user_id FROM events GROUP BY 1")
+def keyed_merge_sum(spark, d):
+    return aggregates.merged(_t(spark, d, "events"), "event_type", "user_id")
+
+
+@query("SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average FROM lineitem GROUP BY 1 ORDER BY average DESC, l_partkey LIMIT 10")
+def top_n_by_avg(spark, d):
+    return aggregates.top_n(aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey"), "average", "l_partkey", 10).select("l_partkey", "average")
+
+
+_FRACTION = """SELECT l_partkey, average FROM (SELECT *, row_number() OVER (ORDER BY average DESC, l_partkey) r, count(*) OVER () c FROM
+ (SELECT l_partkey, CAST(sum(CAST({v} AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average FROM lineitem {j} GROUP BY 1)) WHERE r <= c // 10"""
+
+
+@query(_FRACTION.format(v="l_quantity", j=""))
+def top_fraction_by_avg(spark, d):
+    return aggregates.top_fraction(aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey").drop("n"), "average", "l_partkey")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 50")
+def limit_head(spark, d):
+    return _t(spark, d, "part").orderBy("p_partkey").limit(50).select("p_partkey", "p_name")
+
+
+# --- sets
+
+
+@query("SELECT p_name FROM part WHERE p_size < 20 UNION ALL SELECT p_name FROM part WHERE p_size > 10")
+def union_all(spark, d):
+    part = _t(spark, d, "part")
+    return part.where("p_size < 20").select("p_name").unionByName(part.where("p_size > 10").select("p_name"))
+
+
+@query("SELECT p_name FROM part WHERE p_size < 20 UNION SELECT p_name FROM part WHERE p_size > 10")
+def union_distinct(spark, d):
+    return union_all(spark, d).distinct()
+
+
+@query("""(SELECT p_name, '+' AS side FROM (SELECT p_name FROM part WHERE p_size < 30 EXCEPT ALL SELECT p_name FROM part WHERE p_size > 10)) UNION ALL
+ (SELECT p_name, '-' FROM (SELECT p_name FROM part WHERE p_size > 10 EXCEPT ALL SELECT p_name FROM part WHERE p_size < 30))""")
+def diff_except_all(spark, d):
+    part = _t(spark, d, "part")
+    return aggregates.differences(part.where("p_size < 30").select("p_name"), part.where("p_size > 10").select("p_name"))
+
+
+# --- sentiment
+
+_POLARITY = f"""SELECT d.doc_id, d.source, coalesce(s.v, 0.0) AS sentiment FROM documents d LEFT JOIN
+ (SELECT doc_id, CAST(sum(CAST(polarity AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS v FROM
+ (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) JOIN {_LEXICON_SQL} USING (word) GROUP BY 1) s USING (doc_id)"""
+
+
+@query(f"SELECT doc_id, sentiment FROM ({_POLARITY})")
+def sentiment_lexicon(spark, d):
+    return text.polarity(_t(spark, d, "documents").select("doc_id", "text"), _lexicon(spark), "text", "doc_id")
+
+
+@query(f"SELECT source, CAST(sum(CAST(sentiment AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS average FROM ({_POLARITY}) GROUP BY 1")
+def agg_sentiment_by_key(spark, d):
+    docs = _t(spark, d, "documents")
+    scored = docs.select("doc_id", "source").join(text.polarity(docs.select("doc_id", "text"), _lexicon(spark), "text", "doc_id"), "doc_id")
+    return scored.groupBy("source").agg((F.sum(F.col("sentiment").cast("decimal(18,6)")).cast("double") / F.count("*")).alias("average"))
+
+
+@query("""SELECT d.doc_id, coalesce(s.v, 0.0) AS sentiment FROM documents d LEFT JOIN (SELECT doc_id,
+ CAST(sum(CAST(CASE WHEN prev IN ('in', 'is') THEN polarity * -0.5 ELSE polarity END AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS v FROM
+ (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM
+ (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents)) WHERE word <> '') JOIN """ + _LEXICON_SQL + """ USING (word) GROUP BY 1) s USING (doc_id)""")
+def sentiment_negation(spark, d):
+    return text.negated_polarity(_t(spark, d, "documents").select("doc_id", "text"), _lexicon(spark), ["in", "is"], "text", "doc_id")
+
+
+# --- streams
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    events = incremental.read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    once = incremental.delivered_once(events.unionByName(events), ["event_id"], "ts")
+    return incremental.run_appending(once.select("event_id", "user_id", "event_type"), incremental.folder(spark))
+
+
+@query("SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM events GROUP BY 1")
+def stream_agg_by_key(spark, d):
+    return incremental.run_complete(incremental.sums_per_key(incremental.read_table(spark, d, "events"), "user_id", "value"), incremental.folder(spark))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_distinct FROM events GROUP BY 1")
+def stream_distinct_per_key(spark, d):
+    return incremental.run_complete(incremental.distinct_per_key(incremental.read_table(spark, d, "events"), "user_id", F.col("event_type")), incremental.folder(spark))
+
+
+@query("SELECT p_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def stream_static_join(spark, d):
+    items = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    joined = incremental.read_table(spark, d, "lineitem").join(items, "l_partkey")
+    return incremental.run_complete(joined.groupBy("p_type").agg(F.count("*").alias("n")), incremental.folder(spark))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'")
+def incremental_source(spark, d):
+    top = incremental.folder(spark)
+    _t(spark, d, "events").select("event_id", "event_type", "value").write.json(f"{top}/in")
+    from marginalia.sources.files import incremental as stream
+
+    found = stream(spark, f"{top}/in", "event_id bigint, event_type string, value double").where("event_type <> 'error'")
+    return incremental.run_appending(found, top)
+
+
+@query("SELECT user_id, before AS after, event_id - before - 1 AS missing FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_id - before > 1")
+def sequence_gaps(spark, d):
+    return incremental.sequence_gaps(_t(spark, d, "events"), "user_id", "event_id")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_ended FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(DISTINCT user_id) = 2")
+def eof_barrier(spark, d):
+    days = _t(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return incremental.all_ended(days, ["day"], "user_id", F.col("event_type") == "signup", 2)
+
+
+@query("""SELECT c_custkey AS user_id FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1) ON c_custkey = user_id
+ WHERE last_seen IS NULL OR epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_seen) >= 86400000000""")
+def heartbeat_timeout(spark, d):
+    roster = _t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return incremental.silent(roster, _t(spark, d, "events"), "user_id", "ts", now, 86_400).select("user_id")
+
+
+# --- the five queries, on the driver's tables
+
+
+@query("SELECT p_name, p_brand FROM part WHERE p_size BETWEEN 10 AND 40 AND lower(p_name) LIKE '%widget%' AND p_type = 'ECONOMY'")
+def q1_range_keyword_category(spark, d):
+    found = filters.has_keyword(filters.in_range(_t(spark, d, "part"), "p_size", 10, 40), "p_name", "widget")
+    return found.where("p_type = 'ECONOMY'").select("p_name", "p_brand")
+
+
+@query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) >= 6")
+def q2_distinct_periods(spark, d):
+    return having_min_distinct(spark, d).select("o_custkey")
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 19 GROUP BY 1 HAVING count(*) >= 35")
+def q3_popular_in_range(spark, d):
+    return aggregates.at_least(aggregates.average(_rated(spark, d), "l_quantity", "l_partkey"), "n", 35).select("l_partkey", "n")
+
+
+@query("""SELECT p_name, p_brand, n FROM (SELECT p_name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 19 GROUP BY 1 HAVING count(*) >= 100)
+ JOIN (SELECT p_name, max_by(p_brand, p_partkey) AS p_brand FROM part WHERE p_size BETWEEN 10 AND 19 GROUP BY 1) USING (p_name)""")
+def q3_dedup_last(spark, d):
+    items = joins.keep_last(filters.in_range(_t(spark, d, "part"), "p_size", 10, 19), "p_name", "p_partkey").select("p_name", "p_brand")
+    counted = aggregates.sum_count(_rated(spark, d), "l_quantity", "p_name")
+    return aggregates.at_least(counted, "n", 100).join(items, "p_name").select("p_name", "p_brand", "n")
+
+
+@query("""SELECT l_partkey, average FROM (SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average FROM lineitem JOIN part ON l_partkey = p_partkey
+ WHERE p_size BETWEEN 10 AND 19 GROUP BY 1 HAVING count(*) >= 30) ORDER BY average DESC, l_partkey LIMIT 10""")
+def q4_top_n(spark, d):
+    rated = aggregates.at_least(aggregates.average(_rated(spark, d), "l_quantity", "l_partkey"), "n", 30)
+    return aggregates.top_n(rated, "average", "l_partkey", 10).select("l_partkey", "average")
+
+
+@query(_FRACTION.format(v="l_discount - l_tax", j="JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO'"))
+def q5_top_fraction(spark, d):
+    items = _t(spark, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("l_partkey"))
+    rated = joins.with_items(_t(spark, d, "lineitem"), items, "l_partkey").withColumn("margin", F.col("l_discount") - F.col("l_tax"))
+    return aggregates.top_fraction(aggregates.average(rated, "margin", "l_partkey").drop("n"), "average", "l_partkey")
