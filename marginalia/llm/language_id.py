@@ -25,7 +25,7 @@ SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGS = 160, 128, 256
 #: Distinct letters that the automata know; rarer ones never match.
 ALPHABET = 250
 #: Texts are parsed in pieces of so many symbols (a phrase ends with its piece), so many pieces at once.
-PIECE, LANES = 1024, 4096
+PIECE, LANES = 1024, 2048
 #: Added to a state for each phrase that ends on the way there.
 BREAK = 1 << 29
 UNDETERMINED = "und"
@@ -130,7 +130,7 @@ def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
         sizes = np.array([len(pieces[i]) for i in lanes])
-        lines = np.zeros((sizes[0] + 1, len(lanes)), np.int64)
+        lines = np.zeros((sizes[0] + 1, len(lanes)), np.int32)
         for lane, i in enumerate(lanes):
             lines[: sizes[lane], lane] = pieces[i]
         state = np.repeat(model.starts[:, None], len(lanes), axis=1)
