@@ -41,7 +41,7 @@ def best_sentiment(books: DataFrame, reviews: DataFrame, lexicon: DataFrame, cat
     items = joins.keep_last(filters.has_element(books, "categories", category), "title", "row_id").select("title")
     mine = joins.with_items(reviews.select("review_id", "title", "text"), items, "title")
     scored = mine.select("review_id", "title").join(text.polarity(mine, lexicon, "text", "review_id"), "review_id")
-    means = scored.groupBy("title").agg((F.sum(F.col("sentiment").cast("decimal(18,6)")).cast("double") / F.count("*")).alias("average"))
+    means = scored.groupBy("title").agg((F.sum(F.col("sentiment").cast("decimal(30,12)")).cast("double") / F.count("*")).alias("average"))
     return aggregates.top_fraction(means, "average", "title", quantile)
 
 

@@ -1,0 +1,107 @@
+"""The five queries end to end from CSV files, parsing, streams that stop and start again."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.functions import parsing
+from marginalia.operators import aggregates, filters
+from marginalia.plans import catalogue
+from marginalia.sources import files
+from marginalia.streaming import incremental
+
+
+def one(spark, f, value):
+    return spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
+
+
+@pytest.mark.parametrize("text, year", [("", 0), ("19??", 1900), ("1987*", 1987), ("1999-01-02", 1999), ("abc", None), ("2001", 2001)])
+def test_years(spark, text, year):
+    assert one(spark, parsing.parse_year, text) == year
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [("", [""]), ("['Jane Austen']", ["Jane Austen"]), ('["Jane"]', ["Jane"]), ("['Time, Inc']", ["Time", "Inc"]), ("""['Foo', "O'Neil"]""", ["'Foo'", "O'Neil"])],
+)
+def test_lists(spark, text, names):
+    assert one(spark, parsing.parse_list, text) == names
+
+
+def test_categories_and_literals(spark):
+    assert one(spark, parsing.parse_categories, "['Business & Economics']") == ["Business", "Economics"]
+    assert one(spark, parsing.parse_categories, '["Children\'s stories"]') == ['["Children\'s stories"]']
+    assert one(spark, parsing.list_literal, """['Foo', "O'Neil"]""") == ["Foo", "O'Neil"]
+    assert one(spark, parsing.list_literal, "no list") is None and one(spark, parsing.score, "x") is None
+
+
+@pytest.fixture(scope="module")
+def data(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("csv")
+    books = ["Title,authors,publishedDate,publisher,categories,other"]
+    for k in range(12):
+        books.append(f"Book {k},\"['Ann', 'B{k}']\",{1905 + 10 * k}-01-01,Pub,['Fiction'],x")
+    books.append("\"Distributed \"\"Systems\"\"\nvolume 2\",['Ann'],2010,Press,['Computers & Science'],x")
+    books.append("Book 9,['Last'],1998,New,['Poetry'],x")
+    reviews = ["Id,Title,review/score,review/text"]
+    for k in range(12):
+        reviews += [f"1,Book {k},{1 + (k + j) % 5}.0,{'good ' * k}fine" for j in range(k + 1)]
+    (top / "books.csv").write_text("\n".join(books))
+    (top / "reviews.csv").write_text("\n".join(reviews))
+    return files.books(spark, f"file://{top}/books.csv"), files.reviews(spark, f"file://{top}/reviews.csv"), top
+
+
+def test_five_queries(spark, data):
+    books, reviews, top = data
+    assert [tuple(r) for r in catalogue.recent_by_keyword(books).collect()] == [('Distributed "Systems"\nvolume 2', "Press")]
+    assert [r[0] for r in catalogue.authors_by_decades(books, n=10).collect()] == ["Ann"]
+    popular = {r["title"]: r for r in catalogue.popular(books, reviews, min_reviews=5, low=1900, high=1999).collect()}
+    assert set(popular) == {f"Book {k}" for k in range(4, 10)} and popular["Book 9"]["authors"] == ["Last"]
+    best = [r["title"] for r in catalogue.best(books, reviews, 2, min_reviews=5, low=1900, high=1999).collect()]
+    want = sorted(popular.values(), key=lambda r: (-r["average"], r["title"]))[:2]
+    assert best == [r["title"] for r in want]
+    lexicon = spark.createDataFrame([("good", 1.0), ("fine", 0.0)], "word string, polarity double")
+    top_fiction = catalogue.best_sentiment(books, reviews, lexicon, quantile=90).collect()
+    assert [r["title"] for r in top_fiction] == ["Book 11"] and abs(top_fiction[0]["average"] - 11 / 12) < 1e-9
+
+
+def test_sinks_reduction_and_check(spark, data):
+    books, reviews, top = data
+    found = catalogue.recent_by_keyword(books)
+    files.write_result_lines(found, f"file://{top}/results", 1)
+    lines = spark.read.text(f"file://{top}/results/query=1")
+    assert json.loads(lines.first()[0])["publisher"] == "Press"
+    titles = files.golden_titles(spark, f"file://{top}/results/query=1")
+    authors = spark.createDataFrame([("B3",), ("B4",)], "author string")
+    kept, mine = catalogue.reduced(books, reviews, titles, authors, extra=1)
+    assert sorted(r["title"] for r in kept.collect()) == ["Book 3", 'Distributed "Systems"\nvolume 2'] and mine.count() == 4
+    files.write_csv(kept.select("title", "publisher"), f"file://{top}/out")
+    assert spark.read.csv(f"file://{top}/out", header=True, multiLine=True, escape='"').count() == 2
+    assert aggregates.differences(titles, titles.limit(0)).collect()[0]["side"] == "+"
+
+
+def test_compat_fraction_and_route(spark):
+    df = spark.range(40).selectExpr("id", "double(id % 7) AS v")
+    assert aggregates.top_fraction(df, "v", "id", 80).count() == 8 and aggregates.top_fraction(df, "v", "id", 80, compat=True).count() == 2
+    assert aggregates.top_fraction(df.limit(0), "v", "id").count() == 0
+    tags = spark.createDataFrame([([5, 1],), ([5],), ([2],)], "t array<int>")
+    assert [r[0] for r in tags.select(filters.route(F.col("t"), [1, 5])).collect()] == [1, 5, None]
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    schema, top, source = "k string, v double", f"file://{tmp_path}/run", f"{tmp_path}/in"
+    part = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 3.5)], schema)
+    part.write.mode("append").json(f"file://{source}")
+    sums = lambda: incremental.run_complete(incremental.sums_per_key(files.incremental(spark, f"file://{source}", schema), "k", "v"), top)
+    assert sorted(map(tuple, sums().collect())) == [("a", 4.5, 2), ("b", 2.0, 1)]
+    part.write.mode("append").json(f"file://{source}")
+    assert sorted(map(tuple, sums().collect())) == [("a", 9.0, 4), ("b", 4.0, 2)]
+
+
+def test_plans(spark, sf_dir):
+    from marginalia.plans.registry import QUERIES
+
+    plan = QUERIES["q1_range_keyword_category"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(p_size,10)" in plan and "Exchange" not in plan
+    assert "TakeOrderedAndProject" in QUERIES["q4_top_n"](spark, sf_dir)._jdf.queryExecution().toString()
