@@ -193,6 +193,20 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, in
     return [(int(ids[top(k)]), int(ids[k])) for k in range(len(ids)) if top(k) != k]
 
 
+def star_edges(links: DataFrame) -> DataFrame:
+    """Edges ``a, b`` with the components of the links ``hub, node``, in which a node has one hub a band at most.
+
+    All hubs of a node are linked through it, so it is enough to tie the node and its other hubs to its least one:
+    the nodes of a large group name the same few hubs, and their pairs fall together.
+    """
+    return (
+        links.groupBy("node")
+        .agg(F.min("hub").alias("a"), F.collect_set("hub").alias("hubs"))
+        .select("a", F.explode(F.array_union("hubs", F.array("node"))).alias("b"))
+        .where("a <> b")
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id`` long, ``text``).
 
@@ -219,8 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     hubs = materialize(heads.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     hubs = broadcast_if_small(hubs.select("band", "hub"))
-    edges = heads.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    candidates = connected_components(edges.where("a <> b").distinct())
+    candidates = connected_components(star_edges(heads.join(hubs, "band").select("hub", "node")))
     links = _confirmed(docs, signed, candidates, words, percent)
     joined = connected_components(links)
     found = joined.select(F.col("node").alias("class"), "component")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from marginalia.llm import near_dedup
 from marginalia.llm.common import connected_components
@@ -84,3 +85,13 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     nodes = {x for p in links for x in p} - {20}
     assert {r["node"]: r["component"] for r in got} == components(nodes, [p for p in links if p[0] != 20])
+
+
+def test_star_edges_keep_components(spark):
+    draw = random.Random(5)
+    links = sorted({(min(p), max(p)) for p in ((draw.randrange(300), draw.randrange(300)) for _ in range(220))})
+    links += [(hub, node) for node in range(500, 560) for hub in (400, 401, 402)]
+    df = spark.createDataFrame(links, "hub bigint, node bigint")
+    whole = connected_components(df.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    assert sorted(map(tuple, connected_components(near_dedup.star_edges(df)).collect())) == sorted(map(tuple, whole.collect()))
+    assert near_dedup.star_edges(df).where("a >= 400").distinct().count() == 62
