@@ -18,9 +18,9 @@ from marginalia.llm.common import WORD, broadcast_if_small, materialize
 WEIGHTS = (5, 2, 1)
 #: No source is taken more than so many times.
 MOST_COPIES = 3
-#: A source's ranking is cut into at most MOST_BINS bins of about BIN_DOCS documents; only the bin in which the
-#: target is reached is ranked document by document.
-MOST_BINS, BIN_DOCS = 4096, 1000
+#: A source's ranking is cut into bins of BIN_DOCS documents, or of about the root of their number if that is
+#: more; only the bin in which the target is reached is ranked document by document.
+BIN_DOCS = 1000
 SEED = "mix"
 
 
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         materialize(source_targets(sizes, weights, most))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)))
         .withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("bins", F.least(F.lit(MOST_BINS), F.ceil(F.col("n") / BIN_DOCS)))
+        .withColumn("bins", F.least(F.ceil(F.col("n") / BIN_DOCS), F.ceil(F.sqrt(F.col("n")))))
         .withColumnRenamed("source", "s")
     )
     n_sources = goals.count()
