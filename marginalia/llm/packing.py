@@ -9,6 +9,7 @@ the pieces by the rank of a piece among those of its length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,16 +27,22 @@ from marginalia.llm.common import materialize, small_batches
 CAPACITY, END_ID = 2048, 1
 #: Pieces of one length are ranked in so many parts.
 PARTS = 128
+#: ``tiktoken`` panics at about a million white-space characters in a row: texts with so many aren't given to it.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}").search
+
+
 class Encoder:
     """Whole-text ids, as little-endian 32-bit numbers, of a byte-level BPE tokenizer file.
 
     A ``.json`` file is read by ``tokenizers``. A ``.tiktoken`` file holds the same vocabulary as ranks and is
-    read by ``tiktoken``, which gives the same ids in less time (the tests hold one against the other). Texts
-    that look like special tokens are ordinary text.
+    read by ``tiktoken``, which gives the same ids in less time (the tests hold one against the other); texts
+    with ``LONG_SPACE`` white-space characters in a row go to the ``.json`` file beside it. Texts that look like
+    special tokens are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = None
+        self.path, self.tokenizer = path, None
         if path.endswith(".tiktoken"):
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -46,6 +53,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if self.tokenizer is None:
+            if len(text) >= LONG_SPACE and _LONG_SPACE(text):
+                return encoder(self.path.removesuffix(".tiktoken") + ".json")(text)
             ids = self.ranks.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids

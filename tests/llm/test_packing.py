@@ -30,6 +30,14 @@ def test_both_files_give_the_same_ids(sf_dir, spark):
         assert np.frombuffer(encode(text), "<u4").tolist() == reference_ids(text)
 
 
+def test_long_runs_of_white_space(spark):
+    encode, other = Encoder(RANKS), Encoder(PATH)
+    for text in (" " * 1_200_000, "x" + "\n" * 1_200_000 + "y", "x" + " \t\xa0" * 400_000 + "y", "a" * 1_200_000, "x" + " " * 99_999 + "y", "x" + " " * 100_000 + "y"):
+        assert encode(text) == other(text)
+    rows = [(1, "before"), (2, "x" + " " * 1_200_000 + "y"), (3, "after")]
+    verify(pack(spark.createDataFrame(rows, "doc_id long, text string"), RANKS).collect(), dict(rows))
+
+
 def test_histogram_packing_keeps_counts_and_fits():
     rnd = random.Random(4)
     lengths = {k: rnd.randint(1, 9) for k in rnd.sample(range(1, 129), 70)}
