@@ -1,9 +1,14 @@
-"""Line deduplication by content-defined chunks of lines, in DataFrame functions only.
+"""Line deduplication by content-defined spans of lines, in DataFrame functions only.
 
-Every line is hashed; a rolling hash over two neighbouring line hashes is taken at every line, and a chunk
-ends where it has a local minimum. Where it ends depends on the lines around that place alone, so an inserted
-or lost line moves no other boundary, and two ends are never next to each other. Chunks of two lines or more
-that occur again anywhere in the corpus are removed, but for the first occurrence, after their bytes were compared.
+``dedup_passages`` cuts every run of two lines or more that stands at an earlier place in the corpus. Such a run
+is one of repeated line pairs, so each pair is held against all others, and no boundary can hide a run.
+
+``dedup_lines`` is the coarser form: every line is hashed; a rolling hash over two neighbouring line hashes is
+taken at every line, and a chunk ends where it has a local minimum. Where it ends depends on the lines around
+that place alone, so an inserted or lost line moves no other boundary, and two ends are never next to each other.
+Only whole chunks of two lines or more go, so a passage without a whole chunk of its own stays.
+
+Either way the first occurrence stays, and spans are equal if their SHA-256 is.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.llm.common import broadcast_if_small, materialize
 
@@ -44,77 +50,101 @@ def chunk_ends(rolled: Column) -> Column:
     )
 
 
-def chunks(text: Column) -> Column:
-    """Array of struct(n_lines, body), in the order of the text; null for a null text."""
+def chunk_spans(lines: Column) -> Column:
+    """Array of struct(begin, size, hash), in the order of the lines, of the chunks of two lines or more."""
 
-    def cut(lines: Column, ends: Column) -> Column:
+    def cut(ends: Column) -> Column:
         def chunk(end: Column, k: Column) -> Column:
             begin = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
-            size = end - begin + 1
-            return F.struct(size.alias("n_lines"), F.array_join(F.slice(lines, begin + 1, size), "\n").alias("body"))
+            return _span(begin, end - begin + 1, F.array_join(F.slice(lines, begin + 1, end - begin + 1), "\n"))
 
-        return F.transform(ends, chunk)
+        return F.filter(F.transform(ends, chunk), lambda x: x["size"] > 1)
 
-    whole = _let(
-        F.split(text, "\n", -1),
-        lambda lines: _let(
-            F.transform(lines, line_hash),
-            lambda hashes: _let(rolling(hashes), lambda rolled: _let(chunk_ends(rolled), lambda ends: cut(lines, ends))),
-        ),
+    return _let(F.transform(lines, line_hash), lambda hashes: _let(rolling(hashes), lambda rolled: _let(chunk_ends(rolled), cut)))
+
+
+def pair_spans(lines: Column) -> Column:
+    """Array of struct(begin, size, hash), in the order of the lines, of all two lines that follow each other."""
+    return F.transform(
+        F.slice(lines, F.lit(2), F.size(lines)), lambda x, i: _span(i, F.lit(2), F.concat(F.get(lines, i), F.lit("\n"), x))
     )
-    return F.when(text.isNotNull(), whole)
+
+
+def _span(begin: Column, size: Column, body: Column) -> Column:
+    return F.struct(begin.alias("begin"), size.alias("size"), F.unhex(F.sha2(body, 256)).alias("hash"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated chunks cut from its text, and ``n_lines``, ``n_lines_removed`` long.
 
-    The first occurrence, by id (null first) and place in the text, stays. A null text stays null with 0
-    lines; an empty one is one empty line. A chunk of a single line (only a first or last chunk can be one)
-    never goes. A text of which every chunk went is empty. Rows that share an id count as one document: the
-    same chunks go from each. Other columns pass unchanged; an empty table gives an empty result.
+    A chunk of a single line (only a first or last chunk can be one) never goes. All else is as in
+    ``dedup_passages``.
     """
-    own = {c: c for c in docs.columns if c not in ("n_lines", "n_lines_removed")}
-    base = docs.select(*own)
-    pieces = (
-        base.select(F.col(id_col).alias("_id"), F.posexplode(chunks(F.col(text_col))).alias("_at", "_chunk"))
-        .where("_chunk.n_lines > 1")
-        .select("_id", "_at", F.col("_chunk.body").alias("_body"), F.xxhash64("_chunk.body").alias("_h"))
+    return _without_repeats(docs, chunk_spans, id_col, text_col)
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without lines in runs of two or more that stand at an earlier place; ``n_lines``, ``n_lines_removed`` long.
+
+    Places are ordered by id (null first) and place in the text; every different line stays where it comes first.
+    A null text stays null with 0 lines; an empty one is one empty line. A text of which every line went is
+    empty. Rows that share an id count as one document: the same
+    places go from each. Other columns pass unchanged; an empty table gives an empty result.
+    """
+    return _without_repeats(docs, pair_spans, id_col, text_col)
+
+
+def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    own = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
+    key = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    # the caller's columns in one struct: no name of theirs meets one of ours
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_key"))
+
+    def spans_of(text: Column) -> Column:
+        return _let(F.split(text, "\n", -1), spans)
+
+    pieces = rows.select("_id", "_key", F.explode(spans_of(F.col("_text"))).alias("_span")).select(
+        "_id", "_key", F.col("_span.begin").alias("_at"), F.col("_span.size").alias("_size"), F.col("_span.hash").alias("_h")
     )
     # numbers first: which hashes occur in more than one place
-    again = materialize(
-        pieces.select("_h", "_id", "_at").groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    )
+    again = materialize(pieces.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h"))
     suspects = materialize(pieces.join(broadcast_if_small(again), "_h", "left_semi"))
-    # grouping by the body itself compares the bytes; partial sums absorb a chunk that is everywhere
+    # partial minima absorb a span that is everywhere
     firsts = materialize(
-        suspects.groupBy("_h", "_body")
-        .agg(F.count("*").alias("n"), F.min(F.struct("_id", "_at")).alias("first"))
-        .where("n > 1")
-        .select("_h", "_body", F.col("first._id").alias("_first_id"), F.col("first._at").alias("_first_at"))
+        suspects.groupBy("_h")
+        .agg(F.min(F.struct("_id", "_key", "_at")).alias("first"))
+        .select("_h", F.col("first._key").alias("_first_key"), F.col("first._at").alias("_first_at"))
     )
     gone = (
-        suspects.join(firsts, ["_h", "_body"])
-        .where(~(F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_at") == F.col("_first_at"))))
-        .groupBy("_id")
-        .agg(F.collect_set("_at").alias("_gone"))
+        suspects.join(firsts, "_h")
+        .where("_key <> _first_key OR _at <> _first_at")
+        .groupBy("_key")
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("_at").alias("begin"), F.col("_size").alias("size")))).alias("_gone"))
     )
-    drop = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    joined = rows.join(gone, "_key", "left")
+
+    def cut(lines: Column, drop: Column) -> Column:
+        """The lines between the spans that go."""
+
+        def kept(k: Column) -> Column:
+            before = F.get(drop, k - 1)
+            begin = F.coalesce(before["begin"] + before["size"], F.lit(0))
+            end = F.coalesce(F.get(drop, k)["begin"], F.size(lines))
+            return F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), kept))
+
     edited = _let(
-        chunks(F.col(text_col)),
-        lambda parts: F.struct(
-            F.array_join(
-                F.transform(F.filter(parts, lambda x, i: ~F.array_contains(drop, i)), lambda x: x["body"]), "\n"
-            ).alias("text"),
-            F.aggregate(
-                F.filter(parts, lambda x, i: F.array_contains(drop, i)), F.lit(0).cast("bigint"), lambda n, x: n + x["n_lines"]
-            ).alias("removed"),
+        F.split("_text", "\n", -1),
+        lambda lines: _let(
+            cut(lines, F.col("_gone")),
+            lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).cast("bigint").alias("removed")),
         ),
     )
-    cut = base.join(gone, base[id_col].eqNullSafe(gone["_id"]), "left").withColumn("_edit", F.when(F.size(drop) > 0, edited))
-    lines = F.regexp_count(F.col(text_col), F.lit("\n")) + 1
+    lines = F.regexp_count("_text", F.lit("\n")) + 1
     zero = F.lit(0).cast("bigint")
-    return cut.select(
-        *[F.coalesce("_edit.text", F.col(c)).alias(c) if c == text_col else F.col(c) for c in own],
+    return joined.withColumn("_edit", F.when(F.size("_gone") > 0, edited)).select(
+        *[F.coalesce("_edit.text", "_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in own],
         F.coalesce(lines.cast("bigint"), zero).alias("n_lines"),
         F.coalesce("_edit.removed", zero).alias("n_lines_removed"),
     )

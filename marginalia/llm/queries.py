@@ -37,7 +37,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def list_entries(pages: DataFrame) -> DataFrame:

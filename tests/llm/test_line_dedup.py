@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from marginalia.llm.line_dedup import MODULUS, MULTIPLIER, dedup_lines
+from marginalia.llm.line_dedup import MODULUS, MULTIPLIER, dedup_lines, dedup_passages
 
 
 def chunked(text):
@@ -79,3 +79,41 @@ def test_real_documents(spark, sf_dir):
     assert sorted((tuple(r) for r in dedup_lines(df).collect()), key=str) == brute(rows)
     plan = dedup_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def without_earlier_runs(rows):
+    """Every run of two lines or more that stands at an earlier place, whatever is around it; rows with ids of their own."""
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        lines = [] if t is None else t.split("\n")
+        drop = set()
+        for k in range(len(lines) - 1):
+            if (lines[k], lines[k + 1]) in seen:
+                drop |= {k, k + 1}
+            seen.add((lines[k], lines[k + 1]))
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in drop), len(lines), len(drop)))
+    return sorted(out, key=str)
+
+
+def passages(df):
+    return sorted((tuple(r) for r in dedup_passages(df).collect()), key=str)
+
+
+def test_passages_of_any_length_go_whole(spark):
+    rnd = random.Random(3)
+    rows = []
+    for n in range(2, 8):
+        passage = [f"shared {n} {k}" for k in range(n)]
+        for j in range(6):
+            rows.append((10 * n + j, "\n".join([f"own {rnd.random()}", *passage, f"own {rnd.random()}"])))
+    rows += [(1, None), (2, ""), (3, "\n\n\n\n"), (4, "a\nb\nc\nd"), (5, "a\nb\nc\nd"), (6, "x\n" * 20_000), (7, "a\r\nb\n"), (8, "b\nx\na\nb")]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got == without_earlier_runs(rows)
+    assert all(r[3] == (r[0] // 10 if r[0] % 10 else 0) for r in got if r[0] >= 20)
+
+
+def test_passages_of_real_documents(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    assert passages(df) == without_earlier_runs([tuple(r) for r in df.collect()])
+    plan = dedup_passages(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
