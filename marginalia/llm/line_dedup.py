@@ -88,15 +88,18 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Places are ordered by id (null first) and place in the text; every different line stays where it comes first.
     A null text stays null with 0 lines; an empty one is one empty line. A text of which every line went is
-    empty. Rows that share an id count as one document: the same
-    places go from each. Other columns pass unchanged; an empty table gives an empty result.
+    empty. Rows that share an id, or have none, are documents
+    of their own, ordered by a hash of their texts; of rows equal in id and text one counts as the first. Other columns pass unchanged; an empty table gives an empty result.
     """
     return _without_repeats(docs, pair_spans, id_col, text_col)
 
 
 def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
-    key = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    name = F.col(id_col).cast("string")
+    # of a row: rows equal in id and text share it, and only one of those is the first
+    key = F.sha2(F.concat(F.coalesce(F.concat(F.length(name), F.lit(":"), name), F.lit("none:")), F.coalesce(F.col(text_col), F.lit(""))), 256)
+    others = [c for c in own if c not in (id_col, text_col)]
     # the caller's columns in one struct: no name of theirs meets one of ours
     rows = docs.select(F.struct(*own).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_key"))
 
@@ -121,7 +124,11 @@ def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col:
         .groupBy("_key")
         .agg(F.array_sort(F.collect_set(F.struct(F.col("_at").alias("begin"), F.col("_size").alias("size")))).alias("_gone"))
     )
-    joined = rows.join(gone, "_key", "left")
+    copies = Window.partitionBy("_key").orderBy(F.xxhash64(F.to_json(F.struct(*[F.col("_row")[c].alias(c) for c in others]))) if others else "_key")
+    joined = rows.withColumn("_copy", F.row_number().over(copies)).join(gone, "_key", "left")
+    # a further copy repeats the first one: all its spans go
+    whole = F.transform(spans_of(F.col("_text")), lambda x: F.struct(x["begin"], x["size"]))
+    joined = joined.withColumn("_gone", F.when(F.col("_copy") == 1, F.col("_gone")).otherwise(whole))
 
     def cut(lines: Column, drop: Column) -> Column:
         """The lines between the spans that go."""

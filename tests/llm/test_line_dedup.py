@@ -117,3 +117,15 @@ def test_passages_of_real_documents(spark, sf_dir):
     assert passages(df) == without_earlier_runs([tuple(r) for r in df.collect()])
     plan = dedup_passages(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_rows_without_an_id_lose_their_own_repeats_only(spark):
+    shared = [f"shared {k}" for k in range(12)]
+    clean = "\n".join(f"clean {k}" for k in range(40))
+    rows = [(None, "\n".join([f"own {j} {k}" for k in range(3)] + shared)) for j in range(2)] + [(None, clean), (None, clean), (7, "a\nb"), (7, "c\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for dedup in (dedup_lines, dedup_passages):
+        got = [r["text"] for r in dedup(df).collect()]
+        assert got.count(clean) == 1 and {"a\nb", "c\nd"} <= set(got)
+        if dedup is dedup_passages:
+            assert got.count("") == 1 and sum("shared" in x for x in got) == 1 and sum("own" in x for x in got) == 2
