@@ -22,10 +22,13 @@ from marginalia.llm.common import small_batches
 #: Lines in a window; a window of a page without an article element surges above so many characters.
 WINDOW, SURGE = 3, 86
 
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|video|audio|head"
+#: Elements whose content is no text of the page; a head holds no other text, so it needs no closing tag. Those of
+#: ``HELD`` are empty if their tag ends in ``/>``.
+RAW, HELD = "script|style|title", "noscript|template|svg|math|iframe|object|canvas|video|audio"
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>{RAW}|(?:{HELD})(?!{_REST}(?<=/)>))(?=[\s/>]){_REST}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
     re.S | re.I,
 )
@@ -35,6 +38,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
     "time tt u var wbr".split()
 )
+_HELD = frozenset(HELD.split("|"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
 #: Elements that hold no main text wherever they stand; a header inside an article holds its headline.
@@ -84,7 +88,7 @@ def page_lines(page: str) -> list[Line]:
         name = (token["name"] or "").lower()
         if token["raw"]:
             continue
-        if not name:
+        if not name or name in _HELD:
             continue
         if name not in INLINE:
             flush()
@@ -96,7 +100,7 @@ def page_lines(page: str) -> list[Line]:
         elif name not in VOID and not token["rest"].rstrip().endswith("/"):
             inside = any(x[2] for x in stack)
             article = name in ARTICLE
-            plain = article or name in ("html", "body")
+            plain = article or name in ("html", "head", "body")
             marks = " ".join(x[0] or x[1] or x[2] for x in _ATTRIBUTE.findall(token["rest"] or ""))
             bad = name in BOILERPLATE or (name == "header" and not inside)
             bad = bad or (not plain and bool(marks) and bool(_NAMED.search(marks) or (not inside and _NAMED_HEADER.search(marks))))

@@ -27,6 +27,18 @@ def test_odd_pages():
     assert len(main_text("<article>" + "<p>word</p>" * 20_000)) == 20_000 * 5 - 1
 
 
+def test_raw_elements_and_open_heads():
+    for tag in ("svg", "math", "iframe", "object", "canvas"):
+        assert main_text(f"<article><p>one</p><{tag} class='i'/><p>two</p><{tag}><p>no</p></{tag}><p>thr<{tag}/>ee</p></article>") == "one two three"
+    assert main_text("<article><p>one</p><script src='x'/><p>no</p></script ><p>two</p></article>") == "one two"
+    head = "<html><head lang='en'><meta charset=utf-8><title>No <p>no</title><link href=x><script>'<p>no'</script>"
+    for rest in ("</head><body>", "</head>", "<body>", ""):
+        assert main_text(f"{head}{rest}<article><p>yes</p></article>") == "yes"
+        assert main_text(f"<!-- c -->\n{head}\n{rest}\nyes <b>and</b> yes" + " on" * 40).startswith("yes and yes on")
+    assert main_text("<article><head-line>yes</head-line><video-list>too</video-list></article>") == "yes too"
+    assert main_text(head) == main_text("<head><meta") == ""
+
+
 def test_real_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r for r in extract(pages).collect()}
