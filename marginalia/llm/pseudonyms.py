@@ -139,31 +139,68 @@ class Pseudonyms:
     def date(self, value: str, back: bool) -> str:
         parts = re.split(r"(\D)", value)
         year_first = len(parts[0]) == 4
-        y, m, d = (parts[0], parts[2], parts[4]) if year_first else (parts[4], parts[2], parts[0])
-        day = dt.date.fromordinal(
-            FIRST_DAY + self.permute("date", dt.date(int(y), int(m), int(d)).toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
-        )
+        month_first = not year_first and int(parts[2]) > 12
+        y, m, d = (parts[0], parts[2], parts[4]) if year_first else (parts[4], parts[0], parts[2]) if month_first else (parts[4], parts[2], parts[0])
+        day = dt.date(int(y), int(m), int(d))
+        while True:
+            number = self.permute("date", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
+            day = dt.date.fromordinal(FIRST_DAY + number)
+            if not month_first or day.day > 12:  # else it would read as day first
+                break
         y, m, d = f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"
-        return "".join([y, parts[1], m, parts[3], d] if year_first else [d, parts[1], m, parts[3], y])
+        return "".join([y, parts[1], m, parts[3], d] if year_first else [m if month_first else d, parts[1], d if month_first else m, parts[3], y])
 
     def text(self, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
         """``text`` with its personal data replaced, and how many values of each kind were."""
         counts: dict[str, int] = {}
 
-        def swap(match: re.Match) -> str:
-            kind = match.lastgroup
-            value = match[kind]
-            if not VALID[kind](value):
-                return match[0]
+        if not _HINT.search(text):
+            return text, counts
+        out, at, place, failed = [], 0, 0, 0
+        while match := PATTERN.search(text, place):
+            kind, value = match.lastgroup, match[match.lastgroup]
+            # within a failed match any digits may stand together: only card-like groups count there
+            if not VALID[kind](value) or (kind == "card" and match.start() < failed and not _GROUPED(value)):
+                failed = max(failed, match.end())
+                kind, value = next(_others(text, match.start()), (None, ""))
+            if kind is None:
+                place = match.start() + 1
+                continue
             counts[kind] = counts.get(kind, 0) + 1
-            return getattr(self, kind)(value, back)
-
-        return (PATTERN.sub(swap, text), counts) if _HINT.search(text) else (text, counts)
+            out += [text[at : match.start()], getattr(self, kind)(value, back)]
+            at = place = match.start() + len(value)
+        return "".join([*out, text[at:]]), counts
+
+
+def _shorter(text: str, start: int, kind: str) -> str:
+    """The longest valid card or IBAN at a place, its last groups left out if need be; else nothing."""
+    match = KINDS[kind].match(text, start)
+    value = match[0] if match else ""
+    while value:
+        if (kind == "iban" or 13 <= len(re.sub(r"\D", "", value)) and _GROUPED(value)) and VALID[kind](value):
+            return value
+        value = value[: max(value.rfind(" "), value.rfind("-"), 0)]
+    return ""
+
+
+def _others(text: str, start: int) -> Iterator[tuple[str, str]]:
+    """Valid values of any kind at a place where the first match isn't one."""
+    for kind, pattern in KINDS.items():
+        if kind in ("card", "iban"):
+            value = _shorter(text, start, kind)
+        else:
+            match = pattern.match(text, start)
+            value = match[0] if match and VALID[kind](match[0]) else ""
+        # a phone number has no check: a card that begins within it goes before it
+        if value and not (kind == "phone" and any(_shorter(text, k, "card") for k in range(start + 1, start + len(value)))):
+            yield kind, value
 
 
 def _valid_date(value: str) -> bool:
     parts = re.split(r"\D", value)
     y, m, d = parts if len(parts[0]) == 4 else reversed(parts)
+    if len(parts[0]) < 4 and int(m) > 12:  # month first
+        m, d = d, m
     try:
         return FIRST_DAY <= dt.date(int(y), int(m), int(d)).toordinal() <= LAST_DAY
     except ValueError:
@@ -176,10 +213,11 @@ def _valid_iban(value: str) -> bool:
 
 
 _SSN = re.compile(r"(?!000|666|9\d\d)\d{3}(?!00)\d{2}(?!0000)\d{4}").fullmatch
+_GROUPED = re.compile(r"\d{3,}(?:[ -]\d{3,})*").fullmatch
 _HINT = re.compile(r"[0-9@]")
 
 #: What is looked for, in this order at each place. Values end where no letter or digit follows.
-PATTERN = re.compile(
+_PATTERN = (
     r"(?P<email>(?<![\w.+-])\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
@@ -187,8 +225,12 @@ PATTERN = re.compile(
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d[./-]\d\d[./-]\d{4})(?![\w]|[./-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?![\w]|[.-]\d))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?![\w]|[.-]\d)"
+    r"|(?<![\w+])\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d))"
 )
+PATTERN = re.compile(_PATTERN)
+#: The pattern of each kind alone.
+KINDS = {x[4 : x.index(">")]: re.compile(x) for x in re.split(r"\|(?=\(\?P<)", _PATTERN)}
 
 VALID: dict[str, Callable[[str], bool]] = {
     "email": lambda v: True,
@@ -199,7 +241,7 @@ VALID: dict[str, Callable[[str], bool]] = {
     "ssn": lambda v: _SSN(v.replace("-", "")) is not None,
     # separators make a run of digits a card only if it checks; sixteen digits in a row are one anyway
     "card": lambda v: (p := re.sub(r"\D", "", v)) and (luhn_digit(p[:-1]) == p[-1] or (v.isdigit() and len(v) == 16)),
-    "phone": lambda v: True,
+    "phone": lambda v: 8 <= len(re.sub(r"\D", "", v)) <= 15,
 }
 
 

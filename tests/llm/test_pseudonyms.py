@@ -47,6 +47,21 @@ def test_clean_texts_stay(text):
     assert P.text(text) == (text, {})
 
 
+@pytest.mark.parametrize(
+    ("value", "after"),
+    [("4111 1111 1111 1111", " 12/26"), ("BE68 5390 0754 7034", " AND go"), ("12/25/1990", "."), ("+49 30 1234567", ","), ("+493012345678", ","), ("+33 1 23 45 67 89", ".")],
+)
+def test_values_beside_other_digits_and_other_forms(value, after):
+    new, counts = P.text(f"card {value}{after}")
+    assert sum(counts.values()) == 1 and value not in new and new.endswith(after) and len(new) == len(f"card {value}{after}")
+    assert P.text(new, back=True)[0] == f"card {value}{after}"
+
+
+def test_a_card_after_other_digits():
+    new, counts = P.text("no 1234 4111 1111 1111 1111")
+    assert counts == {"card": 1} and "4111 1111 1111 1111" not in new
+
+
 def test_frame(spark):
     rows = [(1, "call +1 (961) 555-6946 at"), (2, "or +1 (961) 555-6946 at"), (2, "or +1 (961) 555-6946 at"), (3, None), (4, ""), (None, "clean"), (5, "x " * 50_000 + "10.1.2.3")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' AS n_pii")
