@@ -232,8 +232,9 @@ def similar_groups(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
     """``doc_id, group_id`` of documents linked by bands and verified by likeness; ids must be unique.
 
     Unrelated texts agree in a sixteenth of their samples; an edit costs what lies before the walks fall into
-    step again. Equal fingerprints are one class. In each band every class is held against the smallest one; likeness of
-    all samples decides. A band's size doesn't matter: it makes one pair a member.
+    step again. Equal fingerprints are one class; likeness of all samples decides. In each band every class is held
+    against the smallest one first. Those that don't come into its group are then held against all of the band that
+    are in other groups than theirs, so no link of a band is missed; that is many pairs where a large band has many of them.
     """
     signed = materialize(fingerprints(docs))
     classes = signed.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
@@ -250,6 +251,14 @@ def similar_groups(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
     hubs = named.groupBy("band").agg(F.min(F.struct("node", "fingerprint")).alias("hub"))
     met = named.join(hubs, "band").where("hub.node < node").select("node", "fingerprint", "hub").distinct()
     links = met.where(like("hub.fingerprint", "fingerprint") >= at_least).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    found = connected_components(links)
+    known = connected_components(links)
+    placed = materialize(named.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    first = placed.groupBy("band").agg(F.min_by("component", "node").alias("first"))
+    left = placed.join(first, "band").where("component <> first").select(
+        "band", "first", F.col("node").alias("a"), F.col("fingerprint").alias("fp"), F.col("component").alias("other")
+    )
+    pairs = left.join(placed, "band").where("other <> component AND (component = first OR a < node)").select("a", "fp", "node", "fingerprint").distinct()
+    more = pairs.where(like("fp", "fingerprint") >= at_least).select("a", F.col("node").alias("b"))
+    found = connected_components(materialize(links.union(more)))
     top = classes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group_id"))
     return signed.join(top, "fingerprint").select("doc_id", "group_id")

@@ -88,3 +88,19 @@ def test_groups(spark):
     rows = [(i, base[i % 3][:300] + "x" * (i // 3) + base[i % 3][300:]) for i in range(12)] + [(50, base[0]), (60, None), (61, "")]
     got = {r["doc_id"]: r["group_id"] for r in E.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i % 3 for i in range(12)} | {50: 0, 60: 60, 61: 60}
+
+
+def test_links_beside_the_smallest_of_a_band(spark, monkeypatch):
+    from marginalia.llm import edit_fingerprint as e
+
+    rest = e.SAMPLES // e.BAND - 1
+
+    def made(lead, last, next_scale):
+        return "0a" + ("0" + lead * rest) * 3 + "0" + last * rest + next_scale * e.SAMPLES
+
+    # one band is shared by all; 2 and 3 are alike, but have no other band in common and aren't like the smallest
+    fps = {1: made("1", "2", "1"), 2: made("3", "4", "3"), 3: made("3", "5", "8"), 4: made("6", "7", "6")}
+    alike = {(a, b) for a in fps for b in fps if a < b and e.likeness(fps[a], fps[b]) >= 0.3}
+    assert alike == {(2, 3)} and len(set(e.band_names(fps[2])) & set(e.band_names(fps[3]))) == 1
+    monkeypatch.setattr(e, "fingerprints", lambda docs: spark.createDataFrame(list(fps.items()), "doc_id long, fingerprint string"))
+    assert {r[0]: r[1] for r in e.similar_groups(None, 0.3).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
