@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.scratch import written
+
 
 def exploded(df: DataFrame, column: str, alias: str, *others: str) -> DataFrame:
     """A row for each non-empty element of an array."""
@@ -16,17 +18,19 @@ def distinct_per_key(df: DataFrame, value: Column, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.countDistinct(value).alias("n_distinct"))
 
 
-def exact_sum(value: Column) -> Column:
-    """A sum that doesn't depend on the order of its rows, for values of two decimals."""
-    return F.sum(value.cast("decimal(18,2)")).cast("double")
+def total(value: Column, scale: int | None = None) -> Column:
+    """Sum of doubles; with a scale, of values of so many decimals, exactly and in whatever order they come."""
+    return F.sum(value) if scale is None else F.sum(value.cast(f"decimal({18 + scale},{scale})")).cast("double")
 
 
-def sum_count(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(exact_sum(F.col(value)).alias("total"), F.count("*").alias("n"))
+def sum_count(df: DataFrame, value: str, *keys: str, scale: int | None = None) -> DataFrame:
+    """``total`` and ``n``, the number of values; a null is none, and a key with nulls alone has total null and n 0."""
+    return df.groupBy(*keys).agg(total(F.col(value), scale).alias("total"), F.count(value).alias("n"))
 
 
-def average(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    return sum_count(df, value, *keys).select(*keys, (F.col("total") / F.col("n")).alias("average"), "n")
+def average(df: DataFrame, value: str, *keys: str, scale: int | None = None) -> DataFrame:
+    """``average`` and ``n``, over the values that aren't null."""
+    return sum_count(df, value, *keys, scale=scale).select(*keys, F.try_divide("total", "n").alias("average"), "n")
 
 
 def at_least(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -38,39 +42,54 @@ def merged(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sum(value).alias(value))
 
 
-def top_n(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
-    """The n rows with the highest value; ties by key."""
-    return df.orderBy(F.desc(value), key).limit(n)
+def row_counts(results: dict[str, DataFrame]) -> DataFrame:
+    """``query, n``: how many rows each result has; results without rows count 0."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("query"), "n") for name, df in results.items()]
+    every = counts[0]
+    for one in counts[1:]:
+        every = every.unionByName(one)
+    return every
+
+
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order."""
+    return df.orderBy(*order).limit(n)
 
 
-#: Bins that the values of a top fraction are cut into.
-BINS = 4096
+def top_n(df: DataFrame, value: str, key: str, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The n rows with the highest value, of each group of ``by`` if there are any; ties by key."""
+    if not by:
+        return df.orderBy(F.desc(value), key).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), key))
+    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def top_fraction(df: DataFrame, value: str, key: str, quantile: int = 90, compat: bool = False) -> DataFrame:
-    """The rows above a quantile: ``floor(n * (100 - quantile) / 100)`` of them, ties by key.
+def top_fraction(df: DataFrame, value: str, key: str, quantile: int = 90, compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows above a quantile, of each group of ``by`` if there are any; rows without a value take no part.
 
-    With ``compat`` it is ``floor(n / (100 - quantile))``, which is the same at 90. Values are counted in bins, so
-    only the rows of the bin in which the cut falls are ranked; no task gets all rows.
+    They are ``floor(n * (100 - quantile) / 100)`` of n, ties by key; with ``compat`` it is ``floor(n / (100 - quantile))``,
+    which is the same at 90. Rows are dealt in ranges of (value, key) and written once; ranges are counted, and only
+    the one in which a group's cut falls is ranked, so outliers and ties bring no more than a range into a task.
     """
-    n, low, high = df.agg(F.count("*"), F.min(value), F.max(value)).first()
-    k = n // (100 - quantile) if compat else n * (100 - quantile) // 100
-    width = (high - low) / BINS if n and high > low else 1.0
-    low = low or 0.0
-    binned = df.withColumn("_bin", F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)))
-    reached = Window.orderBy(F.desc("_bin"))
-    cut = (
-        binned.groupBy("_bin")
+    ranges = df.where(F.col(value).isNotNull()).repartitionByRange(*by, F.desc(value), key)
+    dealt = written(ranges.withColumn("_range", F.spark_partition_id()))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    n = F.sum("count").over(group)
+    k = F.floor(n / (100 - quantile)) if compat else F.floor(n * (100 - quantile) / 100)
+    cuts = (
+        dealt.groupBy(*by, "_range")
         .count()
-        .withColumn("_upto", F.sum("count").over(reached))
-        .where(F.col("_upto") >= k)
-        .agg(F.max(F.struct("_bin", (F.col("_upto") - F.col("count")).alias("above"))).alias("c"))
-        .first()["c"]
+        .withColumn("_room", k - F.sum("count").over(group.orderBy("_range")) + F.col("count"))
+        .where("_room > 0")
+        .withColumn("_whole", F.col("_room") >= F.col("count"))
+        .drop("count")
     )
-    if cut is None or k == 0:
-        return df.limit(0)
-    edge = binned.where(F.col("_bin") == cut["_bin"]).orderBy(F.desc(value), key).limit(k - cut["above"])
-    return binned.where(F.col("_bin") > cut["_bin"]).unionByName(edge).drop("_bin")
+    keys = [*by, "_range"]
+    # null-safe, as a group may be null
+    near = dealt.alias("d").join(cuts.alias("c"), [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in keys]).select("d.*", "_room", "_whole")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), key))
+    edge = near.where("NOT _whole").withColumn("_place", place).where("_place <= _room")
+    return near.where("_whole").select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def with_items(reviews: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Inner join on the key; Spark broadcasts the items if they turn out small, else both sides are shuffled."""
-    return reviews.join(items, key)
+def with_items(reviews: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """Inner join on the keys; Spark broadcasts the items if they turn out small, else both sides are shuffled."""
+    return reviews.join(items, list(keys))
 
 
-def keep_last(df: DataFrame, key: str, row_id: str) -> DataFrame:
-    """One row a key: the one with the greatest row id."""
-    return _keep(df, key, F.desc(row_id))
+def keep_last(df: DataFrame, row_id: str, *keys: str) -> DataFrame:
+    """One row for each value of the keys: the one with the greatest row id."""
+    return _one(df, F.max_by, (row_id,), keys)
 
 
-def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
-    return _keep(df, key, *map(F.asc, order))
+def keep_first(df: DataFrame, order: tuple[str, ...], *keys: str) -> DataFrame:
+    """One row for each value of the keys: the first in the order."""
+    return _one(df, F.min_by, order, keys)
 
 
-def _keep(df: DataFrame, key: str, *order) -> DataFrame:
-    ranked = df.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where("_place = 1").drop("_place")
+def _one(df: DataFrame, pick, order: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    # an aggregate, not a window: each task passes on one row a key, however many rows a key has
+    best = df.groupBy(*keys).agg(pick(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return best.select("_row.*")
 
 
 def with_item_groups(reviews: DataFrame, groups: dict[str, DataFrame], key: str) -> DataFrame:
@@ -35,8 +36,8 @@ def with_item_groups(reviews: DataFrame, groups: dict[str, DataFrame], key: str)
     return reviews.join(every, key)
 
 
-def semi(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys, key, "left_semi")
+def semi(df: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    return df.join(keys, list(names), "left_semi")
 
 
 def shuffled(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

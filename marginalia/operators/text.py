@@ -2,33 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+#: A lexicon of no more entries is looked up row by row in a table that is a constant of the plan; a larger one is joined.
+TABLE_WORDS = 50_000
 
 
-def tokens(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """``keys, pos, word``: lower-case words of Latin letters."""
-    return df.select(*keys, F.posexplode(F.split(F.lower(text), "[^a-z]+")).alias("pos", "word")).where("word <> ''")
+def words(text: Column) -> Column:
+    """Lower-case words of Latin letters, in order."""
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
-def polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
-    """``key, sentiment``: mean polarity of the words in the lexicon (``word, polarity``); 0 if none is.
+def with_polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str, negations: list[str] | None = None) -> DataFrame:
+    """``df`` with ``sentiment``: mean polarity of the words in the lexicon (``word, polarity``); 0 if none is, or no text.
 
-    Words join the lexicon, which Spark broadcasts when it is small; a text is brought together again by its key.
+    A hit right after one of the ``negations`` counts the other way, by half. Each word stands in the lexicon once.
+    Rows stay where they are unless the lexicon is larger than TABLE_WORDS; then words are joined with it and brought
+    together again by ``key``, which must be unique.
     """
-    hits = tokens(df, text, key).join(lexicon, "word").groupBy(key).agg(_mean(F.col("polarity")).alias("sentiment"))
-    return df.select(key).join(hits, key, "left").select(key, F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"))
+    known = lexicon.where("word IS NOT NULL AND polarity IS NOT NULL")
+    n = known.limit(TABLE_WORDS + 1).count()
+    if n > TABLE_WORDS:
+        return _joined(df, known, text, key, negations or [])
+    table = _table(known, n)
+    each = words(F.col(text))
+    values = F.transform(each, lambda w, i: _value(table(w), _before(each, i), negations or []))
+    hits = F.filter(values, lambda v: v.isNotNull())
+    mean = F.aggregate(hits, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")))
+    return df.withColumn("sentiment", F.coalesce(F.try_divide(mean["s"], mean["n"]), F.lit(0.0)))
+
+
+def polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str, negations: list[str] | None = None) -> DataFrame:
+    """``key, sentiment`` as ``with_polarity`` finds it."""
+    return with_polarity(df.select(key, text), lexicon, text, key, negations).select(key, "sentiment")
+
+
+def _table(lexicon: DataFrame, n: int):
+    """Polarity of a word, by an array of small maps that a hash of the word chooses from."""
+    size = max(1, n)
+    rows = lexicon.select(F.pmod(F.xxhash64("word"), F.lit(size)).alias("slot"), "word", "polarity").collect()
+    slots: list[dict[str, float]] = [{} for _ in range(size)]
+    for slot, word, value in rows:
+        slots[slot][word] = value
+    table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,double>>")
+    return lambda w: F.element_at(F.get(table, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), w)
+
+
+def _before(each: Column, i: Column) -> Column:
+    return F.get(each, i - 1)
 
 
-def negated_polarity(df: DataFrame, lexicon: DataFrame, negations: list[str], text: str, key: str) -> DataFrame:
-    """As ``polarity``, but a hit right after a negation counts the other way, by half."""
-    before = F.lag("word").over(Window.partitionBy(key).orderBy("pos"))
-    found = tokens(df, text, key).withColumn("before", before).join(lexicon, "word")
-    value = F.when(F.col("before").isin(negations), F.col("polarity") * -0.5).otherwise(F.col("polarity"))
-    hits = found.groupBy(key).agg(_mean(value).alias("sentiment"))
-    return df.select(key).join(hits, key, "left").select(key, F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"))
+def _value(found: Column, before: Column, negations: list[str]) -> Column:
+    return F.when(before.isin(negations), found * -0.5).otherwise(found) if negations else found
 
 
-def _mean(value):
-    return F.sum(value.cast("decimal(18,6)")).cast("double") / F.count("*")
+def _joined(df: DataFrame, lexicon: DataFrame, text: str, key: str, negations: list[str]) -> DataFrame:
+    each = words(F.col(text))
+    pairs = F.transform(each, lambda w, i: F.struct(w.alias("word"), _before(each, i).alias("before")))
+    found = df.select(key, F.inline(pairs)).join(lexicon, "word")
+    hits = found.groupBy(key).agg(F.avg(_value(F.col("polarity"), F.col("before"), negations)).alias("sentiment"))
+    return df.join(hits, key, "left").withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))

@@ -1,7 +1,8 @@
 """All registered queries of the library over the driver's tables, and their SQL.
 
-``part`` plays the catalogue (its words are authors and categories), ``lineitem`` the reviews, ``orders`` dated
-works of an author, ``documents`` the review texts and ``events`` the stream.
+``part`` plays the catalogue (its words are authors and categories), ``lineitem`` and ``documents`` the reviews,
+``orders`` dated works of an author and ``events`` the stream. The five queries and the reduction read ``part`` and
+``lineitem`` or ``documents`` through views that are shaped as books and reviews.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.functions import parsing
 from marginalia.operators import aggregates, filters, joins, text
+from marginalia.plans import catalogue
+from marginalia.sources import files
 from marginalia.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +54,32 @@ def _rated(spark, d, low=10, high=19) -> DataFrame:
     return joins.with_items(_t(spark, d, "lineitem"), items, "l_partkey")
 
 
+# --- books and reviews, by the same expressions in both engines but for their arrays
+
+_YEARS = "CASE p_partkey % 11 WHEN 0 THEN 0 ELSE 1940 + p_size END"
+_BOOKS_SQL = f"""books AS (SELECT p_partkey AS row_id, concat('Book ', p_partkey % 1300) AS title, p_partkey % 3 AS session_id, {_YEARS} AS year,
+ string_split(p_name, ' ') AS authors, p_brand AS publisher, [p_type, split_part(p_name, ' ', 2)] AS categories FROM part)"""
+_SCORE = "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity / 8 END"
+_REVIEWS_SQL = f"reviews AS (SELECT concat('Book ', l_partkey % 1300) AS title, l_suppkey % 3 AS session_id, {_SCORE} AS score FROM lineitem)"
+_TEXTS_SQL = "reviews AS (SELECT doc_id AS review_id, concat('Book ', doc_id % 150) AS title, doc_id % 3 AS session_id, text FROM documents)"
+
+
+def _books(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select(
+        F.col("p_partkey").alias("row_id"), F.expr("concat('Book ', p_partkey % 1300)").alias("title"), F.expr("p_partkey % 3").alias("session_id"),
+        F.expr(_YEARS).alias("year"), F.split("p_name", " ").alias("authors"), F.col("p_brand").alias("publisher"),
+        F.array(F.col("p_type"), F.get(F.split("p_name", " "), F.lit(1))).alias("categories"),
+    )
+
+
+def _reviews(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").selectExpr("concat('Book ', l_partkey % 1300) AS title", "l_suppkey % 3 AS session_id", f"{_SCORE} AS score")
+
+
+def _texts(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").selectExpr("doc_id AS review_id", "concat('Book ', doc_id % 150) AS title", "doc_id % 3 AS session_id", "text")
+
+
 # --- fields: messy texts are made of the tables' values by the same expression in both engines
 
 _YEAR = """CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN concat(CAST(year(o_orderdate) AS STRING), '*')
@@ -95,18 +125,18 @@ def scalar_list_literal(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_join(parsing.list_literal(raw), "|").alias("names"))
 
 
-@query("""SELECT 'catalogue' AS part, p_name AS title, p_size AS n FROM part UNION ALL SELECT 'decades', p_brand, p_size - p_size % 10 FROM part
- UNION ALL SELECT 'categories', p_type, length(p_type) FROM part""")
+@query(f"""WITH {_BOOKS_SQL} SELECT 'by_year' AS part, title, year AS n FROM books UNION ALL SELECT 'by_decade', authors[1], year - year % 10 FROM books
+ UNION ALL SELECT 'by_category', title, len(categories) FROM books""")
 def fanout_projection(spark, d):
-    part = _t(spark, d, "part")
-    one = part.select(F.lit("catalogue").alias("part"), F.col("p_name").alias("title"), F.col("p_size").cast("bigint").alias("n"))
-    two = part.select(F.lit("decades").alias("part"), F.col("p_brand").alias("title"), parsing.decade(F.col("p_size")).cast("bigint").alias("n"))
-    return one.unionByName(two).unionByName(part.select(F.lit("categories").alias("part"), F.col("p_type").alias("title"), F.length("p_type").cast("bigint").alias("n")))
+    out = catalogue.columns_for_queries(_books(spark, d))
+    shown = {"by_year": ("title", "year"), "by_decade": ("authors[0]", "decade"), "by_category": ("title", "size(categories)")}
+    one, two, three = (out[k].selectExpr(f"'{k}' AS part", f"{a} AS title", f"CAST({b} AS BIGINT) AS n") for k, (a, b) in shown.items())
+    return one.unionByName(two).unionByName(three)
 
 
 @query()
 def map_rows(spark, d):
-    return aggregates.average(_rated(spark, d), "l_quantity", "p_name").select(F.create_map("p_name", "average").alias("row"))
+    return aggregates.average(_rated(spark, d), "l_quantity", "p_name", scale=2).select(F.create_map("p_name", "average").alias("row"))
 
 
 # --- filters
@@ -159,10 +189,10 @@ def filter_dropna(spark, d):
     return filters.drop_missing(_t(spark, d, "part").withColumn("words", F.when(F.col("p_size") >= 10, F.split("p_name", " "))), "words").select("p_partkey", "p_name")
 
 
-@query("""SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM (SELECT split_part(p_name, ' ', 2) AS w FROM part WHERE p_size = 7) x
+@query("""SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM (SELECT split_part(p_name, ' ', 2) AS w FROM part WHERE p_partkey IN (3, 5)) x
  WHERE list_contains(string_split(part.p_name, ' '), x.w))""")
 def filter_list_overlap(spark, d):
-    wanted = _t(spark, d, "part").where("p_size = 7").select(F.get(F.split("p_name", " "), F.lit(1)).alias("w")).distinct()
+    wanted = _t(spark, d, "part").where("p_partkey IN (3, 5)").select(F.get(F.split("p_name", " "), F.lit(1)).alias("w")).distinct()
     return filters.overlaps(_words(spark, d), "words", wanted, "p_partkey").select("p_partkey", "p_name")
 
 
@@ -176,12 +206,12 @@ def join_inner_title(spark, d):
 
 @query("SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) r FROM part) WHERE r = 1")
 def dedup_keep_last(spark, d):
-    return joins.keep_last(_t(spark, d, "part"), "p_name", "p_partkey").select("p_name", "p_partkey", "p_brand")
+    return joins.keep_last(_t(spark, d, "part"), "p_partkey", "p_name").select("p_name", "p_partkey", "p_brand")
 
 
 @query("SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) r FROM part) WHERE r = 1")
 def dedup_keep_first(spark, d):
-    return joins.keep_first(_t(spark, d, "part"), "p_name", "p_size", "p_partkey").select("p_name", "p_partkey", "p_brand")
+    return joins.keep_first(_t(spark, d, "part"), ("p_size", "p_partkey"), "p_name").select("p_name", "p_partkey", "p_brand")
 
 
 @query("""SELECT g AS query_group, l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN
@@ -217,27 +247,38 @@ def distinct_periods_per_key(spark, d):
     return aggregates.distinct_per_key(aggregates.exploded(dated, "words", "word", "dec"), F.col("dec"), "word")
 
 
-@query("SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM lineitem GROUP BY 1")
+# some values are null, and they have four decimals
+_REVENUE = "CASE WHEN l_linenumber = 3 OR l_partkey % 50 = 7 THEN NULL ELSE l_extendedprice * l_discount END"
+
+
+def _revenues(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").withColumn("v", F.expr(_REVENUE))
+
+
+@query(f"SELECT l_partkey, CAST(sum(CAST(v AS DECIMAL(22,4))) AS DOUBLE) AS total, count(v) AS n FROM (SELECT *, {_REVENUE} AS v FROM lineitem) GROUP BY 1")
 def agg_sum_count_by_key(spark, d):
-    return aggregates.sum_count(_t(spark, d, "lineitem"), "l_quantity", "l_partkey")
+    return aggregates.sum_count(_revenues(spark, d), "v", "l_partkey", scale=4)
 
 
-@query("SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average, count(*) AS n FROM lineitem GROUP BY 1")
+@query(f"""SELECT l_partkey, CASE WHEN count(v) > 0 THEN CAST(sum(CAST(v AS DECIMAL(22,4))) AS DOUBLE) / count(v) END AS average, count(v) AS n
+ FROM (SELECT *, {_REVENUE} AS v FROM lineitem) GROUP BY 1""")
 def agg_avg_by_key(spark, d):
-    return aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey")
+    return aggregates.average(_revenues(spark, d), "v", "l_partkey", scale=4)
 
 
-@query("SELECT o_custkey % 7 AS session_id, l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query(f"""SELECT o_custkey % 7 AS session_id, l_partkey, CAST(sum(CAST(v AS DECIMAL(22,4))) AS DOUBLE) AS total, count(v) AS n
+ FROM (SELECT *, {_REVENUE} AS v FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def agg_per_session(spark, d):
     orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 7).alias("session_id"))
-    return aggregates.sum_count(_t(spark, d, "lineitem").join(orders, "l_orderkey"), "l_quantity", "session_id", "l_partkey")
+    return aggregates.sum_count(_revenues(spark, d).join(orders, "l_orderkey"), "v", "session_id", "l_partkey", scale=4)
 
 
-@query("""SELECT query_group, count(*) AS n FROM (SELECT 'q1' AS query_group FROM part WHERE p_size BETWEEN 10 AND 40 UNION ALL SELECT 'q3' FROM part WHERE p_size BETWEEN 10 AND 19) GROUP BY 1""")
+@query("""SELECT 'q1' AS query, count(*) AS n FROM part WHERE p_size BETWEEN 10 AND 40 UNION ALL SELECT 'q3', count(*) FROM part WHERE p_size BETWEEN 10 AND 19
+ UNION ALL SELECT 'none', 0""")
 def result_counts(spark, d):
     part = _t(spark, d, "part")
-    one = filters.in_range(part, "p_size", 10, 40).select(F.lit("q1").alias("query_group"))
-    return one.unionByName(filters.in_range(part, "p_size", 10, 19).select(F.lit("q3").alias("query_group"))).groupBy("query_group").agg(F.count("*").alias("n"))
+    ranges = {"q1": (10, 40), "q3": (10, 19), "none": (60, 70)}
+    return aggregates.row_counts({name: filters.in_range(part, "p_size", low, high) for name, (low, high) in ranges.items()})
 
 
 @query("SELECT event_type, CAST(sum(user_id) AS BIGINT) AS user_id FROM events GROUP BY 1")
@@ -247,7 +288,7 @@ def keyed_merge_sum(spark, d):
 
 @query("SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average FROM lineitem GROUP BY 1 ORDER BY average DESC, l_partkey LIMIT 10")
 def top_n_by_avg(spark, d):
-    return aggregates.top_n(aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey"), "average", "l_partkey", 10).select("l_partkey", "average")
+    return aggregates.top_n(aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey", scale=2), "average", "l_partkey", 10).select("l_partkey", "average")
 
 
 _FRACTION = """SELECT l_partkey, average FROM (SELECT *, row_number() OVER (ORDER BY average DESC, l_partkey) r, count(*) OVER () c FROM
@@ -256,12 +297,12 @@ _FRACTION = """SELECT l_partkey, average FROM (SELECT *, row_number() OVER (ORDE
 
 @query(_FRACTION.format(v="l_quantity", j=""))
 def top_fraction_by_avg(spark, d):
-    return aggregates.top_fraction(aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey").drop("n"), "average", "l_partkey")
+    return aggregates.top_fraction(aggregates.average(_t(spark, d, "lineitem"), "l_quantity", "l_partkey", scale=2).drop("n"), "average", "l_partkey")
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 50")
 def limit_head(spark, d):
-    return _t(spark, d, "part").orderBy("p_partkey").limit(50).select("p_partkey", "p_name")
+    return aggregates.head(_t(spark, d, "part"), 50, "p_partkey").select("p_partkey", "p_name")
 
 
 # --- sets
@@ -288,28 +329,27 @@ def diff_except_all(spark, d):
 # --- sentiment
 
 _POLARITY = f"""SELECT d.doc_id, d.source, coalesce(s.v, 0.0) AS sentiment FROM documents d LEFT JOIN
- (SELECT doc_id, CAST(sum(CAST(polarity AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS v FROM
+ (SELECT doc_id, sum(polarity) / count(*) AS v FROM
  (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) JOIN {_LEXICON_SQL} USING (word) GROUP BY 1) s USING (doc_id)"""
 
 
 @query(f"SELECT doc_id, sentiment FROM ({_POLARITY})")
 def sentiment_lexicon(spark, d):
-    return text.polarity(_t(spark, d, "documents").select("doc_id", "text"), _lexicon(spark), "text", "doc_id")
+    return text.polarity(_t(spark, d, "documents"), _lexicon(spark), "text", "doc_id")
 
 
-@query(f"SELECT source, CAST(sum(CAST(sentiment AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS average FROM ({_POLARITY}) GROUP BY 1")
+@query(f"SELECT source, CAST(sum(CAST(sentiment AS DECIMAL(27,9))) AS DOUBLE) / count(*) AS average FROM ({_POLARITY}) GROUP BY 1")
 def agg_sentiment_by_key(spark, d):
-    docs = _t(spark, d, "documents")
-    scored = docs.select("doc_id", "source").join(text.polarity(docs.select("doc_id", "text"), _lexicon(spark), "text", "doc_id"), "doc_id")
-    return scored.groupBy("source").agg((F.sum(F.col("sentiment").cast("decimal(18,6)")).cast("double") / F.count("*")).alias("average"))
+    scored = text.with_polarity(_t(spark, d, "documents").select("doc_id", "source", "text"), _lexicon(spark), "text", "doc_id")
+    return aggregates.average(scored, "sentiment", "source", scale=9).select("source", "average")
 
 
 @query("""SELECT d.doc_id, coalesce(s.v, 0.0) AS sentiment FROM documents d LEFT JOIN (SELECT doc_id,
- CAST(sum(CAST(CASE WHEN prev IN ('in', 'is') THEN polarity * -0.5 ELSE polarity END AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS v FROM
+ sum(CASE WHEN prev IN ('in', 'is') THEN polarity * -0.5 ELSE polarity END) / count(*) AS v FROM
  (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM
  (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents)) WHERE word <> '') JOIN """ + _LEXICON_SQL + """ USING (word) GROUP BY 1) s USING (doc_id)""")
 def sentiment_negation(spark, d):
-    return text.negated_polarity(_t(spark, d, "documents").select("doc_id", "text"), _lexicon(spark), ["in", "is"], "text", "doc_id")
+    return text.polarity(_t(spark, d, "documents"), _lexicon(spark), "text", "doc_id", ["in", "is"])
 
 
 # --- streams
@@ -322,9 +362,11 @@ def stream_dedup(spark, d):
     return incremental.run_appending(once.select("event_id", "user_id", "event_type"), incremental.folder(spark))
 
 
-@query("SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM events GROUP BY 1")
+@query("""SELECT user_id, CAST(sum(CAST(v AS DECIMAL(22,4))) AS DOUBLE) AS total, count(v) AS n FROM
+ (SELECT user_id, CASE WHEN event_type <> 'error' THEN value / 4 END AS v FROM events) GROUP BY 1""")
 def stream_agg_by_key(spark, d):
-    return incremental.run_complete(incremental.sums_per_key(incremental.read_table(spark, d, "events"), "user_id", "value"), incremental.folder(spark))
+    scored = incremental.read_table(spark, d, "events").withColumn("v", F.expr("CASE WHEN event_type <> 'error' THEN value / 4 END"))
+    return incremental.run_complete(incremental.sums_per_key(scored, "user_id", "v", scale=4), incremental.folder(spark))
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS n_distinct FROM events GROUP BY 1")
@@ -343,9 +385,7 @@ def stream_static_join(spark, d):
 def incremental_source(spark, d):
     top = incremental.folder(spark)
     _t(spark, d, "events").select("event_id", "event_type", "value").write.json(f"{top}/in")
-    from marginalia.sources.files import incremental as stream
-
-    found = stream(spark, f"{top}/in", "event_id bigint, event_type string, value double").where("event_type <> 'error'")
+    found = files.incremental(spark, f"{top}/in", "event_id bigint, event_type string, value double").where("event_type <> 'error'")
     return incremental.run_appending(found, top)
 
 
@@ -354,10 +394,23 @@ def sequence_gaps(spark, d):
     return incremental.sequence_gaps(_t(spark, d, "events"), "user_id", "event_id")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_ended FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(DISTINCT user_id) = 2")
+@query("SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_ended FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(DISTINCT user_id) >= (SELECT count(*) // 30 // 8 FROM events)")
 def eof_barrier(spark, d):
-    days = _t(spark, d, "events").withColumn("day", F.to_date("ts"))
-    return incremental.all_ended(days, ["day"], "user_id", F.col("event_type") == "signup", 2)
+    events = _t(spark, d, "events")
+    days = events.withColumn("day", F.to_date("ts"))
+    return incremental.all_ended(days, ["day"], "user_id", F.col("event_type") == "signup", events.count() // 30 // 8)
+
+
+@query("SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events")
+def stream_in_order(spark, d):
+    top = incremental.folder(spark)
+    sent = _t(spark, d, "events").withColumn("number", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint"))
+    # four files, one a batch, in which each sender's numbers are out of order; the last ones come twice
+    drawn = sent.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(4)).cast("int"))
+    again = drawn.where("number % 5 = 0").withColumn("file", F.lit(4))
+    drawn.unionByName(again).select("file", "user_id", "number", "event_id", "event_type").repartitionByRange(5, "file").drop("file").write.json(f"{top}/in")
+    stream = files.incremental(spark, f"{top}/in", "user_id bigint, number bigint, event_id bigint, event_type string")
+    return incremental.run_appending(incremental.in_order(stream, "user_id", "number"), top)
 
 
 @query("""SELECT c_custkey AS user_id FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1) ON c_custkey = user_id
@@ -368,42 +421,121 @@ def heartbeat_timeout(spark, d):
     return incremental.silent(roster, _t(spark, d, "events"), "user_id", "ts", now, 86_400).select("user_id")
 
 
-# --- the five queries, on the driver's tables
+# --- the five queries, for all and for each session
+
+_Q1 = "FROM books WHERE year BETWEEN 1950 AND 1980 AND contains(lower(title), 'ook 1') AND list_contains(categories, 'ECONOMY')"
+_Q2 = "FROM (SELECT session_id, year - year % 10 AS decade, unnest(authors) AS author FROM books) WHERE author <> ''"
+
+
+def _q3(*by: str) -> str:
+    b = "".join(f"{k}, " for k in by)
+    return f"""items AS (SELECT {b}title, authors FROM (SELECT *, row_number() OVER (PARTITION BY {b}title ORDER BY row_id DESC) AS r FROM books WHERE year BETWEEN 1950 AND 1969) WHERE r = 1),
+ rated AS (SELECT {b}title, CAST(sum(CAST(score AS DECIMAL(22,4))) AS DOUBLE) / count(score) AS average, count(score) AS n FROM reviews JOIN items USING ({b}title)
+ GROUP BY {b}title HAVING count(score) >= {12 if by else 35})"""
+
+
+def _q5(*by: str) -> str:
+    b = "".join(f"{k}, " for k in by)
+    over = f"PARTITION BY {by[0]} " if by else ""
+    return f"""items AS (SELECT DISTINCT {b}title FROM books WHERE list_contains(categories, 'widget') OR list_contains(categories, 'PROMO')),
+ scored AS (SELECT {b}title, coalesce(s.v, 0.0) AS sentiment FROM reviews JOIN items USING ({b}title) LEFT JOIN
+ (SELECT review_id, sum(polarity) / count(*) AS v FROM (SELECT review_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM reviews) JOIN {_LEXICON_SQL} USING (word) GROUP BY 1) s USING (review_id)),
+ means AS (SELECT {b}title, CAST(sum(CAST(sentiment AS DECIMAL(27,9))) AS DOUBLE) / count(*) AS average FROM scored GROUP BY {b}title)
+ SELECT {b}title, average FROM (SELECT *, row_number() OVER ({over}ORDER BY average DESC, title) AS r, count(*) OVER ({over}) AS c FROM means) WHERE r <= c * 20 // 100"""
 
 
-@query("SELECT p_name, p_brand FROM part WHERE p_size BETWEEN 10 AND 40 AND lower(p_name) LIKE '%widget%' AND p_type = 'ECONOMY'")
+_SESSIONS = ("session_id",)
+
+
+@query(f"WITH {_BOOKS_SQL} SELECT title, publisher {_Q1}")
 def q1_range_keyword_category(spark, d):
-    found = filters.has_keyword(filters.in_range(_t(spark, d, "part"), "p_size", 10, 40), "p_name", "widget")
-    return found.where("p_type = 'ECONOMY'").select("p_name", "p_brand")
+    return catalogue.recent_by_keyword(_books(spark, d), "ECONOMY", "OOK 1", 1950, 1980)
+
 
+@query(f"WITH {_BOOKS_SQL} SELECT session_id, title, publisher {_Q1}")
+def q1_per_session(spark, d):
+    return catalogue.recent_by_keyword(_books(spark, d), "ECONOMY", "OOK 1", 1950, 1980, by=_SESSIONS)
 
-@query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) >= 6")
+
+@query(f"WITH {_BOOKS_SQL} SELECT author {_Q2} GROUP BY 1 HAVING count(DISTINCT decade) >= 7")
 def q2_distinct_periods(spark, d):
-    return having_min_distinct(spark, d).select("o_custkey")
+    return catalogue.authors_by_decades(_books(spark, d), 7)
+
+
+@query(f"WITH {_BOOKS_SQL} SELECT session_id, author {_Q2} AND decade <> 0 GROUP BY 1, 2 HAVING count(DISTINCT decade) >= 6")
+def q2_per_session(spark, d):
+    return catalogue.authors_by_decades(_books(spark, d), 6, drop_unknown=True, by=_SESSIONS)
 
 
-@query("SELECT l_partkey, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 19 GROUP BY 1 HAVING count(*) >= 35")
+@query(f"WITH {_BOOKS_SQL}, {_REVIEWS_SQL}, {_q3()} SELECT title, array_to_string(authors, '|') AS authors, average, n FROM rated JOIN items USING (title)")
 def q3_popular_in_range(spark, d):
-    return aggregates.at_least(aggregates.average(_rated(spark, d), "l_quantity", "l_partkey"), "n", 35).select("l_partkey", "n")
+    found = catalogue.popular(_books(spark, d), _reviews(spark, d), 35, 1950, 1969, scale=4)
+    return found.withColumn("authors", F.array_join("authors", "|"))
+
+
+@query(f"WITH {_BOOKS_SQL}, {_REVIEWS_SQL}, {_q3(*_SESSIONS)} SELECT session_id, title, array_to_string(authors, '|') AS authors, average, n FROM rated JOIN items USING (session_id, title)")
+def q3_per_session(spark, d):
+    found = catalogue.popular(_books(spark, d), _reviews(spark, d), 12, 1950, 1969, by=_SESSIONS, scale=4)
+    return found.withColumn("authors", F.array_join("authors", "|"))
 
 
 @query("""SELECT p_name, p_brand, n FROM (SELECT p_name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 19 GROUP BY 1 HAVING count(*) >= 100)
  JOIN (SELECT p_name, max_by(p_brand, p_partkey) AS p_brand FROM part WHERE p_size BETWEEN 10 AND 19 GROUP BY 1) USING (p_name)""")
 def q3_dedup_last(spark, d):
-    items = joins.keep_last(filters.in_range(_t(spark, d, "part"), "p_size", 10, 19), "p_name", "p_partkey").select("p_name", "p_brand")
+    items = joins.keep_last(filters.in_range(_t(spark, d, "part"), "p_size", 10, 19), "p_partkey", "p_name").select("p_name", "p_brand")
     counted = aggregates.sum_count(_rated(spark, d), "l_quantity", "p_name")
     return aggregates.at_least(counted, "n", 100).join(items, "p_name").select("p_name", "p_brand", "n")
 
 
-@query("""SELECT l_partkey, average FROM (SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average FROM lineitem JOIN part ON l_partkey = p_partkey
- WHERE p_size BETWEEN 10 AND 19 GROUP BY 1 HAVING count(*) >= 30) ORDER BY average DESC, l_partkey LIMIT 10""")
+@query(f"WITH {_BOOKS_SQL}, {_REVIEWS_SQL}, {_q3()} SELECT title, average FROM rated ORDER BY average DESC, title LIMIT 10")
 def q4_top_n(spark, d):
-    rated = aggregates.at_least(aggregates.average(_rated(spark, d), "l_quantity", "l_partkey"), "n", 30)
-    return aggregates.top_n(rated, "average", "l_partkey", 10).select("l_partkey", "average")
+    return catalogue.best(_books(spark, d), _reviews(spark, d), min_reviews=35, low=1950, high=1969, scale=4)
+
+
+@query(f"""WITH {_BOOKS_SQL}, {_REVIEWS_SQL}, {_q3(*_SESSIONS)} SELECT session_id, title, average FROM
+ (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY average DESC, title) AS r FROM rated) WHERE r <= 10""")
+def q4_per_session(spark, d):
+    return catalogue.best(_books(spark, d), _reviews(spark, d), by=_SESSIONS, min_reviews=12, low=1950, high=1969, scale=4)
+
+
+def _fiction(spark, d) -> DataFrame:
+    """Books with one category more, which Q5 asks for."""
+    fiction = (F.array_contains("categories", "widget") | F.array_contains("categories", "PROMO"))
+    return _books(spark, d).withColumn("categories", F.when(fiction, F.concat("categories", F.array(F.lit("Fiction")))).otherwise(F.col("categories")))
 
 
-@query(_FRACTION.format(v="l_discount - l_tax", j="JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO'"))
+@query(f"WITH {_BOOKS_SQL}, {_TEXTS_SQL}, {_q5()}")
 def q5_top_fraction(spark, d):
-    items = _t(spark, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("l_partkey"))
-    rated = joins.with_items(_t(spark, d, "lineitem"), items, "l_partkey").withColumn("margin", F.col("l_discount") - F.col("l_tax"))
-    return aggregates.top_fraction(aggregates.average(rated, "margin", "l_partkey").drop("n"), "average", "l_partkey")
+    return catalogue.best_sentiment(_fiction(spark, d), _texts(spark, d), _lexicon(spark), quantile=80, scale=9)
+
+
+@query(f"WITH {_BOOKS_SQL}, {_TEXTS_SQL}, {_q5(*_SESSIONS)}")
+def q5_per_session(spark, d):
+    return catalogue.best_sentiment(_fiction(spark, d), _texts(spark, d), _lexicon(spark), quantile=80, by=_SESSIONS, scale=9)
+
+
+# --- reduction of the data set
+
+_REDUCED_SQL = f"""WITH {_BOOKS_SQL}, known AS (SELECT * FROM books WHERE year <> 0), named AS (SELECT * FROM known WHERE title IN (SELECT title FROM books WHERE row_id <= 60)),
+ first AS (SELECT title, min(row_id) AS row_id FROM named GROUP BY 1),
+ others AS (SELECT title, min(row_id) AS row_id FROM known WHERE list_contains(authors, (SELECT authors[1] FROM books WHERE row_id = 1)) AND title NOT IN (SELECT title FROM first) GROUP BY 1),
+ kept AS (SELECT * FROM first UNION ALL (SELECT * FROM others ORDER BY row_id LIMIT (SELECT (SELECT count(*) FROM named) - (SELECT count(*) FROM first) + 25)))"""
+
+
+def _reduce(spark, d) -> tuple[DataFrame, DataFrame]:
+    books = _books(spark, d)
+    titles = books.where("row_id <= 60").select("title")
+    authors = books.where("row_id = 1").select(F.get("authors", F.lit(0)).alias("author"))
+    # a book without a year has no authors either, as the reduction drops such books
+    known = books.withColumn("authors", F.when(F.col("year") != 0, F.col("authors")))
+    return catalogue.reduced(known, _reviews(spark, d), titles, authors, extra=25)
+
+
+@query(f"{_REDUCED_SQL} SELECT row_id, title FROM kept")
+def reduce_books(spark, d):
+    return _reduce(spark, d)[0].select("row_id", "title")
+
+
+@query(f"{_REDUCED_SQL}, {_REVIEWS_SQL} SELECT title, count(*) AS n FROM reviews WHERE title IN (SELECT title FROM kept) GROUP BY 1")
+def reduce_reviews(spark, d):
+    return _reduce(spark, d)[1].groupBy("title").agg(F.count("*").alias("n"))

@@ -12,9 +12,10 @@ REVIEW_FIELDS = {"Title": "title", "review/score": "score", "review/text": "text
 
 
 def _csv(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
-    """Text fields by header name; missing ones are empty. Quotes are doubled inside quotes, lines may break there."""
+    """Text fields by header name; empty fields, and all of a name that the header lacks, are "". Quotes are doubled inside quotes, lines may break there."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    return raw.select(*[F.col(f"`{a}`").alias(b) for a, b in fields.items()]).fillna("")
+    found = [F.col(f"`{a}`") if a in raw.columns else F.lit(None).cast("string") for a in fields]
+    return raw.select(*[c.alias(b) for c, b in zip(found, fields.values(), strict=True)]).fillna("")
 
 
 def books(spark: SparkSession, path: str) -> DataFrame:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from marginalia.operators.aggregates import total
+from marginalia.scratch import new_folder
+
 
 def folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{top}/stream-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    return new_folder(spark, "stream")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +57,58 @@ def distinct_per_key(stream: DataFrame, key: str, value) -> DataFrame:
     return stream.groupBy(key).agg(F.size(F.collect_set(value)).cast("bigint").alias("n_distinct"))
 
 
-def sums_per_key(stream: DataFrame, key: str, value: str) -> DataFrame:
-    total = F.sum(F.col(value).cast("decimal(18,2)")).cast("double")
-    return stream.groupBy(key).agg(total.alias("total"), F.count("*").alias("n"))
+def sums_per_key(stream: DataFrame, key: str, value: str, scale: int | None = None) -> DataFrame:
+    """``total`` and ``n`` of the values that aren't null, as the batch aggregate gives them."""
+    return stream.groupBy(key).agg(total(F.col(value), scale).alias("total"), F.count(value).alias("n"))
+
+
+#: Timestamps keep their microseconds in the bodies of waiting rows.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def in_order(stream: DataFrame, sender: str, number: str, patience: str | None = None) -> DataFrame:
+    """``stream`` with each sender's rows released in the order of their numbers, from 1 on, and each number once.
+
+    A row whose number is above the next one waits in the state until the gap closes; a number that was released
+    already is a repeat and goes. With ``patience`` (such as ``10 minutes``, processing time) a sender that was not
+    heard of for so long has its waiting rows released past the gap. ``place`` long counts a sender's released rows;
+    rows without a sender or a number, or numbered below 1, go. Append mode.
+    """
+    others = [c for c in stream.columns if c not in (sender, number)]
+    bodies = stream.where(F.col(sender).isNotNull() & (F.col(number) >= 1)).select(
+        F.col(sender).cast("string").alias("sender"),
+        F.col(number).cast("bigint").alias("number"),
+        F.to_json(F.struct(sender, *others), _TIMES).alias("body"),
+    )
+    waits = GroupStateTimeout.ProcessingTimeTimeout if patience else GroupStateTimeout.NoTimeout
+    millis = int(pd.Timedelta(patience).total_seconds() * 1000) if patience else 0
+
+    def release(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        after, place, numbers, texts = state.get if state.exists else (1, 0, [], [])
+        held = dict(zip(numbers, texts, strict=True))
+        if not state.hasTimedOut:
+            for batch in batches:
+                for n, body in zip(batch["number"].tolist(), batch["body"].tolist(), strict=True):
+                    if n >= after:
+                        held.setdefault(n, body)
+        out = []
+        for n in sorted(held):
+            if n > after and not state.hasTimedOut:
+                break
+            place += 1
+            out.append((n, place, held.pop(n)))
+            after = n + 1
+        state.update((after, place, list(held), list(held.values())))
+        if patience and held:
+            state.setTimeoutDuration(millis)
+        yield pd.DataFrame(out, columns=["number", "place", "body"])
+
+    released = bodies.groupBy("sender").applyInPandasWithState(
+        release, "number bigint, place bigint, body string", "after bigint, place bigint, numbers array<bigint>, bodies array<string>", "append", waits
+    )
+    kept = stream.select(sender, *others).schema
+    fields = F.from_json("body", kept, _TIMES)
+    return released.select(*[F.col("number").alias(c) if c == number else fields[c].alias(c) for c in stream.columns], "place")
 
 
 def sequence_gaps(df: DataFrame, sender: str, number: str) -> DataFrame:
@@ -71,8 +119,8 @@ def sequence_gaps(df: DataFrame, sender: str, number: str) -> DataFrame:
 
 
 def all_ended(df: DataFrame, keys: list[str], worker: str, ended, n: int) -> DataFrame:
-    """Keys for which ``n`` different workers have said that they are at the end."""
-    return df.where(ended).groupBy(*keys).agg(F.countDistinct(worker).alias("n_ended")).where(F.col("n_ended") == n)
+    """Keys for which ``n`` different workers or more have said that they are at the end."""
+    return df.where(ended).groupBy(*keys).agg(F.countDistinct(worker).alias("n_ended")).where(F.col("n_ended") >= n)
 
 
 def silent(roster: DataFrame, seen: DataFrame, key: str, at: str, now, limit_seconds: int) -> DataFrame:

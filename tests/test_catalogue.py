@@ -85,6 +85,9 @@ def test_compat_fraction_and_route(spark):
     df = spark.range(40).selectExpr("id", "double(id % 7) AS v")
     assert aggregates.top_fraction(df, "v", "id", 80).count() == 8 and aggregates.top_fraction(df, "v", "id", 80, compat=True).count() == 2
     assert aggregates.top_fraction(df.limit(0), "v", "id").count() == 0
+    grouped = spark.createDataFrame([(g, float(k), k) for g, n in (("a", 30), (None, 10), ("c", 3)) for k in range(n)], "g string, v double, id long")
+    got = sorted((str(r["g"]), r["id"]) for r in aggregates.top_fraction(grouped, "v", "id", 80, by=("g",)).collect())
+    assert got == [("None", 8), ("None", 9)] + [("a", k) for k in range(24, 30)]
     tags = spark.createDataFrame([([5, 1],), ([5],), ([2],)], "t array<int>")
     assert [r[0] for r in tags.select(filters.route(F.col("t"), [1, 5])).collect()] == [1, 5, None]
 
@@ -102,6 +105,10 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
 def test_plans(spark, sf_dir):
     from marginalia.plans.registry import QUERIES
 
-    plan = QUERIES["q1_range_keyword_category"](spark, sf_dir)._jdf.queryExecution().toString()
-    assert "PushedFilters" in plan and "GreaterThanOrEqual(p_size,10)" in plan and "Exchange" not in plan
+    plan = QUERIES["filter_range_recent"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(p_size,20)" in plan and "Exchange" not in plan
+    assert "Exchange" not in QUERIES["q1_range_keyword_category"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in QUERIES["q4_top_n"](spark, sf_dir)._jdf.queryExecution().toString()
+    for name in ("sentiment_lexicon", "sentiment_negation"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Join", "Generate", "Window"))

@@ -20,7 +20,8 @@ def duck():
 
 
 def plain(rows):
-    return sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    cells = (tuple(None if v is None else round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    return sorted(cells, key=lambda r: [(v is None, 0 if v is None else v) for v in r])
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
