@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.scratch import written
+
 #: A side is broadcast only after its rows were counted and are no more than this.
 BROADCAST_ROWS = 1_000_000
 
@@ -21,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Our own folder, where the session names none.
-_own: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set (single-machine tests)."""
-    app = spark.sparkContext.applicationId
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _own.setdefault(app, "") or _own.update({app: "file://" + tempfile.mkdtemp(prefix="spark-")}) or _own[app]
-    return path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to be small, else as it is (then the join shuffles)."""
     rows = df.count() if rows is None else rows
@@ -83,12 +57,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Rows ``node, component`` (the smallest node reachable) for every node of ``edges`` (``a``, ``b`` long).
 
     Each round takes the least label among neighbours and then the label of that label, so chains halve;
-    labels live in scratch tables, only the number of changed rows comes to the driver.
+    labels live in written tables, and whether a row changed is all that comes to the driver. A node with very many
+    edges, or a label that very many nodes have, is a hot key of one side of a join: Spark splits it at run time.
     """
-    both = materialize(
+    both = written(
         edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct()
     )
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
@@ -98,7 +73,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         met = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("now"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("next"))
         # the label of a label: it is a node itself, so the join loses nothing
-        new = materialize(met.join(jump, "now").select("node", "was", F.least("now", "next").alias("component")))
+        new = written(met.join(jump, "now").select("node", "was", F.least("now", "next").alias("component")))
         if new.where("was <> component").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import connected_components, materialize, small_batches
+from marginalia.llm.common import connected_components, small_batches
+from marginalia.scratch import written
 
 #: Steps after which the shared bits begin again; classes that characters are hashed to.
 PERIOD, CLASSES = 4096, 64
@@ -236,7 +237,7 @@ def similar_groups(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
     against the smallest one first. Those that don't come into its group are then held against all of the band that
     are in other groups than theirs, so no link of a band is missed; that is many pairs where a large band has many of them.
     """
-    signed = materialize(fingerprints(docs))
+    signed = written(fingerprints(docs))
     classes = signed.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
 
     @F.pandas_udf("array<string>")
@@ -247,18 +248,18 @@ def similar_groups(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    named = materialize(classes.select("node", "fingerprint", F.explode(bands("fingerprint")).alias("band")))
+    named = written(classes.select("node", "fingerprint", F.explode(bands("fingerprint")).alias("band")))
     hubs = named.groupBy("band").agg(F.min(F.struct("node", "fingerprint")).alias("hub"))
     met = named.join(hubs, "band").where("hub.node < node").select("node", "fingerprint", "hub").distinct()
     links = met.where(like("hub.fingerprint", "fingerprint") >= at_least).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     known = connected_components(links)
-    placed = materialize(named.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    placed = written(named.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
     first = placed.groupBy("band").agg(F.min_by("component", "node").alias("first"))
     left = placed.join(first, "band").where("component <> first").select(
         "band", "first", F.col("node").alias("a"), F.col("fingerprint").alias("fp"), F.col("component").alias("other")
     )
     pairs = left.join(placed, "band").where("other <> component AND (component = first OR a < node)").select("a", "fp", "node", "fingerprint").distinct()
     more = pairs.where(like("fp", "fingerprint") >= at_least).select("a", F.col("node").alias("b"))
-    found = connected_components(materialize(links.union(more)))
+    found = connected_components(written(links.union(more)))
     top = classes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group_id"))
     return signed.join(top, "fingerprint").select("doc_id", "group_id")

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import broadcast_if_small, materialize
+from marginalia.llm.common import broadcast_if_small
+from marginalia.scratch import written
 
 MULTIPLIER, MODULUS = 1_000_003, 4_294_967_291
 
@@ -110,10 +111,10 @@ def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col:
         "_id", "_key", F.col("_span.begin").alias("_at"), F.col("_span.size").alias("_size"), F.col("_span.hash").alias("_h")
     )
     # numbers first: which hashes occur in more than one place
-    again = materialize(pieces.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h"))
-    suspects = materialize(pieces.join(broadcast_if_small(again), "_h", "left_semi"))
+    again = written(pieces.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h"))
+    suspects = written(pieces.join(broadcast_if_small(again), "_h", "left_semi"))
     # partial minima absorb a span that is everywhere
-    firsts = materialize(
+    firsts = written(
         suspects.groupBy("_h")
         .agg(F.min(F.struct("_id", "_key", "_at")).alias("first"))
         .select("_h", F.col("first._key").alias("_first_key"), F.col("first._at").alias("_first_at"))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import WORD, broadcast_if_small, materialize
+from marginalia.llm.common import WORD, broadcast_if_small
+from marginalia.scratch import written
 
 #: Weights by place of the source in code point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -65,12 +66,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     """
     new = ("size", "source_size", "target", "copies", "taken")
     rows = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"))
-    units = materialize(
+    units = written(
         rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows"))
     )
     sizes = units.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("n"))
     goals = (
-        materialize(source_targets(sizes, weights, most))
+        written(source_targets(sizes, weights, most))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)))
         .withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("bins", F.least(F.ceil(F.col("n") / BIN_DOCS), F.ceil(F.sqrt(F.col("n")))))
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     )
     by_bin = ranked.where("rank IS NOT NULL").groupBy("source", "bin").agg(F.sum("words").alias("w"), F.first("goal").alias("goal"))
     up = Window.partitionBy("source").orderBy("bin")
-    cut = materialize(
+    cut = written(
         by_bin.withColumn("reached", F.sum("w").over(up))
         .where("reached > goal")
         .groupBy(F.col("source").alias("s"))
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     )
     within = _fill(marked.where(edge).withColumn("gap", F.col("goal") - F.col("below")))
     cols = ["doc_id", "source", "size", (F.col("whole") + F.col("more").cast("bigint")).cast("bigint").alias("copies")]
-    copies = materialize(clear.select(*cols).union(within.select(*cols)))
+    copies = written(clear.select(*cols).union(within.select(*cols)))
     joined = rows.alias("r").join(
         copies.alias("c"),
         F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")),

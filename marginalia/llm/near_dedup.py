@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import broadcast_if_small, connected_components, grouped, materialize, small_batches
+from marginalia.llm.common import broadcast_if_small, connected_components, grouped, small_batches
+from marginalia.scratch import written
 
 #: BANDS bands of BAND_VALUES values (half of them minima, half maxima): a pair of similarity 0.8 shares no
 #: band with odds of (1 - 0.8 ** 6) ** 48 < 1e-6.
@@ -219,10 +220,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = materialize(signatures(docs, words))
+    signed = written(signatures(docs, words))
     stand_in = F.lit(STAND_IN) + F.pmod(F.shiftright("k1", 3), F.lit(1 << 61))
     signed = signed.withColumn("node", F.coalesce("doc_id", stand_in))
-    classes = materialize(
+    classes = written(
         signed.where("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("class"), F.first("n").alias("n"))
     )
     # one row a class: the bands of its smallest document
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .join(classes.select("k1", "k2", F.col("class").alias("node")), ["k1", "k2", "node"])
         .select("node", F.explode("bands").alias("band"))
     )
-    hubs = materialize(heads.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    hubs = written(heads.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     hubs = broadcast_if_small(hubs.select("band", "hub"))
     candidates = connected_components(star_edges(heads.join(hubs, "band").select("hub", "node")))
     links = _confirmed(docs, signed, candidates, words, percent)
@@ -269,7 +270,7 @@ def _confirmed(docs: DataFrame, signed: DataFrame, candidates: DataFrame, words:
             F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("g"),
         )
     )
-    placed = materialize(candidates.join(sizes, "component").select("node", "component", "g"))
+    placed = written(candidates.join(sizes, "component").select("node", "component", "g"))
 
     @F.pandas_udf("bigint")
     def stand_in(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -314,6 +315,6 @@ def _confirmed(docs: DataFrame, signed: DataFrame, candidates: DataFrame, words:
             yield pd.DataFrame(_forest(ids[order], a, b), columns=["a", "b"], dtype="int64")
 
     parts = F.col("component"), F.col("i"), F.col("j")
-    return materialize(
+    return written(
         dealt.repartition(*parts).sortWithinPartitions(*parts).mapInPandas(compare, "a bigint, b bigint")
     )

@@ -8,66 +8,43 @@ the pieces by the rank of a piece among those of its length.
 
 from __future__ import annotations
 
-import base64
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import public_tokenizers
-import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import materialize, small_batches
+from marginalia.llm.common import small_batches
+from marginalia.scratch import written
 
 CAPACITY, END_ID = 2048, 1
-#: Pieces of one length are ranked in so many parts.
-PARTS = 128
-#: ``tiktoken`` panics at about a million white-space characters in a row: texts with so many aren't given to it.
-LONG_SPACE = 100_000
-_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}").search
-
-
-class Encoder:
-    """Whole-text ids, as little-endian 32-bit numbers, of a byte-level BPE tokenizer file.
-
-    A ``.json`` file is read by ``tokenizers``. A ``.tiktoken`` file holds the same vocabulary as ranks and is
-    read by ``tiktoken``, which gives the same ids in less time (the tests hold one against the other); texts
-    with ``LONG_SPACE`` white-space characters in a row go to the ``.json`` file beside it. Texts that look like
-    special tokens are ordinary text.
-    """
-
-    def __init__(self, path: str) -> None:
-        self.path, self.tokenizer = path, None
-        if path.endswith(".tiktoken"):
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
-            self.tokenizer = tokenizers.Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
-
-    def __call__(self, text: str) -> bytes:
-        if self.tokenizer is None:
-            if len(text) >= LONG_SPACE and _LONG_SPACE(text):
-                return encoder(self.path.removesuffix(".tiktoken") + ".json")(text)
-            ids = self.ranks.encode_ordinary(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+#: Pieces of one length are ranked in parts of about so many.
+PART_ROWS = 100_000
+#: Texts encoded at once hold about so many characters.
+BATCH_CHARS = 200_000
+
+_tokenizers: dict[str, tokenizers.Tokenizer] = {}
+
+
+def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """Ids of whole texts by the tokenizer of a file as it stands there, without added special tokens."""
+    if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        _tokenizers[path] = tokenizers.Tokenizer.from_file(path)
+    at = 0
+    while at < len(texts):
+        end, chars = at + 1, len(texts[at])
+        while end < len(texts) and chars + len(texts[end]) <= BATCH_CHARS:
+            chars += len(texts[end])
+            end += 1
+        for found in _tokenizers[path].encode_batch_fast(texts[at:end], add_special_tokens=False):
+            yield np.array(found.ids, "<u4")
+        at = end
 
 
 def pack_histogram(lengths: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -93,20 +70,18 @@ def pack_histogram(lengths: dict[int, int], capacity: int) -> list[tuple[tuple[i
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) of every piece of every document."""
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (encode(text) if isinstance(text, str) else b"") + end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    row = (doc_id, start, len(part) // 4, zlib.crc32(part), total)
-                    rows.append((*row, np.frombuffer(part, "<u4").astype("int32")) if with_ids else row)
+            for doc_id, found in zip(batch["doc_id"], encoded(batch["text"].fillna("").tolist(), tokenizer_path), strict=True):
+                ids = np.concatenate([found, end])
+                for start in range(0, len(ids), capacity):
+                    part = ids[start : start + capacity]
+                    row = (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids))
+                    rows.append((*row, part.astype("int32")) if with_ids else row)
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
@@ -118,16 +93,27 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     A document's ids and the end id lie in pieces of at most ``capacity`` ids: full ones and a rest. Null and
     empty texts have the end id alone. Repeated rows are documents of their own; an empty table gives none.
-    Other columns are not read. Only counts by length, at most ``capacity * PARTS`` of them, come to the driver.
+    Other columns are not read. A length with very many pieces, as full ones are, is ranked in many parts: what comes
+    to the driver is a count for each length (``capacity`` at most) and for each part of PART_ROWS pieces.
     """
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, with_ids).withColumn("part", part))
-    counts = np.zeros((capacity + 1, PARTS), np.int64)
-    for length, where, n in pieces.groupBy("length", "part").count().collect():
-        counts[length, where] = n
-    ahead = np.cumsum(counts, axis=1) - counts
-    patterns = pack_histogram({k: int(n) for k, n in enumerate(counts.sum(axis=1)) if n}, capacity)
+    # a number of its own for each piece, so that equal rows are dealt over all parts
+    pieces = written(token_pieces(docs, tokenizer_path, capacity, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id()))
+    totals = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():
+        totals[length] = n
+    parts = -(-totals // PART_ROWS)
+    first = np.cumsum(parts) - parts
+    dealing = spark.createDataFrame([(k, int(first[k]), int(parts[k])) for k in range(capacity + 1) if parts[k]], "length bigint, first bigint, parts bigint")
+    part = F.col("first") + F.pmod(F.xxhash64("_row"), F.col("parts"))
+    dealt = pieces.join(F.broadcast(dealing), "length").withColumn("_part", part).drop("first", "parts")
+    counts = np.zeros(parts.sum(), np.int64)
+    for where, n in dealt.groupBy("_part").count().collect():
+        counts[where] = n
+    # how many pieces of a part's length are in the parts before it
+    ahead = np.cumsum(counts) - counts
+    ahead -= np.repeat(ahead[first[parts > 0]], parts[parts > 0])
+    patterns = pack_histogram({k: int(n) for k, n in enumerate(totals) if n}, capacity)
     taken = np.zeros(capacity + 1, np.int64)
     slots, sequence = [], 0
     for pattern, n in patterns:
@@ -139,20 +125,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         sequence += n
     slots.sort()
     shape = np.array(slots, np.int64).reshape(-1, 4)
+    # a row for each place of a pattern, and one for each part
     shared = spark.sparkContext.broadcast((ahead, shape[:, 0] << 44 | shape[:, 1], shape[:, 1:].copy()))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         before, keys, values = shared.value
         for length, where, nth in batches:
-            rank = before[length, where] + nth.to_numpy() - 1
+            rank = before[where] + nth.to_numpy() - 1
             slot = np.searchsorted(keys, length.to_numpy() << 44 | rank, side="right") - 1
             found = values[slot]
             yield pd.DataFrame({"sequence_id": found[:, 1] + rank - found[:, 0], "offset": found[:, 2]})
 
-    nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_row"))
     return (
-        pieces.withColumn("_nth", nth.cast("bigint"))
-        .withColumn("_at", place("length", "part", "_nth"))
-        .select(*[c for c in pieces.columns if c != "part"], "_at.sequence_id", "_at.offset")
+        dealt.withColumn("_nth", nth.cast("bigint"))
+        .withColumn("_at", place("length", "_part", "_nth"))
+        .select(*[c for c in pieces.columns if c != "_row"], "_at.sequence_id", "_at.offset")
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import materialize
+from marginalia.scratch import written
 
 #: Segments of each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         side.select(F.col("vec_id").cast("bigint").alias("vec_id"), scaled(F.col("embedding")).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
         for side in (vectors, queries)
     ]
-    candidates, asked = ready[0], materialize(ready[1].withColumn("uid", F.monotonically_increasing_id()))
+    candidates, asked = ready[0], written(ready[1].withColumn("uid", F.monotonically_increasing_id()))
     # equal rows of queries are searched once each; blocks by a hash, twice as many as they would fill
     blocks = max(1, -(-2 * asked.count() // QUERY_BLOCK)) if not asked.isEmpty() else 1
     asked = asked.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))

@@ -5,37 +5,30 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from marginalia.llm.packing import Encoder, pack, pack_histogram
+from marginalia.llm import packing
+from marginalia.llm.packing import encoded, pack, pack_histogram
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def reference_ids(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
-def test_both_files_give_the_same_ids(sf_dir, spark):
-    encode, other = Encoder(RANKS), Encoder(PATH)
+def test_ids_are_those_of_single_texts(spark, sf_dir):
     rnd = random.Random(2)
-    bits = [" ", "  ", "\n", "\t", " \n", " ", "　", "'s", "'", "don't", "é", "Ünder", "12", "3.4", "!!", "漢字", "\U0001f600", "a", "<|endoftext|>", "\x1c", "\x85"]
+    bits = [" ", "  ", "\n", "\t", " \n", " ", "　", "'s", "'", "don't", "é", "Ünder", "12", "3.4", "!!", "漢字", "\U0001f600", "a", "<|endoftext|>", "\x1c", "\x85"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(1500)]
     texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    for text in texts:
-        assert encode(text) == other(text), repr(text)
-        assert np.frombuffer(encode(text), "<u4").tolist() == reference_ids(text)
+    for text, ids in zip(texts, encoded(texts, PATH), strict=True):
+        assert ids.tolist() == reference_ids(text), repr(text)
+    assert next(encoded(["a <|endoftext|> b"], PATH)).tolist() == [64, 220, 50256, 275]
 
 
 def test_long_runs_of_white_space(spark):
-    encode, other = Encoder(RANKS), Encoder(PATH)
-    for text in (" " * 1_200_000, "x" + "\n" * 1_200_000 + "y", "x" + " \t\xa0" * 400_000 + "y", "a" * 1_200_000, "x" + " " * 99_999 + "y", "x" + " " * 100_000 + "y"):
-        assert encode(text) == other(text)
-    rows = [(1, "before"), (2, "x" + " " * 1_200_000 + "y"), (3, "after")]
-    verify(pack(spark.createDataFrame(rows, "doc_id long, text string"), RANKS).collect(), dict(rows))
+    rows = [(1, "before"), (2, "x" + " " * 1_200_000 + "y"), (3, "after"), (4, "x" + " \t\xa0" * 400_000 + "y"), (5, "\n" * 1_200_000)]
+    verify(pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), dict(rows))
 
 
 def test_histogram_packing_keeps_counts_and_fits():
@@ -78,7 +71,17 @@ def verify(rows, texts, capacity=2048):
 def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert verify(pack(docs, RANKS).collect(), texts) > 0.98
+    assert verify(pack(docs, PATH).collect(), texts) > 0.98
+
+
+def test_many_parts_of_a_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    rows = [(k, "word " * (k % 3) + "x" * (k % 2)) for k in range(300)] + [(900, "word " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert verify(pack(df, PATH).collect(), dict(rows)) > 0.9
+    same = spark.createDataFrame([(None, "a b c")] * 200, "doc_id long, text string")
+    got = pack(same, PATH).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 200
 
 
 def test_odd_rows(spark):
