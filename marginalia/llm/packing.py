@@ -8,9 +8,12 @@ the pieces by the rank of a piece among those of its length.
 
 from __future__ import annotations
 
+import math
 import os
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,28 +26,60 @@ from marginalia.llm.common import small_batches
 from marginalia.scratch import written
 
 CAPACITY, END_ID = 2048, 1
-#: Pieces of one length are ranked in parts of about so many.
-PART_ROWS = 100_000
-#: Texts encoded at once hold about so many characters.
-BATCH_CHARS = 200_000
+#: Pieces of one length are ranked in parts of about so many, or of about the root of the number of all if that is more.
+PART_ROWS = 500
+#: Units up to so many characters are remembered with their ids, so many of them twice over in each worker.
+UNIT_CHARS, UNITS = 40, 300_000
+#: No token of the byte-level pattern reaches from a non-space over a single space before another one, nor from a letter
+#: to a space or to these marks, so a text's ids are those of its units one after another.
+_UNIT = re.compile(r" ?[A-Za-z]++(?=[ ,.;:!?])|[,.;:!?]++(?= \S)|(?s:.)+?(?:(?<=\S)(?= \S)|(?<=[A-Za-z])(?=[,.;:!?])|\Z)")
+_WORD = re.compile(r" ?[A-Za-z]+").fullmatch
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
-_tokenizers: dict[str, tokenizers.Tokenizer] = {}
 
+class Units(dict):
+    """Ids of units, as little-endian 32-bit numbers, by the tokenizer of a file in its default state.
 
-def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of whole texts by the tokenizer of a file as it stands there, without added special tokens."""
-    if path not in _tokenizers:
+    When UNITS are remembered they become the older half; what is met again comes back from there.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        _tokenizers[path] = tokenizers.Tokenizer.from_file(path)
-    at = 0
-    while at < len(texts):
-        end, chars = at + 1, len(texts[at])
-        while end < len(texts) and chars + len(texts[end]) <= BATCH_CHARS:
-            chars += len(texts[end])
-            end += 1
-        for found in _tokenizers[path].encode_batch_fast(texts[at:end], add_special_tokens=False):
-            yield np.array(found.ids, "<u4")
-        at = end
+        self.tokenizer, self.older = tokenizers.Tokenizer.from_file(path), {}
+        self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.space = self.split(" ")[0][0]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) if added else r"(?!)").search
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            if _WORD(unit):  # its bytes stand for themselves, and a space for the letter that stands for it
+                ids = [token.id for token in self.model(unit.replace(" ", self.space))]
+            elif self.added(unit):
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            else:
+                ids = [token.id for piece, _ in self.split(unit) for token in self.model(piece)]
+            found = _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else np.array(ids, "<u4").tobytes()
+        if len(unit) <= UNIT_CHARS:
+            if len(self) >= UNITS:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, _UNIT.findall(text))), "<u4")
+
+
+_units: dict[str, Units] = {}
+
+
+def encoded(texts: Iterable[str], path: str) -> Iterator[np.ndarray]:
+    """Ids of whole texts by the byte-level tokenizer of a file, without added special tokens."""
+    if path not in _units:
+        _units[path] = Units(path)
+    return map(_units[path].ids, texts)
 
 
 def pack_histogram(lengths: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -76,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, found in zip(batch["doc_id"], encoded(batch["text"].fillna("").tolist(), tokenizer_path), strict=True):
+            for doc_id, found in zip(batch["doc_id"], encoded(batch["text"].fillna(""), tokenizer_path), strict=True):
                 ids = np.concatenate([found, end])
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
@@ -94,7 +129,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     A document's ids and the end id lie in pieces of at most ``capacity`` ids: full ones and a rest. Null and
     empty texts have the end id alone. Repeated rows are documents of their own; an empty table gives none.
     Other columns are not read. A length with very many pieces, as full ones are, is ranked in many parts: what comes
-    to the driver is a count for each length (``capacity`` at most) and for each part of PART_ROWS pieces.
+    to the driver is a count for each length (``capacity`` at most) and for each part (their root of all pieces at most).
     """
     spark = docs.sparkSession
     # a number of its own for each piece, so that equal rows are dealt over all parts
@@ -102,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     totals = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         totals[length] = n
-    parts = -(-totals // PART_ROWS)
+    parts = -(-totals // max(PART_ROWS, math.isqrt(int(totals.sum()))))
     first = np.cumsum(parts) - parts
     dealing = spark.createDataFrame([(k, int(first[k]), int(parts[k])) for k in range(capacity + 1) if parts[k]], "length bigint, first bigint, parts bigint")
     part = F.col("first") + F.pmod(F.xxhash64("_row"), F.col("parts"))

@@ -16,10 +16,11 @@ def reference_ids(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
-def test_ids_are_those_of_single_texts(spark, sf_dir):
+def test_ids_are_those_of_whole_texts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(packing, "UNITS", 500)
     rnd = random.Random(2)
-    bits = [" ", "  ", "\n", "\t", " \n", " ", "　", "'s", "'", "don't", "é", "Ünder", "12", "3.4", "!!", "漢字", "\U0001f600", "a", "<|endoftext|>", "\x1c", "\x85"]
-    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(1500)]
+    bits = [" ", "  ", "\n", "\t", " \n", " ", "　", "'s", "'", "don't", "é", "Ünder", "12", "3.4", "!!", "漢字", "\U0001f600", "a", "<|endoftext|>", "\x1c", "\x85", ",", ".", "it's.", "x,y", " , ", "I'll!"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(6000)]
     texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     for text, ids in zip(texts, encoded(texts, PATH), strict=True):
         assert ids.tolist() == reference_ids(text), repr(text)
