@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines at the edges of block elements. Lengths of text are summed over sliding windows of
-lines; where the sum surges the main text begins, where it dives to nothing it ends. Lines of menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments have length 0 there, and so have lines beside an
-article element if the page has one.
+lines; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and lines that are
+mostly links, count nothing there. Where the sum surges from nothing a stretch of text begins, where it dives to
+nothing it ends. Stretches whose sum never comes near the page's largest one are no main text. Tags correct this in
+one direction: no line of the article or main element that holds most of the text is lost.
 """
 
 from __future__ import annotations
@@ -19,126 +20,201 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import small_batches
 
-#: Lines in a window; a window of a page without an article element surges above so many characters.
-WINDOW, SURGE = 3, 86
-
-#: Elements whose content is no text of the page; a head holds no other text, so it needs no closing tag. Those of
-#: ``HELD`` are empty if their tag ends in ``/>``.
-RAW, HELD = "script|style|title", "noscript|template|svg|math|iframe|object|canvas|video|audio"
-_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<raw>{RAW}|(?:{HELD})(?!{_REST}(?<=/)>))(?=[\s/>]){_REST}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Lines in a window; the share of the page's largest window sum that a stretch of text reaches somewhere.
+WINDOW, SURGE = 3, 0.25
 
+#: Elements whose content is no text of the page. A head holds no other text, so it needs no closing tag; the last ones
+#: are empty if their tag ends in ``/>``.
+RAW = frozenset("script style title".split())
+HELD = frozenset("noscript template svg iframe object canvas video audio".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext "
+    "q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_HELD = frozenset(HELD.split("|"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(["article", "main"])
 #: Elements that hold no main text wherever they stand; a header inside an article holds its headline.
 BOILERPLATE = frozenset("nav footer aside form menu button dialog select textarea option fieldset".split())
-_WORDS = (
-    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|masthead|footer|foot|cookies?|"
-    r"consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|register|form|search|share|"
-    r"sharing|social|related|recommended|recommendations|comments?|commentlist|replies|reply|disqus|respond|pagination|pager|widget|"
-    r"toolbar|complementary|contentinfo|skip"
+#: Names that a class, id or role has as a whole word between spaces; longer names that contain one mean nothing.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored menu nav navbar navigation breadcrumb breadcrumbs sidebar site-header "
+    "page-header site-footer page-footer footer cookie cookies cookie-banner cookie-notice cookie-consent notice notices newsletter "
+    "comments comment comment-list commentlist comments-area disqus_thread replies pagination complementary contentinfo banner".split()
 )
-_NAMED = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
-_NAMED_HEADER = re.compile(r"(?:^|[\s_-])(?:header|top-?bar|site-?header)(?:$|[\s_-])", re.I)
+READERS = frozenset("comment comments comment-list commentlist replies".split())
+
+_NAME = re.compile(r"/?[a-zA-Z][\w:-]*")
+_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTE = re.compile(r"[\"'>]")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW | HELD}
 
 
 @dataclass
 class Line:
     text: str
-    article: bool
+    article: int  # number of the innermost article or main element, 0 outside
     boilerplate: bool
     linked: int  # characters inside links
+    heading: bool
+
+
+def tokens(page: str) -> Iterator[tuple[str, str]]:
+    """Texts as ``("", text)`` and tags as ``(name, attributes)``, ``(/name, "")``, in time linear in the page.
+
+    A tag ends at the first ``>`` outside quotes. Once a tag has none, quotes in the rest of the page don't match and
+    are ignored; a tag without any ``>`` ends the page.
+    """
+    at, quoted = 0, True
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            yield "", page[at:]
+            return
+        if start > at:
+            yield "", page[at:start]
+        name = _NAME.match(page, start + 1)
+        if name is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                at = len(page) if end < 0 else end + 3
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                end = page.find(">", start)
+                at = len(page) if end < 0 else end + 1
+            else:
+                yield "", "<"
+                at = start + 1
+            continue
+        end = _tag_end(page, name.end()) if quoted else -1
+        if end < 0:
+            quoted, end = False, page.find(">", name.end())
+            if end < 0:
+                return
+        tag, rest = name[0].lower(), page[name.end() : end]
+        at = end + 1
+        if tag in RAW or (tag in HELD and not rest.endswith("/")):
+            close = _CLOSE[tag].search(page, at)
+            at = len(page) if close is None else close.end()
+            yield tag, "/"
+        else:
+            yield tag, rest
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Place of the first ``>`` outside quotes; -1 if there is none."""
+    while found := _QUOTE.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        at = page.find(found[0], found.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+@dataclass
+class _Open:
+    name: str
+    boilerplate: bool
+    article: int
+    links: int
+    heading: bool
 
 
 def page_lines(page: str) -> list[Line]:
     """Text of each block in page order, with decoded references and single spaces."""
     lines: list[Line] = []
     buffer: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    linked = articles = 0
+    stack = [_Open("", False, 0, 0, False)]
+    counts: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
-        if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
-            if text:
-                lines.append(Line(text, any(x[2] for x in stack), any(x[1] for x in stack), linked))
-            buffer.clear()
+        text = " ".join(html.unescape("".join(buffer)).split())
+        if text:
+            top = stack[-1]
+            lines.append(Line(text, top.article, top.boilerplate, linked, top.heading))
+        buffer.clear()
         linked = 0
 
-    at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            piece = page[at : token.start()]
-            buffer.append(piece)
-            if any(x[0] == "a" for x in stack):
-                linked += len(piece.strip())
-        at = token.end()
-        name = (token["name"] or "").lower()
-        if token["raw"]:
+    def close(name: str) -> None:
+        if counts.get(name):
+            while True:
+                gone = stack.pop()
+                counts[gone.name] -= 1
+                if gone.name == name:
+                    return
+
+    for name, rest in tokens(page):
+        if not name:
+            buffer.append(rest)
+            if stack[-1].links:
+                linked += len(rest.strip())
             continue
-        if not name or name in _HELD:
+        bare = name.lstrip("/")
+        if bare in RAW or bare in HELD:
             continue
-        if name not in INLINE:
+        if bare not in INLINE:
             flush()
-        if token["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name not in VOID and not token["rest"].rstrip().endswith("/"):
-            inside = any(x[2] for x in stack)
-            article = name in ARTICLE
-            plain = article or name in ("html", "head", "body")
-            marks = " ".join(x[0] or x[1] or x[2] for x in _ATTRIBUTE.findall(token["rest"] or ""))
-            bad = name in BOILERPLATE or (name == "header" and not inside)
-            bad = bad or (not plain and bool(marks) and bool(_NAMED.search(marks) or (not inside and _NAMED_HEADER.search(marks))))
-            bad = bad or (article and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", marks, re.I)))
-            if bad and name in INLINE:
+        if name != bare:
+            close(bare)
+        elif bare not in VOID and not rest.rstrip().endswith("/"):
+            if bare == "p":  # a paragraph ends the one before it
+                close_p = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name not in INLINE), 0)
+                if stack[close_p].name == "p":
+                    close("p")
+            over = stack[-1]
+            marks = {x for found in _ATTRIBUTE.findall(rest) for x in (found[0] or found[1] or found[2]).lower().split()} if "=" in rest else set()
+            articles += bare in ARTICLE
+            bad = bare in BOILERPLATE or (bare == "header" and not over.article)
+            bad = bad or bool(marks & (READERS if bare in ARTICLE or bare in ("html", "body") else NAMES))
+            if bad and bare in INLINE:
                 flush()
-            if name == "p":  # a paragraph ends the one before it
-                stack = [x for k, x in enumerate(stack) if x[0] != "p" or any(y[2] or y[1] for y in stack[k + 1 :])]
-            stack.append((name, bad, article))
-    tail = page[at:]
-    if tail:
-        buffer.append(tail if "<" not in tail else tail[: tail.index("<")] if re.search(r"<[/!a-zA-Z][^>]*\Z", tail) else tail)
+            stack.append(
+                _Open(bare, over.boilerplate or bad, articles if bare in ARTICLE else over.article, over.links + (bare == "a"), over.heading or bare in HEADINGS)
+            )
+            counts[bare] = counts.get(bare, 0) + 1
     flush()
     return lines
 
 
+def stretches(sizes: list[int]) -> list[tuple[int, int]]:
+    """Places (first line, line after the last) of the stretches of text among lines of these sizes.
+
+    A stretch goes from where the sum of WINDOW lines surges from 0 to where it dives to 0, without lines of size 0 at
+    its ends, and counts if its largest sum is at least SURGE of the largest of all.
+    """
+    blocks = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
+    most = max(blocks, default=0)
+    found, begin = [], None
+    for i, block in enumerate([*blocks, 0]):
+        if block and begin is None:
+            begin = i
+        elif not block and begin is not None:
+            if max(blocks[begin:i]) >= SURGE * most:
+                inside = [k for k in range(begin, i) if sizes[k]]
+                found.append((inside[0], inside[-1] + 1))
+            begin = None
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: its blocks in page order, joined by one space."""
     if not isinstance(page, str):
         return ""
     lines = page_lines(page)
-    article = any(x.article and not x.boilerplate for x in lines)
-    # the text of a line that counts; inside an article element all that isn't boilerplate does
-    sizes = [
-        0 if x.boilerplate or (article and not x.article) or (not article and 2 * x.linked > len(x.text)) else len(x.text) for x in lines
-    ]
-    surge = 0 if article else SURGE
-    blocks = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    kept: list[str] = []
-    inside = False
-    for i, block in enumerate(blocks):
-        if not inside and block > surge:
-            inside = True
-        elif inside and block == 0:
-            inside = False
-        if inside and sizes[i]:
-            kept.append(lines[i].text)
-    return " ".join(kept)
+    sizes = [0 if x.boilerplate or (not x.heading and 2 * x.linked > len(x.text)) else len(x.text) for x in lines]
+    kept = [False] * len(lines)
+    held: dict[int, int] = {}
+    for begin, end in stretches(sizes):
+        kept[begin:end] = [True] * (end - begin)
+    for line, size in zip(lines, sizes, strict=True):
+        held[line.article] = held.get(line.article, 0) + size
+    main = max(held, key=lambda k: (held[k], -k), default=0)
+    return " ".join(x.text for x, stays in zip(lines, kept, strict=True) if not x.boilerplate and (stays or (main and x.article == main)))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
