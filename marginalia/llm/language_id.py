@@ -18,13 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import small_batches
-
-#: Bounds of the training sample: rows and code points of one slice of each row, per language; languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGS = 160, 128, 256
-#: Distinct letters that the automata know; rarer ones never match.
-ALPHABET = 250
-#: Texts are parsed in pieces of so many symbols (a phrase ends with its piece), so many pieces at once.
+from marginalia.llm.common import broadcast_if_small, small_batches
+from marginalia.scratch import written
+
+#: Bounds of the training sample: rows of a language, code points of one slice of each row, and of all slices together:
+#: with more than SAMPLE_TOTAL / (SAMPLE_ROWS * SAMPLE_CHARS) languages each gets fewer rows, but one at least.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TOTAL = 160, 128, 4_000_000
+#: Entries of the table that gives the steps of the commonest letters; those of all other letters are looked up.
+TABLE = 16_000_000
+#: Texts are parsed in pieces of so many symbols, so many pieces at once. A phrase ends with its piece, which adds one
+#: phrase at most to each piece, in every language alike.
 PIECE, LANES = 1024, 2048
 #: Added to a state for each phrase that ends on the way there.
 BREAK = 1 << 29
@@ -38,12 +41,40 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
+    """Automata of all languages in one numbering of states. Symbols below ``width`` step by a table, others by search."""
+
     langs: list[str]
-    steps: np.ndarray  # flat: (language's first state + state) * symbols + symbol -> state, plus BREAKs
+    width: int
+    table: np.ndarray  # flat: state * width + symbol -> state, plus BREAKs
+    rare_keys: np.ndarray  # sorted: state << 32 | symbol
+    rare_to: np.ndarray
     starts: np.ndarray  # first state of each language
+    start_of: np.ndarray  # first state of each state's language
     bits: np.ndarray  # bits that name a phrase, by language
-    letters: np.ndarray  # code point -> symbol
-    symbols: int
+    known: np.ndarray  # sorted code points of the letters
+    symbol: np.ndarray  # their symbols
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states after one symbol for each column, plus BREAK for each phrase that ends on the way."""
+        out = self.table[state * self.width + np.minimum(symbols, self.width - 1)]
+        rare = np.flatnonzero(symbols >= self.width)
+        if len(rare):
+            out[:, rare] = self._rare(state[:, rare], symbols[rare].astype(np.int64))
+        return out
+
+    def _rare(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        start = self.start_of[state]
+        on = self._find(state, symbols)
+        fresh = self._find(start, symbols)  # the phrase ends before the symbol, which begins the next one
+        fresh = np.where(fresh < 0, start + BREAK, fresh)  # what never occurs is a phrase by itself
+        return np.where(on >= 0, on, fresh + np.where(state == start, 0, BREAK)).astype(np.int32)
+
+    def _find(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if not len(self.rare_keys):
+            return np.full(state.shape, -1, np.int64)
+        keys = state.astype(np.int64) << 32 | symbols
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == keys, self.rare_to[at].astype(np.int64), -1)
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -80,42 +111,61 @@ def _fold(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+#: Symbols: the end of a piece, a run of non-letters, a letter that no sample has (it never matches); then the letters.
+END, GAP, STRANGE, FIRST = 0, 1, 2, 3
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
-    """A model from texts by language. Symbol 0 ends a piece, 1 is any non-letter run, 2 any unknown letter."""
+    """A model from texts by language."""
     langs = sorted(samples)
     seen = Counter(c for lang in langs for t in samples[lang] for c in t.lower() if c.isalpha())
-    known = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-    letters = np.ones(0x110000, np.uint8)
-    letters[[k for k in range(0x110000) if chr(k).isalpha()]] = 2
-    for k, c in enumerate(known):
-        letters[ord(c)] = 3 + k
-    symbols = 3 + len(known)
-    parts, starts, bits, at = [], [], [], 0
+    order = [ord(c) for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+    known = np.array(sorted(order), np.uint32)
+    symbol = np.empty(len(order), np.uint32)
+    symbol[np.searchsorted(known, np.array(order, np.uint32))] = np.arange(FIRST, FIRST + len(order), dtype=np.uint32)
+    automata, starts, bits, at = [], [], [], 0
     for lang in langs:
-        codes = [1]
+        codes = [GAP]
         for t in samples[lang]:
-            codes += _symbols(t, letters).tolist()
-        automaton = suffix_automaton(codes)
-        root = np.full(symbols, BREAK, np.int64)  # what never occurs is a phrase by itself
-        root[list(automaton[0])] = list(automaton[0].values())
-        dense = np.repeat((root + BREAK)[None, :], len(automaton), axis=0)
-        dense[0] = root
-        for state, to in enumerate(automaton):
-            dense[state, list(to)] = list(to.values())
-        dense[:, 0] = BREAK
-        dense[0, 0] = 0
-        parts.append(dense + at)
+            codes += _symbols(t, known, symbol).tolist()
+        automata.append(suffix_automaton(codes))
         starts.append(at)
         bits.append(np.log2(len(codes) + 1))
-        at += len(automaton)
-    steps = np.concatenate(parts).astype(np.int32).ravel() if parts else np.zeros(0, np.int32)
-    return Model(langs, steps, np.array(starts, np.int64), np.array(bits), letters, symbols)
-
-
-def _symbols(text: str, letters: np.ndarray) -> np.ndarray:
+        at += len(automata[-1])
+    width = max(FIRST + 1, min(FIRST + len(order), TABLE // max(at, 1)))
+    table = np.zeros((at, width), np.int32)
+    start_of = np.zeros(at, np.int64)
+    rare: list[tuple[int, int]] = []
+    for begin, automaton in zip(starts, automata, strict=True):
+        root = np.full(width, BREAK, np.int64)  # what never occurs is a phrase by itself
+        mine = table[begin : begin + len(automaton)]
+        for state, to in enumerate(automaton):
+            rare += [((begin + state) << 32 | c, begin + nxt) for c, nxt in to.items() if c >= width]
+        common = [{c: nxt for c, nxt in to.items() if c < width} for to in automaton]
+        root[list(common[0])] = list(common[0].values())
+        mine[:] = (root + BREAK + begin)[None, :]
+        mine[0] = root + begin
+        for state, to in enumerate(common):
+            if to:
+                mine[state, list(to)] = [begin + nxt for nxt in to.values()]
+        mine[:, END] = BREAK + begin
+        mine[0, END] = begin
+        start_of[begin : begin + len(automaton)] = begin
+    rare.sort()
+    keys, to = (np.array([x[k] for x in rare], np.int64) for k in range(2))
+    return Model(langs, width, table.ravel(), keys, to.astype(np.int32), np.array(starts, np.int64), start_of, np.array(bits), known, symbol)
+
+
+def _symbols(text: str, known: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Symbols of a text between two single gaps; runs of non-letters count as one gap."""
-    codes = np.concatenate([[1], letters[_fold(text)], [1]]).astype(np.uint8)
-    return codes[1:][(codes[1:] != 1) | (codes[:-1] != 1)]
+    folded = _fold(text)
+    points, back = np.unique(folded, return_inverse=True)
+    each = np.where([chr(p).isalpha() for p in points.tolist()], STRANGE, GAP).astype(np.uint32)
+    if len(known) and len(points):
+        at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+        each = np.where(known[at] == points, symbol[at], each)
+    codes = np.concatenate([[GAP], each[back.ravel()] if len(folded) else [], [GAP]]).astype(np.uint32)
+    return codes[1:][(codes[1:] != GAP) | (codes[:-1] != GAP)]
 
 
 def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
@@ -127,10 +177,11 @@ def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
             owner.append(k)
             pieces.append(codes[at : at + PIECE])
     order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-    for at in range(0, len(order), LANES):
-        lanes = order[at : at + LANES]
+    lanes_at_once = max(1, min(LANES, 8 * LANES // max(1, len(model.langs))))
+    for at in range(0, len(order), lanes_at_once):
+        lanes = order[at : at + lanes_at_once]
         sizes = np.array([len(pieces[i]) for i in lanes])
-        lines = np.zeros((sizes[0] + 1, len(lanes)), np.int32)
+        lines = np.zeros((sizes[0] + 1, len(lanes)), np.int64)
         for lane, i in enumerate(lanes):
             lines[: sizes[lane], lane] = pieces[i]
         state = np.repeat(model.starts[:, None], len(lanes), axis=1)
@@ -138,7 +189,7 @@ def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
         live = len(lanes) - np.searchsorted(sizes[::-1], np.arange(sizes[0] + 1))  # lanes with that many symbols
         for t, n in enumerate(live):
             n = min(len(lanes), n if t else len(lanes))
-            step = model.steps[state[:, :n] * model.symbols + lines[t, :n]]
+            step = model.step(state[:, :n], lines[t, :n])
             count[:, :n] += step >> 29
             state[:, :n] = step & (BREAK - 1)
         np.add.at(out, np.array([owner[i] for i in lanes]), count.T)
@@ -147,7 +198,7 @@ def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
 
 def classify(texts: pd.Series, model: Model) -> pd.DataFrame:
     """``lang_pred`` and ``score``: by how much the best language's cost is below the next one's."""
-    codes = [_symbols(t, model.letters) if isinstance(t, str) else np.zeros(0, np.uint8) for t in texts]
+    codes = [_symbols(t, model.known, model.symbol) if isinstance(t, str) else np.zeros(0, np.uint32) for t in texts]
     has = np.array([bool((c > 1).any()) for c in codes], bool)
     if not model.langs or not len(codes):
         return pd.DataFrame({"lang_pred": [UNDETERMINED] * len(codes), "score": 0.0})
@@ -171,21 +222,23 @@ def sample_rows(docs: DataFrame) -> DataFrame:
     usable = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
     ).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    near = usable.join(F.broadcast(sizes), "lang").where(
-        (F.shiftrightunsigned("h", 33) / F.lit(float(1 << 31))) < F.lit(4.0 * SAMPLE_ROWS + 64) / F.col("count")
+    sizes = written(usable.groupBy("lang").count())
+    n_langs = sizes.count()
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // (SAMPLE_CHARS * max(1, n_langs))))
+    near = usable.join(broadcast_if_small(sizes, n_langs), "lang").where(
+        (F.shiftrightunsigned("h", 33) / F.lit(float(1 << 31))) < F.lit(4.0 * most + 64) / F.col("count")
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     return (
         near.withColumn("rank", rank)
-        .where(F.col("rank") <= SAMPLE_ROWS)
+        .where(F.col("rank") <= most)
         .select("lang", F.col("text").substr((F.pmod("h", spare) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("part"), "h")
     )
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on the bounded sample: at most MAX_LANGS x SAMPLE_ROWS x SAMPLE_CHARS code points reach the driver."""
+    """Fit on the bounded sample: at most SAMPLE_TOTAL code points (or a slice a language, if that is more) reach the driver."""
     samples: dict[str, list[str]] = {}
     for lang, part, _ in sorted(map(tuple, sample_rows(docs).collect()), key=lambda r: (r[0], r[2], r[1])):
         samples.setdefault(lang, []).append(part)
@@ -209,6 +262,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield classify(texts, shared.value)
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, judge(F.col("text")).alias("_judged")).select(
-        *keep, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score")
-    )
+    # the caller's columns in one struct: no name of theirs meets ours
+    judged = docs.select(F.struct(*keep).alias("row"), judge(F.col("text")).alias("judged"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in keep], F.col("judged.lang_pred").alias("lang_pred"), F.col("judged.score").alias("score"))

@@ -17,7 +17,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marginalia.llm.common import broadcast_if_small
 from marginalia.scratch import written
@@ -97,39 +96,48 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
+    others = [c for c in own if c not in (id_col, text_col)]
     name = F.col(id_col).cast("string")
     # of a row: rows equal in id and text share it, and only one of those is the first
-    key = F.sha2(F.concat(F.coalesce(F.concat(F.length(name), F.lit(":"), name), F.lit("none:")), F.coalesce(F.col(text_col), F.lit(""))), 256)
-    others = [c for c in own if c not in (id_col, text_col)]
+    whole = F.concat(F.coalesce(F.concat(F.length(name), F.lit(":"), name), F.lit("none:")), F.coalesce(F.col(text_col), F.lit("")))
     # the caller's columns in one struct: no name of theirs meets one of ours
-    rows = docs.select(F.struct(*own).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_key"))
+    rows = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.sha2(whole, 256)).alias("key"))
 
     def spans_of(text: Column) -> Column:
         return _let(F.split(text, "\n", -1), spans)
 
-    pieces = rows.select("_id", "_key", F.explode(spans_of(F.col("_text"))).alias("_span")).select(
-        "_id", "_key", F.col("_span.begin").alias("_at"), F.col("_span.size").alias("_size"), F.col("_span.hash").alias("_h")
+    pieces = rows.select("id", "key", F.explode(spans_of(F.col("text"))).alias("s")).select(
+        "id", "key", F.col("s.begin").alias("at"), F.col("s.size").alias("size"), F.col("s.hash").alias("h")
     )
     # numbers first: which hashes occur in more than one place
-    again = written(pieces.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h"))
-    suspects = written(pieces.join(broadcast_if_small(again), "_h", "left_semi"))
-    # partial minima absorb a span that is everywhere
-    firsts = written(
-        suspects.groupBy("_h")
-        .agg(F.min(F.struct("_id", "_key", "_at")).alias("first"))
-        .select("_h", F.col("first._key").alias("_first_key"), F.col("first._at").alias("_first_at"))
-    )
-    gone = (
-        suspects.join(firsts, "_h")
-        .where("_key <> _first_key OR _at <> _first_at")
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("_at").alias("begin"), F.col("_size").alias("size")))).alias("_gone"))
+    again = written(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    suspects = written(pieces.join(broadcast_if_small(again), "h", "left_semi"))
+    # partial minima absorb a span that is everywhere; then places meet places, so no span is a hot key
+    firsts = suspects.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("first")).select("first.key", "first.at")
+    gone = written(
+        suspects.join(firsts, ["key", "at"], "left_anti")
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("begin"), "size"))).alias("gone"))
     )
-    copies = Window.partitionBy("_key").orderBy(F.xxhash64(F.to_json(F.struct(*[F.col("_row")[c].alias(c) for c in others]))) if others else "_key")
-    joined = rows.withColumn("_copy", F.row_number().over(copies)).join(gone, "_key", "left")
-    # a further copy repeats the first one: all its spans go
-    whole = F.transform(spans_of(F.col("_text")), lambda x: F.struct(x["begin"], x["size"]))
-    joined = joined.withColumn("_gone", F.when(F.col("_copy") == 1, F.col("_gone")).otherwise(whole))
+    n_gone = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    # texts are shuffled only where the spans that go are too many to be sent to all
+    gone = broadcast_if_small(gone, n_gone)
+    many = written(suspects.groupBy("key", "at").count().where("count > 1").select("key").distinct())
+    n_many = many.count()
+    single = rows
+    if n_many:
+        single = rows.join(broadcast_if_small(many, n_many), "key", "left_anti")
+        twins = rows.join(broadcast_if_small(many, n_many), "key", "left_semi")
+        order = F.xxhash64(F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in others]))) if others else F.lit(0)
+        twins = written(twins.withColumn("place", F.struct(order.alias("h"), F.monotonically_increasing_id().alias("n"))))
+        first = twins.groupBy("key").agg(F.min("place").alias("place")).withColumn("is_first", F.lit(True))
+        twins = twins.join(first, ["key", "place"], "left")
+    joined = single.join(gone, "key", "left").select("row", "text", "gone")
+    if n_many:
+        # a further copy repeats the first one: all its spans go
+        whole_copy = F.transform(spans_of(F.col("text")), lambda x: F.struct(x["begin"], x["size"]))
+        drop = F.when(F.col("is_first"), F.col("gone")).otherwise(whole_copy)
+        joined = joined.union(twins.join(gone, "key", "left").select("row", "text", drop.alias("gone")))
 
     def cut(lines: Column, drop: Column) -> Column:
         """The lines between the spans that go."""
@@ -143,16 +151,16 @@ def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col:
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), kept))
 
     edited = _let(
-        F.split("_text", "\n", -1),
+        F.split("text", "\n", -1),
         lambda lines: _let(
-            cut(lines, F.col("_gone")),
+            cut(lines, F.col("gone")),
             lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).cast("bigint").alias("removed")),
         ),
     )
-    lines = F.regexp_count("_text", F.lit("\n")) + 1
+    lines = F.regexp_count("text", F.lit("\n")) + 1
     zero = F.lit(0).cast("bigint")
-    return joined.withColumn("_edit", F.when(F.size("_gone") > 0, edited)).select(
-        *[F.coalesce("_edit.text", "_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in own],
+    return joined.withColumn("edit", F.when(F.size("gone") > 0, edited)).select(
+        *[F.coalesce("edit.text", "text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own],
         F.coalesce(lines.cast("bigint"), zero).alias("n_lines"),
-        F.coalesce("_edit.removed", zero).alias("n_lines_removed"),
+        F.coalesce("edit.removed", zero).alias("n_lines_removed"),
     )

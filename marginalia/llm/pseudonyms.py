@@ -2,13 +2,14 @@
 
 Validated numbers, dates and addresses are permuted by a keyed Feistel network within their own format: a card
 number becomes another valid card number, a date another date. Equal values become equal pseudonyms in every
-document, different ones stay different, and the key's holder can undo it.
+document, different ones stay different, none is its own pseudonym, and the key's holder can undo it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -46,12 +47,16 @@ class Feistel:
                 a, b = b, (a + self._round(k, b)) % self.root
         return a * self.root + b
 
-    def __call__(self, x: int, back: bool = False) -> int:
+    def _walk(self, x: int, back: bool) -> int:
         x = self._once(x, back)
         while x >= self.size:
             x = self._once(x, back)
         return x
 
+    def __call__(self, x: int, back: bool = False) -> int:
+        # one step along the circle into which the network puts all numbers: none stays in its place
+        return self._walk((self._walk(x, False) + (-1 if back else 1)) % self.size, True)
+
 
 def luhn_digit(payload: str) -> str:
     """The digit that makes ``payload`` and it a valid number."""
@@ -74,10 +79,10 @@ class Pseudonyms:
             self.ciphers[kind, size] = Feistel(self.key, kind, size)
         return self.ciphers[kind, size](x, back)
 
-    def symbols(self, kind: str, value: str, back: bool) -> str:
-        """Digits to digits, letters to letters of their case; anything else stays in its place."""
+    def symbols(self, kind: str, value: str, back: bool, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
+        """Digits to digits, letters to letters of their case and script; anything else stays in its place."""
         number, size = 0, 1
-        sets = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), None) for c in value]
+        sets = [next((s for s in alphabets if c in s), None) or _neighbours(c) for c in value]
         for c, s in zip(value, sets, strict=True):
             if s:
                 number, size = number * len(s) + s.index(c), size * len(s)
@@ -93,11 +98,9 @@ class Pseudonyms:
     def digits(self, kind: str, value: str, back: bool, valid: Callable[[str], bool] = lambda x: True) -> str:
         """The digits of ``value`` permuted among those that are valid; what stands between them stays."""
         plain = re.sub(r"\D", "", value)
-        new = plain
-        while new == plain or not valid(new):
+        new = f"{self.permute(kind, int(plain), 10 ** len(plain), back):0{len(plain)}d}"
+        while not valid(new):
             new = f"{self.permute(kind, int(new), 10 ** len(plain), back):0{len(plain)}d}"
-            if new == plain:
-                break
         each = iter(new)
         return re.sub(r"\d", lambda _: next(each), value)
 
@@ -111,14 +114,17 @@ class Pseudonyms:
 
     def phone(self, value: str, back: bool) -> str:
         country = re.match(r"\+\d{1,3}(?=[ .(-])|", value)[0]
-        return country + self.digits("phone", value[len(country) :], back)
+        rest = value[len(country) :]
+        if rest.isdigit() and not country:  # ten digits in a row are a number only in one country's plan: so is the pseudonym
+            return self.digits("phone0", rest, back, _PLAN)
+        return country + self.digits("phone", rest, back, lambda x: rest[0] != "+" or x[0] != "0")
 
     def ssn(self, value: str, back: bool) -> str:
         return self.digits("ssn", value, back, lambda x: _SSN(x) is not None)
 
     def iban(self, value: str, back: bool) -> str:
         plain = value.replace(" ", "")
-        body = self.symbols("iban" + plain[:2], plain[4:], back)
+        body = self.symbols("iban" + plain[:2].upper(), plain[4:], back)
         check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
         each = iter(f"{plain[:2]}{check:02d}{body}")
         return re.sub(r"\S", lambda _: next(each), value)
@@ -127,6 +133,9 @@ class Pseudonyms:
         number = int.from_bytes(bytes(map(int, value.split("."))), "big")
         return ".".join(map(str, self.permute("ipv4", number, 1 << 32, back).to_bytes(4, "big")))
 
+    def ipv6(self, value: str, back: bool) -> str:
+        return self.symbols("ipv6", value, back, (DIGITS, HEX[10:], HEX[10:].upper()))
+
     def email(self, value: str, back: bool) -> str:
         name, _, domain = value.partition("@")
         return f"{self.symbols('email:' + domain.lower(), name, back)}@{domain}"
@@ -158,7 +167,8 @@ class Pseudonyms:
             return text, counts
         out, at, place, failed = [], 0, 0, 0
         while match := PATTERN.search(text, place):
-            kind, value = match.lastgroup, match[match.lastgroup]
+            kind = next(k for k in VALID if match[k] is not None)
+            value = match[kind]
             # within a failed match any digits may stand together: only card-like groups count there
             if not VALID[kind](value) or (kind == "card" and match.start() < failed and not _GROUPED(value)):
                 failed = max(failed, match.end())
@@ -172,6 +182,14 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), counts
 
 
+def _neighbours(c: str) -> str | None:
+    """The letters of a letter's case and kind among the 64 code points around it."""
+    if not c.isalpha():
+        return None
+    around = (chr(k) for k in range(ord(c) & ~63, (ord(c) | 63) + 1))
+    return "".join(x for x in around if x.isalpha() and x.islower() == c.islower() and x.isupper() == c.isupper())
+
+
 def _shorter(text: str, start: int, kind: str) -> str:
     """The longest valid card or IBAN at a place, its last groups left out if need be; else nothing."""
     match = KINDS[kind].match(text, start)
@@ -207,26 +225,39 @@ def _valid_date(value: str) -> bool:
         return False
 
 
+def _valid_ipv6(value: str) -> bool:
+    if len(re.findall(r"[0-9a-fA-F]+", value)) < 3 or not re.search(r"\d", value):
+        return False  # names in a programming language have double colons too
+    try:
+        return bool(ipaddress.IPv6Address(value))
+    except ValueError:
+        return False
+
+
 def _valid_iban(value: str) -> bool:
     plain = value.replace(" ", "")
+    if plain.upper() != plain and plain.lower() != plain:
+        return False
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
 _SSN = re.compile(r"(?!000|666|9\d\d)\d{3}(?!00)\d{2}(?!0000)\d{4}").fullmatch
 _GROUPED = re.compile(r"\d{3,}(?:[ -]\d{3,})*").fullmatch
+_PLAN = re.compile(r"[2-9]\d\d[2-9]\d{6}").fullmatch
 _HINT = re.compile(r"[0-9@]")
 
 #: What is looked for, in this order at each place. Values end where no letter or digit follows.
 _PATTERN = (
-    r"(?P<email>(?<![\w.+-])\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.+-])[^\W_][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
+    r"|(?P<iban>(?<!\w)(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?)(?!\w))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}\d)(?:[0-9A-Fa-f]{1,4}:|:(?=:)){2,7}(?::?[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{1,4}){0,6}(?![\w:]))"
     r"|(?P<address>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d[./-]\d\d[./-]\d{4})(?![\w]|[./-]\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w-])\d{3}(?P<gap>[ -])\d\d(?P=gap)\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?![\w]|[.-]\d)"
-    r"|(?<![\w+])\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d))"
+    r"|(?<![\w.,+-])[2-9]\d\d[2-9]\d{6}(?![\w]|[.,-]\d)|(?<![\w+])\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d))"
 )
 PATTERN = re.compile(_PATTERN)
 #: The pattern of each kind alone.
@@ -238,7 +269,8 @@ VALID: dict[str, Callable[[str], bool]] = {
     "iban": _valid_iban,
     "address": lambda v: all(int(p) < 256 and str(int(p)) == p for p in v.split(".")),
     "date": _valid_date,
-    "ssn": lambda v: _SSN(v.replace("-", "")) is not None,
+    "ipv6": _valid_ipv6,
+    "ssn": lambda v: _SSN(re.sub(r"\D", "", v)) is not None,
     # separators make a run of digits a card only if it checks; sixteen digits in a row are one anyway
     "card": lambda v: (p := re.sub(r"\D", "", v)) and (luhn_digit(p[:-1]) == p[-1] or (v.isdigit() and len(v) == 16)),
     "phone": lambda v: 8 <= len(re.sub(r"\D", "", v)) <= 15,
@@ -264,6 +296,6 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             )
 
     own = [c for c in docs.columns if c not in ("n_pii", "pii_kinds")]
-    return docs.select(*own, replace(F.col(text_col)).alias("_new")).select(
-        *[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in own], "_new.n_pii", "_new.pii_kinds"
-    )
+    # the caller's columns in one struct: no name of theirs meets ours
+    new = docs.select(F.struct(*own).alias("row"), replace(F.col(text_col)).alias("new"))
+    return new.select(*[F.col("new.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own], "new.n_pii", "new.pii_kinds")

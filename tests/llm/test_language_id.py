@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import language_id as L
@@ -25,7 +27,7 @@ def test_automaton_accepts_exactly_the_substrings():
 
 
 def plain_phrases(codes, trained):
-    """Greedy longest matches of a text (as symbols) in a trained one, piece by piece."""
+    """Greedy longest matches of a text (as symbols) in a trained one, piece by piece; strange letters match nothing."""
     total = 0
     for at in range(0, len(codes), L.PIECE):
         piece = list(codes[at : at + L.PIECE])
@@ -38,17 +40,35 @@ def plain_phrases(codes, trained):
     return total
 
 
-def test_phrases_equal_a_plain_parse():
+@pytest.mark.parametrize("table", [16_000_000, 600, 1])
+def test_phrases_equal_a_plain_parse(monkeypatch, table):
+    monkeypatch.setattr(L, "TABLE", table)
     samples = {"x": ["the cat sat on the mat", "a mat"], "y": ["le chat est là"]}
     model = L.fit(samples)
+    assert table > 1 or model.width == 4 and len(model.rare_keys)
     for text in ["the chat sat", "", "zzz qqq", "là là là the", "A CAT!!! 123 on-a-mat", "the cat " * 300]:
-        codes = L._symbols(text, model.letters)
+        codes = L._symbols(text, model.known, model.symbol)
         got = L.phrases([codes], model)[0]
         for k, lang in enumerate(model.langs):
-            trained = [1] + [c for t in samples[lang] for c in L._symbols(t, model.letters).tolist()]
+            trained = [1] + [c for t in samples[lang] for c in L._symbols(t, model.known, model.symbol).tolist()]
             assert got[k] == plain_phrases(codes.tolist(), trained), (text, lang)
 
 
+def test_large_scripts_and_many_languages(spark):
+    rnd = random.Random(4)
+    chinese, japanese = ([chr(0x4E00 + k) for k in range(at, at + 3000)] for at in (0, 1500))
+    draw = lambda letters: "".join(rnd.choice(letters) for _ in range(40))
+    # pairs of letters that are common in one language alone, as words are
+    words = {"zh": [draw(chinese)[:3] for _ in range(400)], "ja": [draw(japanese)[:3] for _ in range(400)]}
+    rows = [(k, " ".join(rnd.choice(words[lang]) for _ in range(60)), lang, "s", 1) for k, lang in enumerate(["zh", "ja"] * 150)]
+    rows += [(1000 + 9 * k + j, f"{draw('abcdefgh')} w{k}" * 3, f"l{k:03d}", "s", 1) for k in range(300) for j in range(3)]
+    got = L.identify(docs_frame(spark, rows)).select("doc_id", "lang", "lang_pred", L.held_out(F.col("doc_id")).alias("h")).collect()
+    held = [r for r in got if r["h"] and r["lang"] in ("zh", "ja")]
+    assert len(held) > 60 and sum(r["lang_pred"] == r["lang"] for r in held) / len(held) > 0.95
+    model = L.train(docs_frame(spark, rows))
+    assert len(model.langs) > 280 and len(model.table) <= max(L.TABLE, 4 * len(model.start_of))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.identify(docs).select("*", L.held_out(F.col("doc_id")).alias("h")).collect()
@@ -70,7 +90,7 @@ def test_odd_rows(spark):
     rows += [(k, "the dog and the cat sleep in the house", "en", "s", 1) for k in range(6, 12)]
     rows += [(100, None, "en", "s", 1), (101, "", "de", "s", 1), (102, "123 --- !!", None, "s", 1), (None, "the cat", None, None, None)]
     rows += [(103, "the dog sleeps " * 30_000, None, "s", 1), (103, "the dog sleeps " * 30_000, None, "s", 1), (104, "漢字", None, "s", 1)]
-    df = docs_frame(spark, rows).withColumn("score", F.lit("old"))
+    df = docs_frame(spark, rows).withColumn("score", F.lit("old")).withColumn("_judged", F.lit(1)).withColumn("judged", F.lit(2))
     got = [(r["doc_id"], r["lang_pred"]) for r in L.identify(df).collect()]
     assert len(got) == len(rows)
     assert {p for i, p in got if i in (100, 101, 102)} == {"und"}
