@@ -57,18 +57,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """``docs`` (with ``doc_id, source, text``) and ``size, source_size, target, copies, taken`` for every row.
+    """``docs`` (``doc_id, source``, and ``text`` or else its ``size``) and ``size, source_size, target, copies, taken``.
 
     ``taken = size * copies``; the sum of a source's ``taken`` is its target but for less than one document.
     Null and empty texts have size 0 and are taken like the others, for 0 words. Null sources are one source,
     the last. The random numbers are hashes of the ids, so reruns agree; rows alike in id, source and size
     are taken or left together. Columns named as the new ones are replaced, others pass; tables may be empty.
     """
-    new = ("size", "source_size", "target", "copies", "taken")
-    rows = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col("text")).alias("size"))
-    units = written(
-        rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows"))
-    )
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    size = word_count(F.col("text")) if "text" in docs.columns else F.coalesce("size", F.lit(0)).cast("bigint")
+    # the caller's columns in one struct: no name of theirs meets one of ours
+    rows = docs.select(F.struct(*own).alias("row"), "doc_id", "source", size.alias("size"))
+    units = written(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows")))
     sizes = units.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("n"))
     goals = (
         written(source_targets(sizes, weights, most))
@@ -112,11 +112,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         copies.alias("c"),
         F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")),
     )
-    out = joined.select("r.*", "c.copies").join(
+    out = joined.select("r.row", "r.source", "r.size", "c.copies").join(
         broadcast_if_small(goals.select("s", "source_size", "target"), n_sources), F.col("source").eqNullSafe(F.col("s"))
     )
-    return out.drop("s").select(
-        *rows.columns, "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+    return out.select(
+        *[F.col("row")[c].alias(c) for c in own], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
@@ -147,5 +147,6 @@ def _fill(edge: DataFrame, rounds: int = 3) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    taken = mix(docs, weights, most).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(*docs.columns)
+    wanted = mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"), weights, most)
+    again = wanted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest("copies", F.lit(1).cast("bigint")))))
+    return again.where("copies > 0").select("row.*")

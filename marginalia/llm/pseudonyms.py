@@ -243,7 +243,7 @@ def _valid_iban(value: str) -> bool:
 
 _SSN = re.compile(r"(?!000|666|9\d\d)\d{3}(?!00)\d{2}(?!0000)\d{4}").fullmatch
 _GROUPED = re.compile(r"\d{3,}(?:[ -]\d{3,})*").fullmatch
-_PLAN = re.compile(r"[2-9]\d\d[2-9]\d{6}").fullmatch
+_PLAN = re.compile(r"[2-9]\d{9}").fullmatch
 _HINT = re.compile(r"[0-9@]")
 
 #: What is looked for, in this order at each place. Values end where no letter or digit follows.
@@ -257,7 +257,7 @@ _PATTERN = (
     r"|(?P<ssn>(?<![\w-])\d{3}(?P<gap>[ -])\d\d(?P=gap)\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?![\w]|[.-]\d)"
-    r"|(?<![\w.,+-])[2-9]\d\d[2-9]\d{6}(?![\w]|[.,-]\d)|(?<![\w+])\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d))"
+    r"|(?<![\w.,+-])[2-9]\d{9}(?![\w]|[.,-]\d)|(?<![\w+])\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d))"
 )
 PATTERN = re.compile(_PATTERN)
 #: The pattern of each kind alone.

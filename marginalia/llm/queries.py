@@ -19,6 +19,7 @@ from marginalia.llm import (
     url_filter,
 )
 from marginalia.llm.common import table
+from marginalia.scratch import written
 
 
 #: The registered query's key; real runs pass their own secret.
@@ -26,7 +27,9 @@ PSEUDONYM_KEY = b"registered query"
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+    docs = table(spark, sf_dir, "documents")
+    # words are counted once; the texts go no further
+    return mixing.mix(written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
     )
 
@@ -114,4 +117,42 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The same rows in SQL for tables whose ids are unique; what it compares pair by pair suits the small tables only.
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op3_line_dedup": """
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+ each AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM cut),
+ pairs AS (SELECT doc_id, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS pair FROM each),
+ ranked AS (SELECT doc_id, k, row_number() OVER (PARTITION BY pair ORDER BY doc_id, k) AS r FROM pairs WHERE pair IS NOT NULL),
+ gone AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS k FROM ranked WHERE r > 1),
+ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT c.doc_id, CASE WHEN c.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(len(l), 0) AS n_lines, coalesce(len(l), 0) - coalesce(k.n, 0) AS n_lines_removed
+FROM cut c LEFT JOIN kept k USING (doc_id)""",
+    "op4_temporal_url_filter": """
+WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_hours(('0x' || substr(md5(url), 1, 6))::INTEGER % 3600) AS fetched,
+  regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\\.+$', ''), '^www\\.', '') AS host FROM pages),
+ hosts AS (SELECT DISTINCT host AS domain FROM p WHERE host <> ''),
+ names AS (SELECT domain FROM hosts UNION SELECT regexp_replace(domain, '^[^.]+\\.', '') FROM hosts WHERE len(string_split(domain, '.')) > 3),
+ months AS (SELECT domain, month, ('0x' || substr(md5(concat_ws('/', domain, month)), 1, 4))::INTEGER % 3 AS drawn FROM names, range(1, 5) AS r(month)),
+ entries AS (SELECT domain, ['adult', 'gambling', 'spam', 'malware'][length(domain) % 4 + 1] AS category, drawn = 0 AS listed, make_timestamp(2024, month, 1, 0, 0, 0) AS dated FROM months WHERE drawn < 2),
+ last AS (SELECT page_id, domain, category, max_by(listed, dated) AS listed FROM p JOIN entries ON (host = domain OR ends_with(host, '.' || domain)) AND dated <= fetched GROUP BY ALL),
+ found AS (SELECT page_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, max_by(domain, (length(domain), domain)) AS matched_domain FROM last WHERE listed GROUP BY 1)
+SELECT page_id, url, host, coalesce(categories, '') AS categories, coalesce(matched_domain, '') AS matched_domain, categories IS NOT NULL AS blocked FROM p LEFT JOIN found USING (page_id)""",
+    "op6_minhash_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS shingle FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ reach AS (SELECT DISTINCT a AS node, a AS top FROM edges UNION SELECT edges.b, reach.top FROM reach JOIN edges ON edges.a = reach.node WHERE edges.b > reach.top),
+ tops AS (SELECT node, min(top) AS top FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(top, d.doc_id) AS component_id, coalesce(top, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN tops ON node = d.doc_id""",
+}

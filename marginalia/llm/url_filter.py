@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.llm.common import broadcast_if_small
+from marginalia.scratch import written
 
 #: Everything later than any capture.
 FOREVER = "9999-12-31 00:00:00"
@@ -52,31 +53,32 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     longest domain of those. Null or unusable URLs and null times match nothing. Rows alike in id, url and time
     are judged alike. Columns named as the new ones are replaced; tables may be empty.
     """
-    new = ("host", "categories", "matched_domain", "blocked")
-    rows = captures.select(*[c for c in captures.columns if c not in new], host(F.col("url")).alias("host"))
+    own = [c for c in captures.columns if c not in ("host", "categories", "matched_domain", "blocked")]
+    # the caller's columns in one struct: no name of theirs meets one of ours
+    rows = captures.select(F.struct(*own).alias("row"), "fetched_at", host(F.col("url")).alias("host"))
     # a host's entries are found once for the host, however many captures it has
     hosts = rows.where("host <> ''").select("host").distinct()
-    intervals = validity(entries)
     above = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
-    active = above.join(intervals, "domain").select(F.col("host").alias("_host"), "domain", "category", "valid_from", "valid_to")
+    active = written(above.join(validity(entries), "domain").select(F.col("host").alias("listed"), "domain", "category", "valid_from", "valid_to"))
     # as-of: the changes of a host's standing in time order, so that a capture has one interval, not many
-    times = active.select("_host", F.explode(F.array("valid_from", "valid_to")).alias("_from")).distinct()
-    until = F.lead("_from").over(Window.partitionBy("_host").orderBy("_from"))
-    spans = times.withColumn("_until", until).where("_until IS NOT NULL")
-    standing = (
-        spans.join(active, "_host")
-        .where("valid_from <= _from AND _from < valid_to")
-        .groupBy("_host", "_from", "_until")
+    times = active.select("listed", F.explode(F.array("valid_from", "valid_to")).alias("since")).distinct()
+    until = F.lead("since").over(Window.partitionBy("listed").orderBy("since"))
+    spans = times.withColumn("until", until).where("until IS NOT NULL")
+    standing = written(
+        spans.join(active, "listed")
+        .where("valid_from <= since AND since < valid_to")
+        .groupBy("listed", "since", "until")
         .agg(
             F.array_sort(F.collect_set("category")).alias("categories"),
-            F.max(F.struct(F.length("domain"), "domain")).alias("_longest"),
+            F.max(F.struct(F.length("domain"), "domain")).alias("longest"),
         )
     )
-    match = (F.col("host") == F.col("_host")) & (F.col("fetched_at") >= F.col("_from")) & (F.col("fetched_at") < F.col("_until"))
+    match = (F.col("host") == F.col("listed")) & (F.col("fetched_at") >= F.col("since")) & (F.col("fetched_at") < F.col("until"))
     none = F.array().cast("array<string>")
     return rows.join(broadcast_if_small(standing), match, "left").select(
-        *rows.columns,
+        *[F.col("row")[c].alias(c) for c in own],
+        "host",
         F.coalesce("categories", none).alias("categories"),
-        F.col("_longest.domain").alias("matched_domain"),
+        F.col("longest.domain").alias("matched_domain"),
         F.col("categories").isNotNull().alias("blocked"),
     )

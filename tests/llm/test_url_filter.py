@@ -32,7 +32,7 @@ def test_as_of_equals_a_replay(spark):
     entries += [(None, "p", "add", day(1)), ("b.com", None, "add", day(1)), ("b.com", "p", "add", None), ("b.com", "p", "noise", day(2))]
     seen = [(k, rnd.choice(hosts), day(rnd.randint(-2, 33))) for k in range(200)] + [(900, "b.com", None), (901, "", day(5))]
     rows = [(i, f"https://u@WWW.{h}:80/p?q#f" if h else "no url", t) for i, h, t in seen] + [(902, None, day(3))]
-    df = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp").selectExpr("*", "1 AS domain", "2 AS valid_to", "3 AS blocked")
+    df = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp").selectExpr("*", "1 AS domain", "2 AS valid_to", "3 AS blocked", "4 AS _host", "5 AS _from", "6 AS _longest", "7 AS listed", "8 AS since", "9 AS row")
     got = judge_captures(df, spark.createDataFrame(entries, "domain string, category string, action string, at timestamp"))
     have = sorted(((r["page_id"], list(r["categories"]), r["matched_domain"], r["blocked"]) for r in got.collect()), key=str)
     assert have == brute(seen + [(902, "", day(3))], entries)
