@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,7 @@ def with_polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str, negati
     if n > TABLE_WORDS:
         return _joined(df, known, text, key, negations or [])
     table = _table(known, n)
-    each = words(F.col(text))
-    values = F.transform(each, lambda w, i: _value(table(w), _before(each, i), negations or []))
+    values = _each(F.col(text), lambda w, before: _value(table(w), before, negations or []))
     hits = F.filter(values, lambda v: v.isNotNull())
     mean = F.aggregate(hits, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")))
     return df.withColumn("sentiment", F.coalesce(F.try_divide(mean["s"], mean["n"]), F.lit(0.0)))
@@ -51,8 +51,9 @@ def _table(lexicon: DataFrame, n: int):
     return lambda w: F.element_at(F.get(table, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), w)
 
 
-def _before(each: Column, i: Column) -> Column:
-    return F.get(each, i - 1)
+def _each(text: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """``value`` of each word and the one before it; the words are split once a row."""
+    return F.flatten(F.transform(F.array(words(text)), lambda each: F.transform(each, lambda w, i: value(w, F.get(each, i - 1)))))
 
 
 def _value(found: Column, before: Column, negations: list[str]) -> Column:
@@ -60,8 +61,7 @@ def _value(found: Column, before: Column, negations: list[str]) -> Column:
 
 
 def _joined(df: DataFrame, lexicon: DataFrame, text: str, key: str, negations: list[str]) -> DataFrame:
-    each = words(F.col(text))
-    pairs = F.transform(each, lambda w, i: F.struct(w.alias("word"), _before(each, i).alias("before")))
+    pairs = _each(F.col(text), lambda w, before: F.struct(w.alias("word"), before.alias("before")))
     found = df.select(key, F.inline(pairs)).join(lexicon, "word")
     hits = found.groupBy(key).agg(F.avg(_value(F.col("polarity"), F.col("before"), negations)).alias("sentiment"))
     return df.join(hits, key, "left").withColumn("sentiment", F.coalesce("sentiment", F.lit(0.0)))

@@ -394,11 +394,11 @@ def sequence_gaps(spark, d):
     return incremental.sequence_gaps(_t(spark, d, "events"), "user_id", "event_id")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_ended FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(DISTINCT user_id) >= (SELECT count(*) // 30 // 8 FROM events)")
+@query("SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_ended FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(DISTINCT user_id) >= (SELECT count(*) // 30 // 6 FROM events)")
 def eof_barrier(spark, d):
     events = _t(spark, d, "events")
     days = events.withColumn("day", F.to_date("ts"))
-    return incremental.all_ended(days, ["day"], "user_id", F.col("event_type") == "signup", events.count() // 30 // 8)
+    return incremental.all_ended(days, ["day"], "user_id", F.col("event_type") == "signup", events.count() // 30 // 6)
 
 
 @query("SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events")
