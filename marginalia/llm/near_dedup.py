@@ -277,15 +277,12 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     signed = written(signatures(docs, words).withColumn("node", F.coalesce("doc_id", _stand_in("k1"))))
     classes = written(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("class"), F.first("n").alias("n")))
     # one row a class: the bands of its smallest document
-    heads = (
-        signed.where("n > 0")
-        .join(classes.select("k1", "k2", F.col("class").alias("node")), ["k1", "k2", "node"])
-        .select("node", F.explode("bands").alias("band"))
-    )
+    tops = signed.where("n > 0").join(classes.select("k1", "k2", F.col("class").alias("node")), ["k1", "k2", "node"]).select("node", "bands")
+    heads = tops.select("node", F.explode("bands").alias("band"))
     hubs = written(heads.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     hubs = broadcast_if_small(hubs.select("band", "hub"))
     candidates = connected_components(star_edges(heads.join(hubs, "band").select("hub", "node")))
-    links = _confirmed(docs, heads, signed, candidates, words, percent)
+    links = _confirmed(docs, tops, signed, candidates, words, percent)
     # an id with several sets is one document: its classes are linked
     several = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
     several = written(several.select("doc_id"))
@@ -305,7 +302,7 @@ def _sized(placed: DataFrame, *keys: str) -> DataFrame:
     return sizes.select(*keys, "docs", blocks.alias("g"))
 
 
-def _confirmed(docs: DataFrame, heads: DataFrame, signed: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, tops: DataFrame, signed: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``a, b`` with the components of all links; a forest for each block of comparisons, not every pair.
 
     A candidate component that fits one block is compared in one task. A larger one is dealt over blocks, each of
@@ -327,7 +324,7 @@ def _confirmed(docs: DataFrame, heads: DataFrame, signed: DataFrame, candidates:
         return links
     groups = connected_components(links).select("node", F.col("component").alias("known"))
     large = written(large.join(groups, "node", "left").withColumn("known", F.coalesce("known", "node")))
-    bands = heads.join(broadcast_if_small(large), "node").select("band", "node", "known")
+    bands = tops.join(broadcast_if_small(large), "node").select("node", "known", F.explode("bands").alias("band"))
     open_ = bands.groupBy("band").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.min("node").alias("hub")).where("a <> b")
     open_ = written(open_.select("band", "hub"))
     if open_.isEmpty():

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import near_dedup
@@ -49,11 +50,28 @@ def test_real_documents_equal_all_pairs(spark, sf_dir):
     assert as_rows(near_dedup.near_duplicates(df, words=2)) == brute(rows, 2)
 
 
-def test_large_component_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 7)
-    rows = near_copies(90, seed=9)
+@pytest.mark.parametrize("block, leaders", [(7, 8), (3, 0), (2, 1)])
+def test_large_component_in_blocks(spark, monkeypatch, block, leaders):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(near_dedup, "LEADERS", leaders)
+    met = []
+    real = near_dedup._met
+    monkeypatch.setattr(near_dedup, "_met", lambda *args: met.append(1) or real(*args))
+    # a chain of texts, each near the next one alone, beside groups of copies
+    chain = [f"c{k}" for k in range(140)]
+    rows = near_copies(60, seed=9) + [(900 + k, " ".join(chain[4 * k : 4 * k + 80])) for k in range(15)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert as_rows(near_dedup.near_duplicates(df, words=3)) == brute(rows, 3)
+    assert len(met) == 2
+
+
+def test_rows_of_one_id_have_the_links_of_each(spark):
+    a, b = ("one two three four five six seven", "eins zwei drei vier fuenf sechs sieben")
+    rows = [(3, a), (7, a), (7, b), (9, b), (20, "else altogether")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df, words=2).collect())
+    assert got == [(3, 3), (7, 3), (7, 3), (9, 3), (20, 20)]
+    assert sorted(r["doc_id"] for r in near_dedup.without_near_duplicates(df, words=2).collect()) == [3, 20]
 
 
 def test_odd_rows(spark):
