@@ -36,13 +36,17 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(["article", "main"])
 #: Elements that hold no main text wherever they stand; a header inside an article holds its headline.
 BOILERPLATE = frozenset("nav footer aside form menu button dialog select textarea option fieldset".split())
-#: Names that a class, id or role has as a whole word between spaces; longer names that contain one mean nothing.
+#: Names that a class, id or role has as a whole word between spaces, alone or before the name of a container; longer
+#: names that contain one mean nothing.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsored menu nav navbar navigation breadcrumb breadcrumbs sidebar site-header "
-    "page-header site-footer page-footer footer cookie cookies cookie-banner cookie-notice cookie-consent notice notices newsletter "
-    "comments comment comment-list commentlist comments-area disqus_thread replies pagination complementary contentinfo banner".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted menu nav navbar navigation breadcrumb breadcrumbs "
+    "sidebar masthead topbar site-header page-header site-footer page-footer footer cookie cookies cookie-consent consent gdpr notice notices "
+    "popup modal newsletter subscribe signup recommended related-posts related-articles widget skip-link search-form comment comments "
+    "disqus_thread replies pagination pager complementary contentinfo banner".split()
 )
-READERS = frozenset("comment comments comment-list commentlist replies".split())
+_CONTAINER = re.compile(r"(?:[-_](?:area|banner|bar|block|box|container|list|notice|panel|section|slot|unit|widget|wrap|wrapper|\d+))+$")
+#: What an element that is named for the whole article or page must be called to hold none.
+READERS = frozenset("comment comments replies".split())
 
 _NAME = re.compile(r"/?[a-zA-Z][\w:-]*")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -114,6 +118,12 @@ def _tag_end(page: str, at: int) -> int:
     return -1
 
 
+def _marks(attributes: str) -> set[str]:
+    """The names that class, id and role give, without the name of a container at their end."""
+    names = {x for found in _ATTRIBUTE.findall(attributes) for x in (found[0] or found[1] or found[2]).lower().split()}
+    return names | {_CONTAINER.sub("", x) for x in names}
+
+
 @dataclass
 class _Open:
     name: str
@@ -167,9 +177,9 @@ def page_lines(page: str) -> list[Line]:
                 if stack[close_p].name == "p":
                     close("p")
             over = stack[-1]
-            marks = {x for found in _ATTRIBUTE.findall(rest) for x in (found[0] or found[1] or found[2]).lower().split()} if "=" in rest else set()
+            marks = _marks(rest) if "=" in rest else set()
             articles += bare in ARTICLE
-            bad = bare in BOILERPLATE or (bare == "header" and not over.article)
+            bad = bare in BOILERPLATE or ((bare == "header" or "header" in marks) and not over.article and bare not in ARTICLE)
             bad = bad or bool(marks & (READERS if bare in ARTICLE or bare in ("html", "body") else NAMES))
             if bad and bare in INLINE:
                 flush()

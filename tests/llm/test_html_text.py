@@ -37,6 +37,11 @@ def test_longer_names_mean_nothing(name):
     assert main_text(f"<article><p>one</p><div class='{name}'><p>two</p></div><p>three</p></article>") == "one two three"
 
 
+@pytest.mark.parametrize("name", ["ad", "Advert", "x cookie-banner", "ad-slot-3", "sidebar", "comments", "comment-list", "site-footer", "newsletter-box", "notice"])
+def test_boilerplate_names(name):
+    assert main_text(f"<div><p>one</p><div class='{name}'><p>two</p></div><section id={name.split()[-1]}>four</section><p>three</p></div>") == "one three"
+
+
 def brute_stretches(sizes):
     """Lines of text joined where fewer than WINDOW - 1 others lie between, by the largest sum of a window in each."""
     sums = {i: sum(sizes[i : i + html_text.WINDOW]) for i in range(len(sizes))}
