@@ -104,3 +104,28 @@ def test_links_beside_the_smallest_of_a_band(spark, monkeypatch):
     assert alike == {(2, 3)} and len(set(e.band_names(fps[2])) & set(e.band_names(fps[3]))) == 1
     monkeypatch.setattr(e, "fingerprints", lambda docs: spark.createDataFrame(list(fps.items()), "doc_id long, fingerprint string"))
     assert {r[0]: r[1] for r in e.similar_groups(None, 0.3).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_recall_of_groups_over_all_pairs(spark, sf_dir):
+    from itertools import combinations
+
+    from tests.llm.helpers import components
+
+    rnd = random.Random(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    # edited copies, from light to heavy
+    for k, (i, t) in enumerate(rows[:60]):
+        t = list(t or "")
+        for _ in range(1 + k % 6):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.randint(0, 8)] = "xy"
+        rows.append((10_000 + i, "".join(t)))
+    fps = {i: E.fingerprint(t) for i, t in rows}
+    alike = [(a, b) for a, b in combinations(sorted(fps), 2) if E.likeness(fps[a], fps[b]) >= 0.5]
+    got = {r["doc_id"]: r["group_id"] for r in E.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(got[a] == got[b] for a, b in alike) / len(alike)
+    assert len(alike) > 60 and recall >= 0.9, recall
+    # and nothing else comes together
+    top = components(fps, alike)
+    assert all(top[i] == top[group] for i, group in got.items())

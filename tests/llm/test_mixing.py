@@ -1,5 +1,8 @@
+import hashlib
+import math
 import random
 
+from marginalia.llm import mixing
 from marginalia.llm.mixing import mix, mixed_documents
 from tests.llm.helpers import words
 
@@ -74,3 +77,67 @@ def test_repeated_rows_extra_columns_empty(spark):
     copies = sum(r["copies"] for r in got)
     assert mixed_documents(df).count() == copies and mixed_documents(df).columns == df.columns
     assert mix(df.limit(0)).count() == 0
+
+
+def plain_copies(rows):
+    """Copies of each (id, source, size): whole ones, and one more in the order of odds over inclusion odds."""
+    units = {}
+    for i, s, t in rows:
+        key = (i, s, len(words(t)))
+        units[key] = units.get(key, 0) + 1
+    sizes = {}
+    for (_, s, size), n in units.items():
+        sizes[s] = sizes.get(s, 0) + size * n
+    want, copies = targets(sizes), {}
+    for s, total in sizes.items():
+        mine = {u: n for u, n in units.items() if u[1] == s}
+        docs = sum(mine.values())
+        whole = math.floor(want[s] / total) if total else 1
+        goal = want[s] - whole * total
+        share = min(goal / max(total, 1), 0.999999)
+        bins = min(math.ceil(docs / mixing.BIN_DOCS), math.ceil(math.sqrt(docs)))
+        ranked = []
+        for (i, _, size), n in mine.items():
+            copies[i, s, size] = whole
+            if size and share > 0:
+                u = (int(hashlib.md5(f"{'' if i is None else i}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                rank = u / (1 - u) / (math.sqrt(size * docs / max(total, 1)) * share / (1 - share))
+                x = rank * share / (1 - share)
+                ranked.append((rank, -1 if i is None else i, size, size * n, math.floor(x / (1 + x) * bins), i))
+        ranked.sort()
+        below, taken = 0, set()
+        for b in sorted({r[4] for r in ranked}):
+            inside = [r for r in ranked if r[4] == b]
+            if below + sum(r[3] for r in inside) <= goal:
+                taken |= set(inside)
+                below += sum(r[3] for r in inside)
+                continue
+            left, more = goal - below, set()
+            for k in range(3):
+                run, open_ = 0, [r for r in inside if not k or (r not in more and r[3] <= left)]
+                new = set()
+                for r in open_:
+                    run += r[3]
+                    if run <= left:
+                        new.add(r)
+                more |= new
+                left = goal - below - sum(r[3] for r in more)
+            rest = [(abs(r[3] - left), r) for r in inside if r not in more]
+            if rest and min(rest)[0] < left:
+                more.add(min(rest)[1])
+            taken |= more
+            break
+        for r in taken:
+            copies[r[5], s, r[2]] += 1
+    return copies
+
+
+def test_chosen_documents_equal_a_plain_version(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(k, rnd.choice(["a", "b", "c", None]) if k % 4 else "a", "w " * int(rnd.paretovariate(1.2) * 4)) for k in range(700)]
+    rows += [(800, "empty", ""), (801, "a", None), (5, "a", "w w w"), (5, "a", "w w w")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    for size in (1000, 20):
+        monkeypatch.setattr(mixing, "BIN_DOCS", size)
+        got = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mix(df).collect()}
+        assert got == plain_copies(rows)
