@@ -181,7 +181,7 @@ def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
     for at in range(0, len(order), lanes_at_once):
         lanes = order[at : at + lanes_at_once]
         sizes = np.array([len(pieces[i]) for i in lanes])
-        lines = np.zeros((sizes[0] + 1, len(lanes)), np.int64)
+        lines = np.zeros((sizes[0] + 1, len(lanes)), np.int32)
         for lane, i in enumerate(lanes):
             lines[: sizes[lane], lane] = pieces[i]
         state = np.repeat(model.starts[:, None], len(lanes), axis=1)
@@ -261,6 +261,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for texts in batches:
             yield classify(texts, shared.value)
 
+    # so that a filter on the outcome isn't pushed below it, which would judge twice
+    judge = judge.asNondeterministic()
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     # the caller's columns in one struct: no name of theirs meets ours
     judged = docs.select(F.struct(*keep).alias("row"), judge(F.col("text")).alias("judged"))
