@@ -159,7 +159,7 @@ def _all_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     both = np.zeros((len(rows), len(cols)), kind)
     row_of, col_of = np.full(len(sets), -1), np.full(len(sets), -1)
     row_of[rows], col_of[cols] = np.arange(len(rows)), np.arange(len(cols))
-    width = max(64, 16_000_000 // (len(rows) + len(cols)))
+    width = max(64, 4_000_000 // (len(rows) + len(cols)))
     tokens = int(token[-1]) + 1 if len(token) else 0
     for at in range(0, tokens, width):
         span = slice(*np.searchsorted(token, [at, at + width]))
@@ -366,7 +366,8 @@ def _met(docs: DataFrame, rooms: DataFrame, words: int, percent: int) -> DataFra
             yield pd.Series([shingle_set(t, words).tobytes() for t in texts], dtype=object)
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    texts = texts.union(docs.where("doc_id IS NULL").select(stand_in("text"), "text"))
+    if not rooms.where(F.col("node") >= STAND_IN).isEmpty():
+        texts = texts.union(docs.where("doc_id IS NULL").select(stand_in("text"), "text"))
     sets = texts.join(broadcast_if_small(rooms), "node").select("node", "rooms", whole_set("text").alias("body"))
     dealt = sets.select("node", "body", F.inline("rooms"))
 
