@@ -14,8 +14,11 @@ from marginalia.llm import (
     mixing,
     near_dedup,
     packing,
+    prefix_trie,
     pseudonyms,
+    ranked_search,
     topk,
+    toxicity,
     url_filter,
 )
 from marginalia.llm.common import table
@@ -101,6 +104,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = toxicity.find_toxic(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,6 +131,9 @@ QUERIES = {
         op8_pseudonyms,
         op9_language_id,
         op10_packing,
+        op11_prefix_trie,
+        op12_ranked_search,
+        op13_toxicity,
     )
 }
 
@@ -155,4 +175,29 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
  tops AS (SELECT node, min(top) AS top FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(top, d.doc_id) AS component_id, coalesce(top, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN tops ON node = d.doc_id""",
+    "op11_prefix_trie": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ sizes AS (SELECT conv_id, max(k) AS n, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, [ord(d)::BIGINT FOR d IN string_split(conv_id::VARCHAR, '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR i IN range(8)]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) % 9 AS h FROM t GROUP BY 1),
+ turns AS (SELECT s.conv_id, k AS depth, r, x FROM sizes s JOIN t ON t.conv_id = base AND k <= h
+  UNION ALL SELECT s.conv_id, k - s.h + least(s.h, coalesce(b.n, 0)), r, x FROM sizes s JOIN t USING (conv_id) LEFT JOIN sizes b ON b.conv_id = s.base WHERE k > s.h),
+ prefixes AS (SELECT conv_id, depth, octet_length(encode(x)) AS bytes, list({'r': r, 'x': x}) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM turns UNION ALL SELECT conv_id, 0, 0, [] FROM sizes),
+ members AS (SELECT *, min(conv_id) OVER (PARTITION BY prefix) AS node, count(*) OVER (PARTITION BY prefix) AS n, max(depth) OVER (PARTITION BY conv_id) AS length FROM prefixes),
+ nodes AS (SELECT node AS conv_id, depth, any_value(n) AS n, any_value(bytes) AS bytes, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = length), '') AS ends, max(length) = depth AS leaf FROM members GROUP BY 1, 2),
+ parents AS (SELECT c.conv_id, c.depth, m.node AS parent FROM nodes c JOIN members m ON m.conv_id = c.conv_id AND m.depth = c.depth - 1),
+ children AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM parents GROUP BY 1, 2),
+ sums AS (SELECT m.node AS conv_id, m.depth, sum((u.n - 1) * u.bytes) AS saved, count_if(u.leaf) AS leaves FROM nodes u JOIN members m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY 1, 2)
+SELECT conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM nodes LEFT JOIN parents USING (conv_id, depth) LEFT JOIN children USING (conv_id, depth) JOIN sums USING (conv_id, depth)""",
+    "op12_ranked_search": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+ totals AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS words FROM d WHERE len(t) > 0),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY 1, 2),
+ weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY 1),
+ wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+ sized AS (SELECT doc_id, 50 + (50 * len(t) * docs) // words AS m FROM d, totals WHERE len(t) > 0),
+ scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM wanted JOIN tf USING (term) JOIN weight USING (term) JOIN sized USING (doc_id) GROUP BY 1, 2),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }

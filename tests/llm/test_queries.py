@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_pseudonyms": ["doc_id", "text", "n_pii", "pii_kinds"],
     "op9_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op12_ranked_search": ["item_id", "rank", "doc_id", "score"],
+    "op13_toxicity": ["doc_id", "held_out", "score", "predicted"],
 }
 
 
@@ -28,11 +31,12 @@ def test_query(spark, name):
     assert set(COLUMNS[name]) <= set(df.columns)
     rows = df.collect()
     source = {"op2": "embeddings", "op4": "pages", "op5": "pages"}.get(name.partition("_")[0], "documents")
-    if name.partition("_")[0] not in ("op2", "op10"):
+    if name.partition("_")[0] not in ("op2", "op10", "op11", "op12"):
         assert len(rows) == spark.read.parquet(f"{SF}/{source}.parquet").count()
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW {source} AS SELECT * FROM '{SF}/{source}.parquet'")
+        for view in {source, "benchmark", "conversations"}:
+            con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF}/{view}.parquet'")
         cols = sorted(df.columns)
         want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
         assert sorted([tuple(r[c] for c in cols) for r in rows], key=str) == sorted(want, key=str)
