@@ -13,8 +13,7 @@ from marginalia.sources import files
 def ingest(spark: SparkSession, books_csv: str, reviews_csv: str, folder: str) -> dict[str, int]:
     """Write both files as parquet, once, with row ids that stay; returns ``books, reviews, bad_year, bad_score``.
 
-    A CSV whose lines may break within quotes is read by one task a file, so give several files; all later reads
-    are of parquet.
+    All later reads are of parquet.
     """
     files.books(spark, books_csv).write.mode("overwrite").parquet(f"{folder}/books")
     files.reviews(spark, reviews_csv).write.mode("overwrite").parquet(f"{folder}/reviews")

@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import parsing
+from marginalia.sources import csv_splits
 
 BOOK_FIELDS = {"Title": "title", "publishedDate": "published", "authors": "authors", "publisher": "publisher", "categories": "categories"}
 REVIEW_FIELDS = {"Title": "title", "review/score": "score", "review/text": "text"}
 
 
-def _csv(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
-    """Text fields by header name; empty fields, and all of a name that the header lacks, are "". Quotes are doubled inside quotes, lines may break there."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+def _csv(spark: SparkSession, path: str, fields: dict[str, str], row_id: str) -> DataFrame:
+    """A row id and text fields by header name; empty fields, and all of a name that the header lacks, are "".
+
+    Quotes are doubled inside quotes, lines may break there: files are read in splits all the same (``csv_splits``), but for
+    compressed ones and those in stores that only Spark opens, which take one task each.
+    """
+    raw = csv_splits.read(spark, path)
+    if raw is None:
+        whole = spark.read.csv(path, header=True, inferSchema=False, **csv_splits.DIALECT)
+        raw = whole.select(F.monotonically_increasing_id().alias("row_id"), "*")
     found = [F.col(f"`{a}`") if a in raw.columns else F.lit(None).cast("string") for a in fields]
-    return raw.select(*[c.alias(b) for c, b in zip(found, fields.values(), strict=True)]).fillna("")
+    return raw.select(F.col("row_id").alias(row_id), *[c.alias(b) for c, b in zip(found, fields.values(), strict=True)]).fillna("")
 
 
 def books(spark: SparkSession, path: str) -> DataFrame:
     """``row_id, title, year, authors, publisher, categories``. ``row_id`` follows the order of the file."""
-    return _csv(spark, path, BOOK_FIELDS).select(
-        F.monotonically_increasing_id().alias("row_id"),
+    return _csv(spark, path, BOOK_FIELDS, "row_id").select(
+        "row_id",
         "title",
         parsing.parse_year(F.col("published")).alias("year"),
         parsing.parse_list(F.col("authors")).alias("authors"),
@@ -32,7 +40,7 @@ def books(spark: SparkSession, path: str) -> DataFrame:
 
 def reviews(spark: SparkSession, path: str) -> DataFrame:
     """``review_id, title, score, text``."""
-    return _csv(spark, path, REVIEW_FIELDS).select(F.monotonically_increasing_id().alias("review_id"), "title", parsing.score(F.col("score")).alias("score"), "text")
+    return _csv(spark, path, REVIEW_FIELDS, "review_id").select("review_id", "title", parsing.score(F.col("score")).alias("score"), "text")
 
 
 def incremental(spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_batch: int = 1) -> DataFrame:
