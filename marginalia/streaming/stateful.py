@@ -244,15 +244,23 @@ class _Silence(StatefulProcessor):
         self.last = handle.getValueState("last", "at bigint, silent boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(int(batch["at"].max()) for batch in rows if len(batch))
         last, silent = self.last.get() if self.last.exists() else (None, False)
-        if last is not None and newest <= last:
-            return
-        out = [(key[0], newest, False)] if silent else []
+        out = []
+        for batch in rows:
+            for at in sorted(set(batch["at"].tolist())):
+                if last is not None and at <= last:
+                    continue
+                if last is not None and not silent and at - last >= self.limit:
+                    out.append((key[0], last, True))
+                    silent = True
+                if silent:
+                    out.append((key[0], at, False))
+                last, silent = int(at), False
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest + self.limit)
-        self.last.update((newest, False))
+        self.last.update((last, silent))
+        if not silent:
+            self.handle.registerTimer(last + self.limit)
         yield _frame(out, ["member", "at", "silent"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -268,8 +276,9 @@ def silence_alarms(signs: DataFrame, member: str, at: str, limit_seconds: float,
     """``member, at, silent``: once when nothing was heard of a member for the limit (``at`` is its last sign), and once, with
     ``silent`` false, when it is heard of again (``at`` is that sign).
 
-    Time is that of the signs: the watermark must pass ``limit_seconds`` beyond a member's last sign. Signs out of order or
-    repeated change nothing; rows without a member or a time go. Append mode.
+    Time is that of the signs: an alarm comes when the watermark passes ``limit_seconds`` beyond a member's last sign, or with
+    the next sign if that is sooner. A batch's signs are taken in order of time; one that is not newer than its member's last
+    changes nothing; rows without a member or a time go. Append mode.
     """
     use_rocksdb(signs.sparkSession)
     timed = signs.where(F.col(member).isNotNull() & F.col(at).isNotNull()).select(F.col(member).cast("string").alias("member"), F.col(at).cast("timestamp").alias("ts"))
