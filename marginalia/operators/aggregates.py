@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.scratch import written
 
+#: Keys that a task merges at once before it passes them on.
+PARTIAL_KEYS = 100_000
+
 
 def exploded(df: DataFrame, column: str, alias: str, *others: str) -> DataFrame:
     """A row for each non-empty element of an array."""
@@ -42,6 +50,49 @@ def merged(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sum(value).alias(value))
 
 
+def merged_by(df: DataFrame, key: str, value: str, function: Callable[[Any, Any], Any], order: str | None = None) -> DataFrame:
+    """``key, value``: the values of each key merged by an associative function; with an ``order``, in that order.
+
+    Each task merges its own rows first, so that a key comes to the final step once a task, however many rows it has; with an
+    order, rows are dealt in ranges of key and order for it. Without an order the function has to be commutative. Nulls are passed over.
+    """
+    named = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).alias("value"), (F.col(order) if order else F.lit(0)).alias("at"))
+    if order:
+        named = named.repartitionByRange("key", "at").sortWithinPartitions("key", "at")
+    parts = named.withColumn("part", F.spark_partition_id()).select("key", "value", "part")
+    schema = parts.schema
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[Any, list] = {}
+        for batch in batches:
+            for k, v, part in batch.itertuples(index=False, name=None):
+                k = None if k != k else k  # noqa: PLR0124
+                if k in held:
+                    held[k][0] = function(held[k][0], v)
+                else:
+                    held[k] = [v, part]
+            if len(held) > PARTIAL_KEYS and not order:
+                yield _merged_frame(held)
+                held = {}
+            elif len(held) > PARTIAL_KEYS:  # sorted by key: only the last one may go on
+                last = held.pop(k)
+                yield _merged_frame(held)
+                held = {k: last}
+        yield _merged_frame(held)
+
+    def final(group: pd.DataFrame) -> pd.DataFrame:
+        one = group["key"].iloc[0]
+        return pd.DataFrame({"key": pd.Series([None if one != one else one], dtype=object), "value": [reduce(function, group.sort_values("part", kind="stable")["value"].tolist())]})
+
+    out = parts.select("key", "value").schema
+    merged = parts.mapInPandas(fold, schema).groupBy("key").applyInPandas(final, out)
+    return merged.select(F.col("key").alias(key), F.col("value").alias(value))
+
+
+def _merged_frame(held: dict[Any, list]) -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series(list(held), dtype=object), "value": pd.Series([v for v, _ in held.values()], dtype=object), "part": [p for _, p in held.values()]})
+
+
 def row_counts(results: dict[str, DataFrame]) -> DataFrame:
     """``query, n``: how many rows each result has; results without rows count 0."""
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("query"), "n") for name, df in results.items()]
@@ -61,7 +112,8 @@ def top_n(df: DataFrame, value: str, key: str, n: int, by: tuple[str, ...] = ())
     if not by:
         return df.orderBy(F.desc(value), key).limit(n)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), key))
-    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    # the caller's columns in one struct: no name of theirs meets ours
+    return df.select(F.struct(*df.columns).alias("row"), place.alias("place")).where(F.col("place") <= n).select("row.*")
 
 
 def top_fraction(df: DataFrame, value: str, key: str, quantile: int = 90, compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -72,24 +124,27 @@ def top_fraction(df: DataFrame, value: str, key: str, quantile: int = 90, compat
     the one in which a group's cut falls is ranked, so outliers and ties bring no more than a range into a task.
     """
     ranges = df.where(F.col(value).isNotNull()).repartitionByRange(*by, F.desc(value), key)
-    dealt = written(ranges.withColumn("_range", F.spark_partition_id()))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    # the caller's columns in one struct: no name of theirs meets ours
+    groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)]
+    dealt = written(ranges.select(F.struct(*df.columns).alias("row"), *groups, F.col(value).alias("v"), F.col(key).alias("k"), F.spark_partition_id().alias("part")))
+    keys = [f"g{i}" for i in range(len(by))]
+    group = Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))
     n = F.sum("count").over(group)
     k = F.floor(n / (100 - quantile)) if compat else F.floor(n * (100 - quantile) / 100)
     cuts = (
-        dealt.groupBy(*by, "_range")
+        dealt.groupBy(*keys, "part")
         .count()
-        .withColumn("_room", k - F.sum("count").over(group.orderBy("_range")) + F.col("count"))
-        .where("_room > 0")
-        .withColumn("_whole", F.col("_room") >= F.col("count"))
+        .withColumn("room", k - F.sum("count").over(group.orderBy("part")) + F.col("count"))
+        .where("room > 0")
+        .withColumn("whole", F.col("room") >= F.col("count"))
         .drop("count")
     )
-    keys = [*by, "_range"]
+    keys = [*keys, "part"]
     # null-safe, as a group may be null
-    near = dealt.alias("d").join(cuts.alias("c"), [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in keys]).select("d.*", "_room", "_whole")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), key))
-    edge = near.where("NOT _whole").withColumn("_place", place).where("_place <= _room")
-    return near.where("_whole").select(*df.columns).unionByName(edge.select(*df.columns))
+    near = dealt.alias("d").join(cuts.alias("c"), [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in keys]).select("d.*", "room", "whole")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v"), "k"))
+    edge = near.where("NOT whole").withColumn("place", place).where("place <= room")
+    return near.where("whole").select("row.*").unionByName(edge.select("row.*"))
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.parsing import contains_folded
 
+#: A set of no more elements is a constant of the plan.
+SMALL_SET = 1000
+
 
 def in_range(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
     """Rows with ``low <= column <= high``."""
@@ -27,9 +30,17 @@ def drop_missing(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def overlaps(df: DataFrame, column: str, wanted: DataFrame, id_col: str) -> DataFrame:
-    """Rows of which an array element is among ``wanted`` (one column): a semi join of the elements, then of the ids."""
+    """Rows of which an array element is among ``wanted`` (one column); nulls match nothing.
+
+    Up to SMALL_SET wanted elements are a constant of the plan, and rows are filtered where they are. Beyond that it is a
+    semi join of the elements, then of the ids.
+    """
     element = wanted.columns[0]
-    hits = df.select(id_col, F.explode(column).alias(element)).join(wanted, element, "left_semi").select(id_col)
+    known = wanted.where(F.col(element).isNotNull())
+    few = known.limit(SMALL_SET + 1).collect()
+    if len(few) <= SMALL_SET:
+        return df.where(F.arrays_overlap(column, F.lit([r[0] for r in few]))) if few else df.where(F.lit(False))
+    hits = df.select(id_col, F.explode(column).alias(element)).join(known, element, "left_semi").select(id_col)
     return df.join(hits, id_col, "left_semi")
 
 

@@ -12,18 +12,17 @@ def with_items(reviews: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
 
 
 def keep_last(df: DataFrame, row_id: str, *keys: str) -> DataFrame:
-    """One row for each value of the keys: the one with the greatest row id."""
-    return _one(df, F.max_by, (row_id,), keys)
+    """One row for each value of the keys: the one with the greatest row id. Row ids are unique; rows without one go."""
+    # ids alone are aggregated, by hash, and each task passes on one a key; the join's keys are the ids, so none is hot
+    return df.join(df.groupBy(*keys).agg(F.max(row_id).alias(row_id)).select(row_id), row_id, "left_semi")
 
 
 def keep_first(df: DataFrame, order: tuple[str, ...], *keys: str) -> DataFrame:
-    """One row for each value of the keys: the first in the order."""
-    return _one(df, F.min_by, order, keys)
-
-
-def _one(df: DataFrame, pick, order: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """One row for each value of the keys: the first in the order. A single column of the order is a unique row id, as for the last."""
+    if len(order) == 1:
+        return df.join(df.groupBy(*keys).agg(F.min(order[0]).alias(order[0])).select(order[0]), order[0], "left_semi")
     # an aggregate, not a window: each task passes on one row a key, however many rows a key has
-    best = df.groupBy(*keys).agg(pick(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
     return best.select("_row.*")
 
 

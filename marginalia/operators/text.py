@@ -40,6 +40,35 @@ def polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str, negations:
     return with_polarity(df.select(key, text), lexicon, text, key, negations).select(key, "sentiment")
 
 
+def with_intensity(df: DataFrame, lexicon: DataFrame, text: str, intensifiers: dict[str, float], negations: list[str] | None = None) -> DataFrame:
+    """``df`` with ``sentiment`` as ``with_polarity`` has it, but for the modifiers that stand right before a word of the lexicon.
+
+    Each intensifier in an unbroken row of modifiers multiplies the word's polarity by its strength, each negation by -0.5: so
+    "not very good" is -0.5 times the strength of "very" times "good". What comes out is held to -1 to 1. A modifier carries no
+    polarity of its own, and any other word ends its effect. One fold over the words of a row, which stays where it is; the
+    lexicon has TABLE_WORDS entries at most.
+    """
+    known = lexicon.where("word IS NOT NULL AND polarity IS NOT NULL")
+    n = known.limit(TABLE_WORDS + 1).count()
+    if n > TABLE_WORDS:
+        raise ValueError(f"intensity takes a lexicon of {TABLE_WORDS} words at most")
+    table = _table(known, n)
+    strength = {**intensifiers, **dict.fromkeys(negations or [], -0.5)}
+    modifiers = F.from_json(F.lit(json.dumps(strength)), "map<string,double>")
+    one, none = F.lit(1.0), F.lit(0.0)
+    start = F.struct(one.alias("factor"), none.alias("s"), F.lit(0).alias("n"))
+
+    def step(a: Column, w: Column) -> Column:
+        factor, value = F.element_at(modifiers, w), table(w)
+        hit = F.struct(one.alias("factor"), (a["s"] + F.greatest(F.least(value * a["factor"], one), F.lit(-1.0))).alias("s"), (a["n"] + 1).alias("n"))
+        other = F.struct(one.alias("factor"), a["s"].alias("s"), a["n"].alias("n"))
+        carried = F.struct((a["factor"] * factor).alias("factor"), a["s"].alias("s"), a["n"].alias("n"))
+        return F.when(factor.isNotNull(), carried).when(value.isNotNull(), hit).otherwise(other)
+
+    mean = F.aggregate(words(F.col(text)), start, step, lambda a: F.try_divide(a["s"], a["n"]))
+    return df.withColumn("sentiment", F.coalesce(mean, none))
+
+
 def _table(lexicon: DataFrame, n: int):
     """Polarity of a word, by an array of small maps that a hash of the word chooses from."""
     size = max(1, n)

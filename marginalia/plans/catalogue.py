@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.parsing import decade
 from marginalia.operators import aggregates, filters, joins, text
+from marginalia.scratch import written
 
 Keys = tuple[str, ...]
 
@@ -43,14 +44,20 @@ def popular(
 ) -> DataFrame:
     """Q3: ``title, authors, average, n`` of some years' books with enough scores (a review without one doesn't count)."""
     keys = (*by, "title")
-    items = joins.keep_last(filters.in_range(books, "year", low, high), "row_id", *keys).select(*keys, "authors")
+    # used twice: the books are scanned and deduplicated once
+    items = written(joins.keep_last(filters.in_range(books, "year", low, high), "row_id", *keys).select(*keys, "authors"))
     rated = aggregates.average(joins.with_items(reviews.select(*keys, "score"), items.select(*keys), *keys), "score", *keys, scale=scale)
     return joins.with_items(aggregates.at_least(rated, "n", min_reviews), items, *keys).select(*keys, "authors", "average", "n")
 
 
 def best(books: DataFrame, reviews: DataFrame, n: int = 10, by: Keys = (), **params) -> DataFrame:
     """Q4: ``title, average`` of the best rated among the popular ones."""
-    return aggregates.top_n(popular(books, reviews, by=by, **params), "average", "title", n, by).select(*by, "title", "average")
+    return best_of(popular(books, reviews, by=by, **params), n, by)
+
+
+def best_of(found: DataFrame, n: int = 10, by: Keys = ()) -> DataFrame:
+    """Q4 from the rows of Q3."""
+    return aggregates.top_n(found, "average", "title", n, by).select(*by, "title", "average")
 
 
 def best_sentiment(

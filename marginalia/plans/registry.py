@@ -17,7 +17,7 @@ from marginalia.functions import parsing
 from marginalia.operators import aggregates, filters, joins, text
 from marginalia.plans import catalogue
 from marginalia.sources import files
-from marginalia.streaming import incremental
+from marginalia.streaming import incremental, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -305,6 +305,24 @@ def limit_head(spark, d):
     return aggregates.head(_t(spark, d, "part"), 50, "p_partkey").select("p_partkey", "p_name")
 
 
+@query("SELECT event_type, max(value) AS value FROM events GROUP BY 1")
+def keyed_merge_max(spark, d):
+    return aggregates.merged_by(_t(spark, d, "events"), "event_type", "value", max)
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+def keyed_merge_in_order(spark, d):
+    named = _t(spark, d, "orders").withColumn("orders", F.col("o_orderkey").cast("string"))
+    return aggregates.merged_by(named, "o_custkey", "orders", lambda a, b: f"{a},{b}", order="o_orderkey")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE len(list_intersect(string_split(p_name, ' '), (SELECT list(p_name) FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS p_name FROM part WHERE p_partkey % 50 = 3)))) > 0")
+def filter_list_overlap_large(spark, d):
+    wanted = _t(spark, d, "part").where("p_partkey % 50 = 3").select(F.get(F.split("p_name", " "), F.lit(1)).alias("w"))
+    every = wanted.unionByName(_t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("w")))
+    return filters.overlaps(_words(spark, d), "words", every, "p_partkey").select("p_partkey", "p_name")
+
+
 # --- sets
 
 
@@ -352,6 +370,19 @@ def sentiment_negation(spark, d):
     return text.polarity(_t(spark, d, "documents"), _lexicon(spark), "text", "doc_id", ["in", "is"])
 
 
+_WORD_ROWS = """SELECT doc_id, word, pos, CASE word WHEN 'to' THEN 1.5 WHEN 'a' THEN 0.75 WHEN 'in' THEN -0.5 WHEN 'is' THEN -0.5 END::DOUBLE AS factor FROM
+ (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents)) WHERE word <> ''"""
+
+
+@query(f"""WITH runs AS (SELECT *, coalesce(sum((factor IS NULL)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM ({_WORD_ROWS})),
+ chains AS (SELECT doc_id, run, coalesce(product(factor), 1) AS factor, any_value(word) FILTER (factor IS NULL) AS word FROM runs GROUP BY 1, 2),
+ hits AS (SELECT doc_id, sum(greatest(-1, least(1, polarity::DOUBLE * factor))) / count(*) AS v FROM chains JOIN {_LEXICON_SQL} USING (word) GROUP BY 1)
+ SELECT doc_id, round(coalesce(v, 0.0), 9) AS sentiment FROM documents LEFT JOIN hits USING (doc_id)""")
+def sentiment_intensity(spark, d):
+    scored = text.with_intensity(_t(spark, d, "documents").select("doc_id", "text"), _lexicon(spark), "text", {"to": 1.5, "a": 0.75}, ["in", "is"])
+    return scored.select("doc_id", F.round("sentiment", 9).alias("sentiment"))
+
+
 # --- streams
 
 
@@ -389,6 +420,89 @@ def incremental_source(spark, d):
     return incremental.run_appending(found, top)
 
 
+def _numbered(spark, d) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")
+    return _t(spark, d, "events").select("user_id", number.alias("number"), "event_id", "event_type")
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_id, event_type FROM events")
+def stream_once_by_sender(spark, d):
+    top = incremental.folder(spark)
+    # files out of order, of which the last ones repeat a third of the messages
+    sent = _numbered(spark, d).withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int"))
+    again = sent.where("number % 3 = 0").withColumn("file", F.lit(3))
+    sent.unionByName(again).repartitionByRange(4, "file").drop("file").write.json(f"{top}/in")
+    stream = files.incremental(spark, f"{top}/in", "user_id bigint, number bigint, event_id bigint, event_type string")
+    return incremental.run_appending(stateful.once_by_sender(stream, "user_id", "number"), top)
+
+
+@query(f"""WITH {_REVIEWS_SQL} SELECT session_id::VARCHAR AS session, title, CAST(sum(score) AS DOUBLE) AS total, count(score) AS n FROM reviews WHERE session_id < 2 GROUP BY 1, 2""")
+def stream_session_results(spark, d):
+    top = incremental.folder(spark)
+    sent = _t(spark, d, "lineitem").selectExpr("l_suppkey % 3 AS session", "CAST(l_linenumber % 4 AS STRING) AS worker", "false AS ended", "concat('Book ', l_partkey % 1300) AS title", f"{_SCORE} AS score", "l_orderkey % 3 AS file")
+    # the workers of two sessions say that they are at the end, after all rows; those of the third don't
+    ends = spark.range(8).selectExpr("id % 2 AS session", "CAST(id div 2 AS STRING) AS worker", "true AS ended", "CAST(NULL AS STRING) AS title", "CAST(NULL AS DOUBLE) AS score").coalesce(1)
+    sent.repartitionByRange(3, "file").drop("file").write.json(f"{top}/in")
+    ends.write.mode("append").json(f"{top}/in")
+    stream = files.incremental(spark, f"{top}/in", "session bigint, worker string, ended boolean, title string, score double")
+    return incremental.run_appending(stateful.sums_of_ended_sessions(stream, 4), top)
+
+
+@query("""WITH items AS (SELECT p_partkey % 2 AS session, p_name, max(p_partkey) AS p_partkey FROM part GROUP BY 1, 2)
+ SELECT session::VARCHAR AS session, p_name, i.p_partkey, count(*) AS n FROM (SELECT l_orderkey % 2 AS session, p_name FROM lineitem JOIN part ON l_partkey = p_partkey) JOIN items i USING (session, p_name) GROUP BY 1, 2, 3""")
+def stream_join_when_built(spark, d):
+    top = incremental.folder(spark)
+    part, names = _t(spark, d, "part"), _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    items = part.selectExpr("p_partkey % 2 AS session", "CAST(p_partkey % 3 AS STRING) AS sender", "false AS ended", "p_name", "p_partkey", "p_partkey % 3 AS file")
+    item_ends = spark.range(6).selectExpr("id % 2 AS session", "CAST(id % 3 AS STRING) AS sender", "true AS ended", "CAST(NULL AS STRING) AS p_name", "CAST(NULL AS BIGINT) AS p_partkey").coalesce(1)
+    reviews = _t(spark, d, "lineitem").join(names, "l_partkey").selectExpr("l_orderkey % 2 AS session", "'r' AS sender", "false AS ended", "p_name", "l_orderkey", "l_orderkey % 5 AS file")
+    review_ends = spark.range(2).selectExpr("id AS session", "'r' AS sender", "true AS ended", "CAST(NULL AS STRING) AS p_name", "CAST(NULL AS BIGINT) AS l_orderkey").coalesce(1)
+    for rows, ends, n, name in ((items, item_ends, 3, "items"), (reviews, review_ends, 5, "reviews")):
+        rows.repartitionByRange(n, "file").drop("file").write.json(f"{top}/{name}")
+        ends.write.mode("append").json(f"{top}/{name}")
+    one = files.incremental(spark, f"{top}/items", "session bigint, sender string, ended boolean, p_name string, p_partkey bigint")
+    two = files.incremental(spark, f"{top}/reviews", "session bigint, sender string, ended boolean, p_name string, l_orderkey bigint")
+    met = incremental.run_appending(stateful.joined_when_built(one, two, "p_name", "p_partkey", 3), top)
+    return met.groupBy("session", "p_name", "p_partkey").agg(F.count("*").alias("n"))
+
+
+@query("""WITH signs AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS ms FROM events), ends AS (SELECT max(ms) AS over FROM signs),
+ gaps AS (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next, over FROM signs, ends)
+ SELECT user_id::VARCHAR AS member, ms, true AS silent FROM gaps WHERE coalesce(next, over) - ms >= 172800000 UNION ALL SELECT user_id::VARCHAR, next, false FROM gaps WHERE next - ms >= 172800000""")
+def stream_silence_alarms(spark, d):
+    signs = incremental.read_table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = incremental.run_appending(stateful.silence_alarms(signs, "user_id", "ts", 172_800), incremental.folder(spark))
+    return found.select("member", F.unix_millis("at").alias("ms"), "silent")
+
+
+@query(f"""WITH {_BOOKS_SQL} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, concat(title, chr(10), ' of "', publisher, '"') AS title, year, array_to_string(authors, '|') AS authors FROM books""")
+def source_books_csv(spark, d):
+    top = incremental.folder(spark)
+    books = _books(spark, d).selectExpr(
+        "row_id", "concat(title, '\n of \"', publisher, '\"') AS Title", "if(year = 0, '', concat(year, '-01')) AS publishedDate",
+        "concat('[\\'', array_join(authors, '\\', \\''), '\\']') AS authors", "publisher", "concat('[\\'', array_join(categories, ' & '), '\\']') AS categories",
+    )
+    dealt = books.repartitionByRange(3, "row_id").sortWithinPartitions("row_id").drop("row_id")
+    files.write_csv(dealt, f"{top}/books")
+    return files.books(spark, f"{top}/books").select("row_id", "title", "year", F.array_join("authors", "|").alias("authors"))
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT row_number() OVER (ORDER BY review_id) - 1 AS review_id, title, review_id % 5 + 0.5::DOUBLE AS score, coalesce(text, '') AS text FROM reviews")
+def source_reviews_csv(spark, d):
+    top = incremental.folder(spark)
+    texts = _texts(spark, d).selectExpr("review_id", "title AS Title", "review_id % 5 + 0.5 AS `review/score`", "text AS `review/text`")
+    files.write_csv(texts.repartitionByRange(3, "review_id").sortWithinPartitions("review_id").drop("review_id"), f"{top}/reviews")
+    return files.reviews(spark, f"{top}/reviews")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'view'")
+def stream_result_batches(spark, d):
+    top = incremental.folder(spark)
+    found = incremental.read_table(spark, d, "events").where("event_type <> 'view'").select("event_id", "event_type")
+    files.write_result_batches(found, f"{top}/results", 1, f"{top}/state")
+    return files.read_result_batches(spark, f"{top}/results", 1, found.schema)
+
+
 @query("SELECT user_id, before AS after, event_id - before - 1 AS missing FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_id - before > 1")
 def sequence_gaps(spark, d):
     return incremental.sequence_gaps(_t(spark, d, "events"), "user_id", "event_id")

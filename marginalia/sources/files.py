@@ -53,6 +53,31 @@ def write_result_lines(df: DataFrame, folder: str, query: int) -> None:
     df.write.mode("overwrite").json(f"{folder}/query={query}")
 
 
+def write_result_batches(stream: DataFrame, folder: str, query: int, state: str) -> None:
+    """Append a stream's rows to a query's folder as JSON lines, each batch in a folder of its own; run again, it goes on.
+
+    A batch is written beside its place and moved there whole. One that is run again after a crash, because it was written but
+    not yet noted as done, takes its own earlier place: so each row is there once.
+    """
+    spark, top = stream.sparkSession, f"{folder}/query={query}"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def write(batch: DataFrame, number: int) -> None:
+        made, place = fs_path(f"{top}/_making-{number}"), fs_path(f"{top}/batch={number}")
+        batch.write.mode("overwrite").json(made.toString())
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(place, True)
+        if not fs.rename(made, place):
+            raise OSError(f"could not move {made.toString()}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_result_batches(spark: SparkSession, folder: str, query: int, schema) -> DataFrame:
+    """What ``write_result_batches`` finished; batches that are being made aren't seen."""
+    return spark.read.schema(schema).json(f"{folder}/query={query}/batch=*")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia import scratch
-from marginalia.operators import aggregates, joins, text
+from marginalia.operators import aggregates, filters, joins, text
 from marginalia.plans import jobs
 from marginalia.sources import files
 from marginalia.streaming import incremental
@@ -36,7 +36,7 @@ def test_top_fraction_ranks_a_range_alone(spark, values, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(map(tuple, got.collect())) == sorted(with_values[: len(with_values) // 10])
     # a window ranks one range at most
-    assert dealt[0].groupBy("_range").count().agg(F.max("count")).first()[0] < 0.6 * len(with_values)
+    assert dealt[0].groupBy("part").count().agg(F.max("count")).first()[0] < 0.6 * len(with_values)
 
 
 def test_one_row_a_key(spark):
@@ -156,3 +156,70 @@ def test_a_cluster_must_name_the_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_folder(Session())
+
+
+def test_last_rows_by_id_take_no_sort(spark):
+    df = spark.range(100).select(F.col("id").alias("row_id"), (F.col("id") % 7).alias("title"), F.array(F.col("id").cast("string")).alias("authors"))
+    for one in (joins.keep_last(df, "row_id", "title"), joins.keep_first(df, ("row_id",), "title")):
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and one.count() == 7
+
+
+def test_overlap_with_small_and_large_sets(spark, monkeypatch):
+    rows = [(1, ["a", "b"]), (2, ["c"]), (3, []), (4, None), (5, [None, "a"]), (6, ["z", "z"])]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    wanted = spark.createDataFrame([("a",), ("z",), ("z",), (None,)], "w string")
+    for most, shuffles in ((1000, 0), (1, 1)):
+        monkeypatch.setattr(filters, "SMALL_SET", most)
+        found = filters.overlaps(df, "words", wanted, "id")
+        assert sorted(r["id"] for r in found.collect()) == [1, 5, 6]
+        assert ("Join" in found._jdf.queryExecution().executedPlan().toString()) == bool(shuffles)
+    assert filters.overlaps(df, "words", wanted.limit(0), "id").count() == 0
+
+
+def test_names_of_the_caller_are_left_alone(spark):
+    df = spark.createDataFrame([(k, float(k), k * 10, k % 2) for k in range(40)], "id long, v double, _range long, place long").withColumns({"row": F.col("id"), "part": F.lit("p")})
+    top = aggregates.top_fraction(df, "v", "id", 90, by=("place",))
+    assert top.columns == df.columns and {(r["id"], r["_range"]) for r in top.collect()} == {(k, 10 * k) for k in (36, 37, 38, 39)}
+    best = aggregates.top_n(df, "v", "id", 1, by=("place",))
+    assert best.columns == df.columns and {r["id"] for r in best.collect()} == {38, 39}
+
+
+def test_merging_by_any_function(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "PARTIAL_KEYS", 3)
+    rnd = random.Random(6)
+    rows = [(rnd.choice("abcdefgh"), rnd.choice([None, *"xyz"]), k) for k in range(500)] + [(None, "n", 600)]
+    df = spark.createDataFrame(rows, "k string, v string, at long").repartition(6)
+    want = {}
+    for k, v, _ in rows:
+        if v is not None:
+            want[k] = want.get(k, "") + v
+    assert {r["k"]: r["v"] for r in aggregates.merged_by(df, "k", "v", lambda a, b: a + b, order="at").collect()} == want
+    assert {r["k"]: r["v"] for r in aggregates.merged_by(df, "k", "v", max).collect()} == {k: max(v) for k, v in want.items()}
+
+
+def test_modifiers_compose(spark):
+    rows = [("very good", 0.65), ("not very good", -0.325), ("not good", -0.25), ("very blue good", 0.5), ("good very", 0.5), ("very very good bad", 0.0725), ("extremely good", 1.0), ("", 0.0), (None, 0.0)]
+    df = spark.createDataFrame([(t, w) for t, w in rows], "t string, want double")
+    lexicon = spark.createDataFrame([("good", 0.5), ("bad", -0.7), ("very", 0.2)], "word string, polarity double")
+    got = text.with_intensity(df, lexicon, "t", {"very": 1.3, "extremely": 4.0}, ["not"]).collect()
+    assert [r["sentiment"] for r in got] == pytest.approx([r["want"] for r in got])
+
+
+def test_result_batches_survive_a_crash_between_write_and_commit(spark, tmp_path):
+    import shutil
+
+    source, out, state = f"{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state"
+    schema = "s string, n long, v double"
+    run = lambda: files.write_result_batches(files.incremental(spark, f"file://{source}", schema), out, 3, state)
+    sent(spark, source, [("a", 1, 1.0), ("a", 2, 1.0)])
+    run()
+    sent(spark, source, [("b", 1, 1.0)])
+    run()
+    # the second batch was written, but a crash came before it was noted as done; and a third was being made
+    for name in ("1", ".1.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    shutil.copytree(tmp_path / "out" / "query=3" / "batch=1", tmp_path / "out" / "query=3" / "_making-2")
+    run()
+    found = files.read_result_batches(spark, out, 3, schema).select("s", "n").collect()
+    assert sorted(map(tuple, found)) == [("a", 1), ("a", 2), ("b", 1)]
