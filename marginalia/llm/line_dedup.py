@@ -1,14 +1,14 @@
-"""Line deduplication by content-defined spans of lines, in DataFrame functions only.
+"""Line deduplication by content-defined chunks of lines, in DataFrame functions only.
 
-``dedup_passages`` cuts every run of two lines or more that stands at an earlier place in the corpus. Such a run
-is one of repeated line pairs, so each pair is held against all others, and no boundary can hide a run.
+Every line is hashed; a rolling hash over two neighbouring line hashes is taken at every line, and a chunk ends where it has a
+local minimum. Where it ends depends on the lines around that place alone, so an inserted or lost line moves no other
+boundary. A chunk of two lines or more whose hash occurs again is compared byte by byte, and is an anchor: from it the
+repeated passage is followed line by line into the chunks before and after it.
 
-``dedup_lines`` is the coarser form: every line is hashed; a rolling hash over two neighbouring line hashes is
-taken at every line, and a chunk ends where it has a local minimum. Where it ends depends on the lines around
-that place alone, so an inserted or lost line moves no other boundary, and two ends are never next to each other.
-Only whole chunks of two lines or more go, so a passage without a whole chunk of its own stays.
-
-Either way the first occurrence stays, and spans are equal if their SHA-256 is.
+A short passage may hold no whole chunk. What the anchors leave, with the outer lines of what they found, is therefore
+completed by all pairs of lines that still follow each other, compared by bytes too. A pair's earliest place is never in a
+passage that goes, so its inside needn't be looked at again, and together they cut every run of two lines or more that stands
+at an earlier place.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from marginalia.llm.common import broadcast_if_small
+from marginalia.llm.common import BROADCAST_ROWS, WORD, broadcast_if_small
 from marginalia.scratch import written
 
 MULTIPLIER, MODULUS = 1_000_003, 4_294_967_291
+#: Words that a repeated passage must have to go; bytes of text that are sent to all tasks at most.
+LEAST_WORDS, BROADCAST_BYTES = 10, 32 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,51 +53,110 @@ def chunk_ends(rolled: Column) -> Column:
     )
 
 
-def chunk_spans(lines: Column) -> Column:
-    """Array of struct(begin, size, hash), in the order of the lines, of the chunks of two lines or more."""
+def chunk_spans(lines: Column, whole: bool = True) -> Column:
+    """Array of struct(begin, size, hash) of the chunks of two lines or more; with their text and the lines of the chunks beside them if ``whole``."""
 
     def cut(ends: Column) -> Column:
-        def chunk(end: Column, k: Column) -> Column:
+        def part(k: Column) -> tuple[Column, Column]:
             begin = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
-            return _span(begin, end - begin + 1, F.array_join(F.slice(lines, begin + 1, end - begin + 1), "\n"))
+            return begin, F.coalesce(F.get(ends, k) - begin + 1, F.lit(0))
+
+        def chunk(_: Column, k: Column) -> Column:
+            (begin, size), (before, n_before), (after, n_after) = part(k), part(k - 1), part(k + 1)
+            body = F.array_join(F.slice(lines, begin + 1, size), "\n")
+            n_before = F.when(k > 0, n_before).otherwise(F.lit(0))
+            beside = (F.reverse(F.slice(lines, before + 1, n_before)).alias("before"), F.slice(lines, after + 1, n_after).alias("after")) if whole else ()
+            return _span(begin, size, body, whole, *beside)
 
         return F.filter(F.transform(ends, chunk), lambda x: x["size"] > 1)
 
     return _let(F.transform(lines, line_hash), lambda hashes: _let(rolling(hashes), lambda rolled: _let(chunk_ends(rolled), cut)))
 
 
-def pair_spans(lines: Column) -> Column:
-    """Array of struct(begin, size, hash), in the order of the lines, of all two lines that follow each other."""
-    return F.transform(
-        F.slice(lines, F.lit(2), F.size(lines)), lambda x, i: _span(i, F.lit(2), F.concat(F.get(lines, i), F.lit("\n"), x))
-    )
+def pair_spans(numbered: Column, whole: bool = True) -> Column:
+    """Array of struct(begin, size, hash) of two lines (struct(at, line)) that follow each other, with their text if ``whole``."""
 
+    def pair(x: Column, i: Column) -> Column:
+        return _let(F.get(numbered, i), lambda first: F.when(x["at"] == first["at"] + 1, _span(first["at"], F.lit(2), F.concat(first["line"], F.lit("\n"), x["line"]), whole)))
 
-def _span(begin: Column, size: Column, body: Column) -> Column:
-    return F.struct(begin.alias("begin"), size.alias("size"), F.unhex(F.sha2(body, 256)).alias("hash"))
+    return F.filter(F.transform(F.slice(numbered, F.lit(2), F.size(numbered)), pair), lambda x: x.isNotNull())
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks cut from its text, and ``n_lines``, ``n_lines_removed`` long.
+def _span(begin: Column, size: Column, body: Column, whole: bool, *more: Column) -> Column:
+    return F.struct(begin.alias("begin"), size.alias("size"), F.xxhash64(body).alias("hash"), *((body.alias("body"), *more) if whole else ()))
 
-    A chunk of a single line (only a first or last chunk can be one) never goes. All else is as in
-    ``dedup_passages``.
-    """
-    return _without_repeats(docs, chunk_spans, id_col, text_col)
 
+def _light(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if its rows and bytes were counted to be few, else as it is."""
+    text = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
+    n, *sizes = df.agg(F.count("*"), *text).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and sum(x or 0 for x in sizes) <= BROADCAST_BYTES else df
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without lines in runs of two or more that stand at an earlier place; ``n_lines``, ``n_lines_removed`` long.
 
-    Places are ordered by id (null first) and place in the text; every different line stays where it comes first.
-    A null text stays null with 0 lines; an empty one is one empty line. A text of which every line went is
-    empty. Rows that share an id, or have none, are documents
-    of their own, ordered by a hash of their texts; of rows equal in id and text one counts as the first. Other columns pass unchanged; an empty table gives an empty result.
-    """
-    return _without_repeats(docs, pair_spans, id_col, text_col)
+def _alike(a: Column, b: Column) -> Column:
+    """How many elements two arrays have alike from their beginning on."""
+    n = F.least(F.size(a), F.size(b))
+    differs = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), F.lit(False)).cast("int")
+    return F.when(differs > 0, differs - 1).otherwise(n)
+
+
+def _suspects(rows: DataFrame, lines: Column, spans: Callable[..., Column]) -> DataFrame:
+    """``id, key, at, size`` and the rest of the spans whose hash occurs in more than one place."""
+    numbers = rows.select(F.explode(_let(lines, lambda x: spans(x, False))).alias("s")).groupBy("s.hash").agg(F.count("*").alias("n"))
+    again = written(numbers.where("n > 1").select("hash"))
+    # now with their bytes; texts are shuffled only where repeated hashes are too many to be sent to all
+    return rows.select("id", "key", F.explode(_let(lines, lambda x: spans(x))).alias("s")).select("id", "key", "s.*").withColumnRenamed("begin", "at").join(_light(again), "hash", "left_semi")
+
+
+def repeated_chunks(rows: DataFrame, lines: Column) -> DataFrame:
+    """``key, begin, end``: chunks that stand at an earlier place, with as many lines before and after as stand there too."""
+    suspects = written(_suspects(rows, lines, chunk_spans))
+    place = F.struct("id", "key", "at")
+    firsts = written(suspects.groupBy("hash", "body").agg(F.min_by(F.struct("key", "at", "before", "after"), place).alias("first")).select("hash", "body", "first.*"))
+    first = firsts.select("hash", *[F.col(c).alias(f"first_{c}") for c in ("body", "key", "at", "before", "after")])
+    met = suspects.join(_light(first), "hash").where("body = first_body AND NOT (key = first_key AND at = first_at)")
+    begin = F.col("at") - _alike(F.col("before"), F.col("first_before"))
+    return met.select("key", begin.alias("begin"), (F.col("at") + F.col("size") + _alike(F.col("after"), F.col("first_after"))).alias("end"))
+
+
+def repeated_pairs(rows: DataFrame, lines: Column) -> DataFrame:
+    """``key, begin, end``: two lines each that stand at an earlier place."""
+    suspects = written(_suspects(rows, lines, pair_spans))
+    # partial minima absorb a pair that is everywhere; then places meet places, so no pair is a hot key
+    firsts = suspects.groupBy("hash", "body").agg(F.min(F.struct("id", "key", "at")).alias("first")).select("first.key", "first.at")
+    return suspects.select("key", "at").join(firsts, ["key", "at"], "left_anti").select("key", F.col("at").alias("begin"), (F.col("at") + 2).alias("end"))
+
 
+def _islands(spans: DataFrame) -> DataFrame:
+    """``key, gone``: spans of each row that touch or overlap put together, in order."""
+    order = Window.partitionBy("key").orderBy("begin", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.coalesce((F.col("begin") > reached).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
+    joined = marked.groupBy("key", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", (F.col("end") - F.col("begin")).cast("int").alias("size")))).alias("gone"))
 
-def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+
+def _kept(lines: Column, gone: Column) -> Column:
+    """The elements between the spans that go."""
+
+    def between(k: Column) -> Column:
+        before = F.get(gone, k - 1)
+        begin = F.coalesce(before["begin"] + before["size"], F.lit(0))
+        end = F.coalesce(F.get(gone, k)["begin"], F.size(lines))
+        return F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), between))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without lines in runs of two or more that stand at an earlier place; ``n_lines``, ``n_lines_removed`` long.
+
+    Runs in a row with fewer words than ``least_words`` in all, such as blank lines and braces, stay. Places are ordered by id
+    (null first) and place in the text; every different line stays where it comes first. A null text stays null with 0
+    lines; an empty one is one empty line; lines and texts may be of any length. A text of which every line went is empty.
+    Rows that share an id, or have none, are documents of their own, ordered by a hash of their texts; of rows equal in id and
+    text one counts as the first. Other columns pass unchanged; an empty table gives an empty result.
+    """
     own = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
     others = [c for c in own if c not in (id_col, text_col)]
     name = F.col(id_col).cast("string")
@@ -102,27 +164,23 @@ def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col:
     whole = F.concat(F.coalesce(F.concat(F.length(name), F.lit(":"), name), F.lit("none:")), F.coalesce(F.col(text_col), F.lit("")))
     # the caller's columns in one struct: no name of theirs meets one of ours
     rows = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.sha2(whole, 256)).alias("key"))
-
-    def spans_of(text: Column) -> Column:
-        return _let(F.split(text, "\n", -1), spans)
-
-    pieces = rows.select("id", "key", F.explode(spans_of(F.col("text"))).alias("s")).select(
-        "id", "key", F.col("s.begin").alias("at"), F.col("s.size").alias("size"), F.col("s.hash").alias("h")
-    )
-    # numbers first: which hashes occur in more than one place
-    again = written(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    suspects = written(pieces.join(broadcast_if_small(again), "h", "left_semi"))
-    # partial minima absorb a span that is everywhere; then places meet places, so no span is a hot key
-    firsts = suspects.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("first")).select("first.key", "first.at")
-    gone = written(
-        suspects.join(firsts, ["key", "at"], "left_anti")
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("begin"), "size"))).alias("gone"))
-    )
+    lines = F.split("text", "\n", -1)
+
+    twin_keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("text").contains("\n")).alias("long")).where("n > 1 AND long").select("key")
+    texts = rows.select("id", "key", "text").where(F.col("text").contains("\n"))
+    chunks = repeated_chunks(texts, lines)
+    found = written(_islands(chunks))
+    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    left = texts.join(_light(found), "key", "left")
+    # the outer lines of what goes stay here, as a line beside them may belong to the same passage
+    inner = F.transform(F.filter("gone", lambda x: x["size"] > 2), lambda x: F.struct((x["begin"] + 1).alias("begin"), (x["size"] - 2).alias("size")))
+    rest = F.when(F.size("gone") > 0, _let(numbered, lambda x: _let(inner, lambda cut: _kept(x, cut)))).otherwise(numbered)
+    pairs = repeated_pairs(left, rest)
+    gone = written(_islands(pairs.unionByName(found.select("key", F.explode("gone").alias("s")).select("key", F.col("s.begin").alias("begin"), (F.col("s.begin") + F.col("s.size")).alias("end")))))
     n_gone = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     # texts are shuffled only where the spans that go are too many to be sent to all
     gone = broadcast_if_small(gone, n_gone)
-    many = written(suspects.groupBy("key", "at").count().where("count > 1").select("key").distinct())
+    many = written(twin_keys)
     n_many = many.count()
     single = rows
     if n_many:
@@ -134,33 +192,24 @@ def _without_repeats(docs: DataFrame, spans: Callable[[Column], Column], id_col:
         twins = twins.join(first, ["key", "place"], "left")
     joined = single.join(gone, "key", "left").select("row", "text", "gone")
     if n_many:
-        # a further copy repeats the first one: all its spans go
-        whole_copy = F.transform(spans_of(F.col("text")), lambda x: F.struct(x["begin"], x["size"]))
-        drop = F.when(F.col("is_first"), F.col("gone")).otherwise(whole_copy)
-        joined = joined.union(twins.join(gone, "key", "left").select("row", "text", drop.alias("gone")))
-
-    def cut(lines: Column, drop: Column) -> Column:
-        """The lines between the spans that go."""
-
-        def kept(k: Column) -> Column:
-            before = F.get(drop, k - 1)
-            begin = F.coalesce(before["begin"] + before["size"], F.lit(0))
-            end = F.coalesce(F.get(drop, k)["begin"], F.size(lines))
-            return F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0)))
+        # a further copy repeats the first one as a whole
+        copy = F.array(F.struct(F.lit(0).alias("begin"), F.size(lines).alias("size")))
+        joined = joined.union(twins.join(gone, "key", "left").select("row", "text", F.when(F.col("is_first"), F.col("gone")).otherwise(copy).alias("gone")))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), kept))
+    def large(lines: Column) -> Column:
+        return F.filter("gone", lambda x: F.regexp_count(F.array_join(F.slice(lines, x["begin"] + 1, x["size"]), "\n"), F.lit(WORD)) >= least_words)
 
     edited = _let(
-        F.split("text", "\n", -1),
+        lines,
         lambda lines: _let(
-            cut(lines, F.col("gone")),
+            _let(large(lines), lambda gone: _kept(lines, gone)),
             lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).cast("bigint").alias("removed")),
         ),
     )
-    lines = F.regexp_count("text", F.lit("\n")) + 1
+    n_lines = F.regexp_count("text", F.lit("\n")) + 1
     zero = F.lit(0).cast("bigint")
     return joined.withColumn("edit", F.when(F.size("gone") > 0, edited)).select(
         *[F.coalesce("edit.text", "text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own],
-        F.coalesce(lines.cast("bigint"), zero).alias("n_lines"),
+        F.coalesce(n_lines.cast("bigint"), zero).alias("n_lines"),
         F.coalesce("edit.removed", zero).alias("n_lines_removed"),
     )

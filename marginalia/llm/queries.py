@@ -150,7 +150,9 @@ WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM document
  each AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM cut),
  pairs AS (SELECT doc_id, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS pair FROM each),
  ranked AS (SELECT doc_id, k, row_number() OVER (PARTITION BY pair ORDER BY doc_id, k) AS r FROM pairs WHERE pair IS NOT NULL),
- gone AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS k FROM ranked WHERE r > 1),
+ repeated AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS k FROM ranked WHERE r > 1),
+ runs AS (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM repeated),
+ gone AS (SELECT doc_id, k FROM runs JOIN each USING (doc_id, k) QUALIFY sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) OVER (PARTITION BY doc_id, run) >= 10),
  kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
 SELECT c.doc_id, CASE WHEN c.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(len(l), 0) AS n_lines, coalesce(len(l), 0) - coalesce(k.n, 0) AS n_lines_removed
 FROM cut c LEFT JOIN kept k USING (doc_id)""",
