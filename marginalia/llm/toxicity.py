@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +24,9 @@ from marginalia.llm.language_id import held_out
 from marginalia.scratch import written
 
 #: Bounds of what is learned from: labelled documents of each class, about, chosen by a hash of their id, and words, the
-#: most frequent ones. One sampled document in CALIBRATE sets the curve, the others the words' odds.
-SAMPLE_ROWS, MOST_WORDS, CALIBRATE = 20_000, 1_000_000, 4
+#: most frequent ones (rarer ones count for their beginnings alone). One sampled document in CALIBRATE sets the curve, the
+#: others the words' odds.
+SAMPLE_ROWS, MOST_WORDS, CALIBRATE = 20_000, 150_000, 4
 #: Letters of a word's beginning, which stands for words never seen; weight of the class's share in the prior of a
 #: beginning, and of the beginning's in the prior of a word.
 BEGINNING, PRIOR_OF_BEGINNING, PRIOR_OF_WORD = 4, 20.0, 5.0
@@ -91,22 +91,18 @@ class Model:
     curve: Curve = field(default_factory=Curve)
 
 
-def fit_words(counts: list[tuple[str, float, float]]) -> _Scores:
-    """Scores from rows ``word, toxic, clean``: how many documents of each class have it."""
-    toxic, clean = sum(t for _, t, _ in counts), sum(c for _, _, c in counts)
+def fit_words(counts: list[tuple[str, float, float]], begins: list[tuple[str, float, float]]) -> _Scores:
+    """Scores from rows ``word, toxic, clean``: how many documents of each class have it; and the same of all words' beginnings."""
+    toxic, clean = math.fsum(t for _, t, _ in begins), math.fsum(c for _, _, c in begins)
     if not toxic or not clean:
         return _Scores({}, {}, LEAST)
     share, odds = toxic / (toxic + clean), math.log(toxic / clean)
-    begin_toxic, begin_all = Counter(), Counter()
-    for w, t, c in counts:
-        begin_toxic[w[:BEGINNING]] += t
-        begin_all[w[:BEGINNING]] += t + c
 
     def score(t: float, c: float, begin_share: float) -> float:
         found = math.log((t + PRIOR_OF_WORD * begin_share) / (c + PRIOR_OF_WORD * (1 - begin_share))) - odds
         return min(max(found - DRIFT, LEAST), MOST)
 
-    shares = {b: (begin_toxic[b] + PRIOR_OF_BEGINNING * share) / (n + PRIOR_OF_BEGINNING) for b, n in begin_all.items()}
+    shares = {b: (t + PRIOR_OF_BEGINNING * share) / (t + c + PRIOR_OF_BEGINNING) for b, t, c in begins}
     base = score(0, 0, share)
     beginnings = {b: s for b, x in shares.items() if abs((s := score(0, 0, x)) - base) > NEAR}
     kept = {w: s for w, t, c in counts if abs((s := score(t, c, shares[w[:BEGINNING]])) - beginnings.get(w[:BEGINNING], base)) > NEAR}
@@ -233,8 +229,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample; its words' counts and its segments' scores are all that comes to the driver."""
     small_batches(docs.sparkSession)
     texts = written(sample(docs, labels))
-    rows = word_counts(texts.where("NOT tuning")).orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word", "toxic", "clean").collect()
-    of_word = fit_words(sorted(map(tuple, rows)))
+    counts = written(word_counts(texts.where("NOT tuning")))
+    begins = counts.groupBy(F.substring("word", 1, BEGINNING).alias("begin")).agg(*[F.sum(F.round(c, 6).cast("decimal(24,6)")).cast("double").alias(c) for c in ("toxic", "clean")])
+    # the least frequency of which there aren't too many words
+    least, room = 1, MOST_WORDS
+    for n, words_of in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
+        room -= words_of
+        if room < 0:
+            least = n + 1
+            break
+    kept = counts.where(F.col("n") >= least).select("word", "toxic", "clean").toPandas()
+    of_word = fit_words(list(kept.itertuples(index=False, name=None)), sorted(map(tuple, begins.collect())))
+    del kept
     shared = docs.sparkSession.sparkContext.broadcast(of_word)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
