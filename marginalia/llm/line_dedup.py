@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import BROADCAST_ROWS, WORD, broadcast_if_small
+from marginalia.llm.common import WORD, broadcast_if_small
 from marginalia.scratch import written
 
 MULTIPLIER, MODULUS = 1_000_003, 4_294_967_291
-#: Words that a repeated passage must have to go; bytes of text that are sent to all tasks at most.
-LEAST_WORDS, BROADCAST_BYTES = 10, 32 << 20
+#: Words that a repeated passage must have to go.
+LEAST_WORDS = 10
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,13 +86,6 @@ def _span(begin: Column, size: Column, body: Column, whole: bool, *more: Column)
     return F.struct(begin.alias("begin"), size.alias("size"), F.xxhash64(body).alias("hash"), *((body.alias("body"), *more) if whole else ()))
 
 
-def _light(df: DataFrame) -> DataFrame:
-    """A written table with a broadcast hint if its rows and bytes were counted to be few, else as it is."""
-    text = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
-    n, *sizes = df.agg(F.count("*"), *text).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and sum(x or 0 for x in sizes) <= BROADCAST_BYTES else df
-
-
 def _alike(a: Column, b: Column) -> Column:
     """How many elements two arrays have alike from their beginning on."""
     n = F.least(F.size(a), F.size(b))
@@ -105,7 +98,7 @@ def _suspects(rows: DataFrame, lines: Column, spans: Callable[..., Column]) -> D
     numbers = rows.select(F.explode(_let(lines, lambda x: spans(x, False))).alias("s")).groupBy("s.hash").agg(F.count("*").alias("n"))
     again = written(numbers.where("n > 1").select("hash"))
     # now with their bytes; texts are shuffled only where repeated hashes are too many to be sent to all
-    return rows.select("id", "key", F.explode(_let(lines, lambda x: spans(x))).alias("s")).select("id", "key", "s.*").withColumnRenamed("begin", "at").join(_light(again), "hash", "left_semi")
+    return rows.select("id", "key", F.explode(_let(lines, lambda x: spans(x))).alias("s")).select("id", "key", "s.*").withColumnRenamed("begin", "at").join(broadcast_if_small(again), "hash", "left_semi")
 
 
 def repeated_chunks(rows: DataFrame, lines: Column) -> DataFrame:
@@ -114,7 +107,8 @@ def repeated_chunks(rows: DataFrame, lines: Column) -> DataFrame:
     place = F.struct("id", "key", "at")
     firsts = written(suspects.groupBy("hash", "body").agg(F.min_by(F.struct("key", "at", "before", "after"), place).alias("first")).select("hash", "body", "first.*"))
     first = firsts.select("hash", *[F.col(c).alias(f"first_{c}") for c in ("body", "key", "at", "before", "after")])
-    met = suspects.join(_light(first), "hash").where("body = first_body AND NOT (key = first_key AND at = first_at)")
+    # texts meet by a shuffle at every size; a hash that very many places have is split at run time
+    met = suspects.join(first, "hash").where("body = first_body AND NOT (key = first_key AND at = first_at)")
     begin = F.col("at") - _alike(F.col("before"), F.col("first_before"))
     return met.select("key", begin.alias("begin"), (F.col("at") + F.col("size") + _alike(F.col("after"), F.col("first_after"))).alias("end"))
 
@@ -171,7 +165,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = repeated_chunks(texts, lines)
     found = written(_islands(chunks))
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
-    left = texts.join(_light(found), "key", "left")
+    n_found = found.agg(F.sum(F.size("gone"))).first()[0] or 0
+    left = texts.join(broadcast_if_small(found, n_found), "key", "left")
     # the outer lines of what goes stay here, as a line beside them may belong to the same passage
     inner = F.transform(F.filter("gone", lambda x: x["size"] > 2), lambda x: F.struct((x["begin"] + 1).alias("begin"), (x["size"] - 2).alias("size")))
     rest = F.when(F.size("gone") > 0, _let(numbered, lambda x: _let(inner, lambda cut: _kept(x, cut)))).otherwise(numbered)
