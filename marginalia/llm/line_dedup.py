@@ -149,7 +149,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (null first) and place in the text; every different line stays where it comes first. A null text stays null with 0
     lines; an empty one is one empty line; lines and texts may be of any length. A text of which every line went is empty.
     Rows that share an id, or have none, are documents of their own, ordered by a hash of their texts; of rows equal in id and
-    text one counts as the first. Other columns pass unchanged; an empty table gives an empty result.
+    text one counts as the first, and the others go whole if they have two lines or more, whatever their words. Other columns
+    pass unchanged; an empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
     others = [c for c in own if c not in (id_col, text_col)]
@@ -185,14 +186,15 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         twins = written(twins.withColumn("place", F.struct(order.alias("h"), F.monotonically_increasing_id().alias("n"))))
         first = twins.groupBy("key").agg(F.min("place").alias("place")).withColumn("is_first", F.lit(True))
         twins = twins.join(first, ["key", "place"], "left")
-    joined = single.join(gone, "key", "left").select("row", "text", "gone")
+    joined = single.join(gone, "key", "left").select("row", "text", "gone", F.lit(False).alias("copy"))
     if n_many:
         # a further copy repeats the first one as a whole
         copy = F.array(F.struct(F.lit(0).alias("begin"), F.size(lines).alias("size")))
-        joined = joined.union(twins.join(gone, "key", "left").select("row", "text", F.when(F.col("is_first"), F.col("gone")).otherwise(copy).alias("gone")))
+        drop = F.when(F.col("is_first"), F.col("gone")).otherwise(copy)
+        joined = joined.union(twins.join(gone, "key", "left").select("row", "text", drop.alias("gone"), F.col("is_first").isNull().alias("copy")))
 
     def large(lines: Column) -> Column:
-        return F.filter("gone", lambda x: F.regexp_count(F.array_join(F.slice(lines, x["begin"] + 1, x["size"]), "\n"), F.lit(WORD)) >= least_words)
+        return F.filter("gone", lambda x: F.col("copy") | (F.regexp_count(F.array_join(F.slice(lines, x["begin"] + 1, x["size"]), "\n"), F.lit(WORD)) >= least_words))
 
     edited = _let(
         lines,
