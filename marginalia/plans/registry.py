@@ -233,6 +233,24 @@ def join_shuffle_hash(spark, d):
     return joins.shuffled(_t(spark, d, "lineitem"), orders, "l_orderkey").select("l_orderkey", "l_linenumber", "o_custkey")
 
 
+_HOT = "CASE WHEN l_orderkey % 2 = 0 THEN 1 WHEN l_orderkey % 31 = 0 THEN NULL ELSE l_partkey END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, k AS p_partkey, p_name FROM (SELECT l_orderkey, l_linenumber, {_HOT} AS k FROM lineitem) JOIN part ON k = p_partkey")
+def join_hot_title(spark, d):
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_HOT).alias("p_partkey"))
+    return joins.with_items_split(lines, _t(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", spread=("l_orderkey", "l_linenumber"))
+
+
+@query("""SELECT p_brand, p_type, n, count(*) AS n_parts FROM part JOIN (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) USING (p_brand, p_type)
+ GROUP BY 1, 2, 3""")
+def join_hot_pair(spark, d):
+    part = _t(spark, d, "part")
+    counts = part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    joined = joins.with_items_split(part.select("p_partkey", "p_brand", "p_type"), counts, "p_brand", "p_type", hint="shuffle_hash")
+    return joined.groupBy("p_brand", "p_type", "n").agg(F.count("*").alias("n_parts"))
+
+
 # --- aggregates
 
 

@@ -177,6 +177,74 @@ def test_overlap_with_small_and_large_sets(spark, monkeypatch):
     assert filters.overlaps(df, "words", wanted.limit(0), "id").count() == 0
 
 
+def test_bloom_filter_loses_nothing_and_lets_little_through(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("id", "array(concat('a', id % 700), concat('b', id), NULL) AS words")
+    wanted = spark.range(0, 200_000, 37).selectExpr("concat('b', id) AS w").union(spark.createDataFrame([(None,)], "w string"))
+    each = df.select(F.explode("words").alias("e"))
+    passed = each.where(filters.bloom(wanted.where("w IS NOT NULL"))(F.col("e")))
+    assert 541 <= passed.count() < 1000  # of 40,000, of which 541 are wanted
+    found = filters.overlaps(df, "words", wanted, "id")
+    assert {r["id"] for r in found.collect()} == set(range(0, 20_000, 37))
+    assert "subquery#" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(filters, "BLOOM_WORDS", 3)  # far too few: more rows pass, the result is the same
+    assert filters.overlaps(df, "words", wanted, "id").count() == 541
+
+
+def _hot_reviews(spark):
+    title = "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 97 = 0 THEN NULL ELSE concat('t', id % 900) END AS title"
+    return spark.range(100_000).selectExpr("id", title, "id % 5 AS part", "id % 3 AS key_hash", "id % 7 AS parts")
+
+
+def _hot_items(spark):
+    return spark.range(1000).selectExpr("concat('t', id) AS title", "id AS item").union(spark.createDataFrame([("hot", -1), ("hot", -2), (None, -3)], "title string, item long"))
+
+
+@pytest.mark.parametrize("hint", [None, "shuffle_hash"])
+def test_a_hot_title_is_split(spark, hint):
+    reviews, items = _hot_reviews(spark), _hot_items(spark)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = joins.with_items_split(reviews, items, "title", spread=("id",), hint=hint)
+        want = reviews.join(items, "title")
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+        sizes, plain = (sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) for df in (got, want))
+        assert sizes[-1] < 2 * sizes[len(sizes) // 2] and plain[-1] > 10 * plain[len(plain) // 2]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_hot_keys_of_a_history_split_a_stream(spark, tmp_path):
+    reviews, items = _hot_reviews(spark), _hot_items(spark)
+    hot = scratch.written(joins.hot_keys(reviews, "title"))
+    assert hot.count() == 1 and hot.first()["parts"] > 1
+    reviews.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(reviews.schema).parquet(f"{tmp_path}/in")
+    out = joins.with_items_split(stream, items, "title", hot=hot)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    want = reviews.join(items, "title")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == want.count() and got.select(want.columns).exceptAll(want).count() == 0
+
+
+def test_split_join_of_odd_tables(spark):
+    reviews, items = _hot_reviews(spark), _hot_items(spark)
+    for a, b in ((reviews.limit(0), items), (reviews, items.limit(0)), (reviews.where("title IS NULL"), items)):
+        assert joins.with_items_split(a, b, "title").count() == 0
+    same = reviews.select(F.lit("hot").alias("title"))  # equal rows stay together, and none is lost
+    assert joins.with_items_split(same, items, "title").count() == 200_000
+
+
+def test_hash_tables_only_where_they_fit(spark, monkeypatch):
+    reviews, items = _hot_reviews(spark), _hot_items(spark)
+    for most, kind in ((1_000_000, "ShuffledHashJoin"), (10, "SortMergeJoin")):
+        monkeypatch.setattr(joins, "HASH_ROWS", most)
+        assert kind in joins.shuffled(reviews, items, "title")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_of_the_caller_are_left_alone(spark):
     df = spark.createDataFrame([(k, float(k), k * 10, k % 2) for k in range(40)], "id long, v double, _range long, place long").withColumns({"row": F.col("id"), "part": F.lit("p")})
     top = aggregates.top_fraction(df, "v", "id", 90, by=("place",))
