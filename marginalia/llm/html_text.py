@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines at the edges of block elements. Lengths of text are summed over sliding windows of
-lines; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and lines that are
-mostly links, count nothing there. Where the sum surges from nothing a stretch of text begins, where it dives to
-nothing it ends. Stretches whose sum never comes near the page's largest one are no main text. Tags correct this in
-one direction: no line of the article or main element that holds most of the text is lost.
+Markup is stripped into lines at the edges of block elements. Sizes of text are summed over sliding windows of lines.
+Where the sum surges from nothing a stretch of text begins, where it dives to nothing it ends. The main text is the
+stretches whose sum somewhere comes near the page's largest one, and nothing else.
+
+Tags and names only set sizes and places. Lines of menus, footers, sidebars, forms, adverts, notices and reader comments
+have size 0 and never stay; within one article, or between lines of one kind in one element, they are no gap. A line
+that is mostly links has size 0, or a quarter within an article. Lines of an article or main element count twice, and
+windows end at its edges, but for a headline before it. Within an article most names say little: a block that is named
+like boilerplate is text if its windows, too, come near the largest of the others.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,9 +49,17 @@ NAMES = frozenset(
     "disqus_thread replies pagination pager complementary contentinfo banner".split()
 )
 _CONTAINER = re.compile(r"(?:[-_](?:area|banner|bar|block|box|container|list|notice|panel|section|slot|unit|widget|wrap|wrapper|\d+))+$")
-#: What an element that is named for the whole article or page must be called to hold none.
+#: Names that hold no main text inside an article either.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored cookie cookies cookie-consent consent gdpr comment comments disqus_thread "
+    "replies".split()
+)
+#: What an element that is named for the whole article or page must be called to hold none; names that end so mean it too,
+#: unless they begin with one of the words that tell of a setting.
 READERS = frozenset("comment comments replies".split())
+SETTINGS = frozenset("no has with without show hide enable disable".split())
 
+_PART = re.compile("[-_]")
 _NAME = re.compile(r"/?[a-zA-Z][\w:-]*")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _QUOTE = re.compile(r"[\"'>]")
@@ -61,6 +73,8 @@ class Line:
     boilerplate: bool
     linked: int  # characters inside links
     heading: bool
+    named: int  # number of the outermost element in an article that is named like boilerplate, 0 if there is none
+    kind: tuple[int, str]  # number of the element that holds its block, and the block's name
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
@@ -121,7 +135,9 @@ def _tag_end(page: str, at: int) -> int:
 def _marks(attributes: str) -> set[str]:
     """The names that class, id and role give, without the name of a container at their end."""
     names = {x for found in _ATTRIBUTE.findall(attributes) for x in (found[0] or found[1] or found[2]).lower().split()}
-    return names | {_CONTAINER.sub("", x) for x in names}
+    names |= {_CONTAINER.sub("", x) for x in names}
+    parts = (_PART.split(x) for x in names)
+    return names | {x[-1] for x in parts if x[-1] in READERS and x[0] not in SETTINGS}
 
 
 @dataclass
@@ -131,14 +147,18 @@ class _Open:
     article: int
     links: int
     heading: bool
+    named: int
+    block: int  # number of the innermost block element
+    kind: tuple[int, str]
+    edge: bool  # an inline element that begins and ends lines
 
 
 def page_lines(page: str) -> list[Line]:
     """Text of each block in page order, with decoded references and single spaces."""
     lines: list[Line] = []
     buffer: list[str] = []
-    linked = articles = 0
-    stack = [_Open("", False, 0, 0, False)]
+    linked = articles = number = 0
+    stack = [_Open("", False, 0, 0, False, 0, 0, (0, ""), False)]
     counts: dict[str, int] = {}
 
     def flush() -> None:
@@ -146,7 +166,7 @@ def page_lines(page: str) -> list[Line]:
         text = " ".join(html.unescape("".join(buffer)).split())
         if text:
             top = stack[-1]
-            lines.append(Line(text, top.article, top.boilerplate, linked, top.heading))
+            lines.append(Line(text, top.article, top.boilerplate, linked, top.heading, top.named, top.kind))
         buffer.clear()
         linked = 0
 
@@ -170,6 +190,8 @@ def page_lines(page: str) -> list[Line]:
         if bare not in INLINE:
             flush()
         if name != bare:
+            if stack[-1].edge and stack[-1].name == bare:
+                flush()
             close(bare)
         elif bare not in VOID and not rest.rstrip().endswith("/"):
             if bare == "p":  # a paragraph ends the one before it
@@ -180,11 +202,19 @@ def page_lines(page: str) -> list[Line]:
             marks = _marks(rest) if "=" in rest else set()
             articles += bare in ARTICLE
             bad = bare in BOILERPLATE or ((bare == "header" or "header" in marks) and not over.article and bare not in ARTICLE)
-            bad = bad or bool(marks & (READERS if bare in ARTICLE or bare in ("html", "body") else NAMES))
-            if bad and bare in INLINE:
+            whole = bare in ARTICLE or bare in ("html", "body")
+            bad = bad or bool(marks & (READERS if whole else NEVER if over.article else NAMES))
+            number += 1
+            named = over.named or (number if over.article and not whole and marks & NAMES else 0)
+            inline = bare in INLINE
+            edge = inline and (bad or named == number)
+            if edge:
                 flush()
             stack.append(
-                _Open(bare, over.boilerplate or bad, articles if bare in ARTICLE else over.article, over.links + (bare == "a"), over.heading or bare in HEADINGS)
+                _Open(
+                    bare, over.boilerplate or bad, articles if bare in ARTICLE else over.article, over.links + (bare == "a"), over.heading or bare in HEADINGS,
+                    named, over.block if inline else number, over.kind if inline else (over.block, bare), edge,
+                )
             )
             counts[bare] = counts.get(bare, 0) + 1
     flush()
@@ -211,20 +241,60 @@ def stretches(sizes: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def largest(sizes: list[int]) -> int:
+    return max((sum(sizes[i : i + WINDOW]) for i in range(len(sizes))), default=0)
+
+
+def line_size(line: Line) -> int:
+    """What a line adds to the windows it is in."""
+    if line.boilerplate:
+        return 0
+    size = len(line.text)
+    if not line.heading and 2 * line.linked > size:
+        size = (size + 3) // 4 if line.article else 0
+    return 2 * size if line.article else size
+
+
+def text_lines(lines: list[Line]) -> list[Line]:
+    """The lines, those of named blocks as boilerplate that don't come near the largest of the others."""
+    blocks: dict[int, list[int]] = {}
+    for line in lines:
+        blocks.setdefault(line.named, []).append(line_size(line))
+    most = largest(blocks.get(0, []))
+    small = {k for k, sizes in blocks.items() if k and largest(sizes) < SURGE * most}
+    return [replace(x, boilerplate=True) if x.named in small else x for x in lines]
+
+
+def in_windows(lines: list[Line]) -> list[int | None]:
+    """Numbers of the lines as the windows run over them; None is a gap at an article's edge."""
+    order: list[int | None] = []
+    last: Line | None = None  # the last line with a size, and boilerplate after it
+    waiting: list[int] = []
+    for i, line in enumerate(lines):
+        if line.boilerplate:
+            waiting.append(i)
+            continue
+        if line_size(line):
+            one = last is not None and ((line.article and line.article == last.article) or line.kind == last.kind)
+            if not one:
+                order.extend(waiting)
+            if last is not None and bool(line.article) != bool(last.article) and not last.heading:
+                order.extend([None] * WINDOW)
+            last, waiting = line, []
+        order.append(i)
+    return order + waiting
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: its blocks in page order, joined by one space."""
     if not isinstance(page, str):
         return ""
-    lines = page_lines(page)
-    sizes = [0 if x.boilerplate or (not x.heading and 2 * x.linked > len(x.text)) else len(x.text) for x in lines]
-    kept = [False] * len(lines)
-    held: dict[int, int] = {}
-    for begin, end in stretches(sizes):
-        kept[begin:end] = [True] * (end - begin)
-    for line, size in zip(lines, sizes, strict=True):
-        held[line.article] = held.get(line.article, 0) + size
-    main = max(held, key=lambda k: (held[k], -k), default=0)
-    return " ".join(x.text for x, stays in zip(lines, kept, strict=True) if not x.boilerplate and (stays or (main and x.article == main)))
+    lines = text_lines(page_lines(page))
+    order = in_windows(lines)
+    kept: list[int] = []
+    for begin, end in stretches([0 if i is None else line_size(lines[i]) for i in order]):
+        kept += [i for i in order[begin:end] if i is not None and not lines[i].boilerplate]
+    return " ".join(lines[i].text for i in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

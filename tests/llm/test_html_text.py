@@ -2,6 +2,7 @@ import html
 import random
 import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -109,6 +110,116 @@ def test_real_pages(spark):
         assert other[r["page_id"]]["text"] == want
 
 
+def test_windows_choose_the_text(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "NAMES", frozenset())
+    monkeypatch.setattr(html_text, "NEVER", frozenset())
+    assert sum(main_text(p) == w for p, w in zip(pages, want, strict=True)) > 0.9 * len(pages)  # adverts go without their name
+    monkeypatch.setattr(html_text, "stretches", lambda sizes: [])
+    assert not any(main_text(p) for p in pages)
+
+
+@pytest.mark.parametrize("name", ["notice", "widget", "banner", "menu", "promo-box", "newsletter", "modal", "sponsor", "related-posts"])
+def test_named_blocks_of_the_story(name):
+    long = "Long sentences of the story go on and on, for more than the threshold of characters in a window of lines."
+    assert main_text(f"<article><p>{long}</p><div class='{name}'><p>{long}</p></div><p>end</p></article>") == f"{long} {long} end"
+    assert main_text(f"<article><p>{long}</p><div class='{name}'><p>Buy it now.</p></div><p>end</p></article>") == f"{long} end"
+    assert main_text(f"<article><div class='{name}'><p>{long}</p></div></article>") == long
+    assert main_text(f"<p>{long}</p><div class='{name}'><p>{long}</p></div><p>end</p>") == f"{long} end"
+
+
+def test_gaps_edges_and_readers():
+    long = "Long sentences of the story go on and on, for more than the threshold of characters in a window of lines."
+    nav = "<nav>" + "".join(f"<p>n{k}</p>" for k in range(6)) + "</nav>"
+    assert main_text(f"<body><p>{long}</p><p>{long}</p>{nav}<p>The end.</p></body>") == f"{long} {long} The end."
+    assert main_text(f"<body><article><p>{long}</p><section><p>{long}</p></section>{nav}<div>The end.</div></article><div>(c) me</div></body>") == f"{long} {long} The end."
+    assert main_text(f"<div>Unnamed advert</div><article><p>{long}</p></article><div>(c) me</div>") == long
+    assert main_text(f"<h1>Head</h1><article><p>{long}</p></article>") == f"Head {long}"
+    assert main_text(f"<article><p>{long}</p>{'<p><a href=x>A source of the story</a></p>' * 5}<p>{long}</p></article>").count("A source") == 5
+    for name in ("user-comments", "reader_comments", "fb-comment", "comments-area", "post-comments-list"):
+        for tag in ("article", "div"):
+            assert main_text(f"<{tag}><p>{long}</p><div class='{name}'><p>{long} Not mine.</p></div></{tag}>") == long
+    assert main_text(f"<div class='no-comments'><p>{long}</p></div>") == long
+    assert main_text(f"<article><p>{long}</p><p>so <span class='ad'>Buy</span> on</p></article>") == f"{long} so on"
+
+
+class Plain(HTMLParser):
+    """Lines of a page as [text, linked, inside an article, a headline, boilerplate, kind of block], by the standard parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.stack, self.text = [], [], []
+
+    def end_line(self):
+        text = " ".join("".join(t for t, _ in self.text).split())
+        if text:
+            tags = [t for t, _ in self.stack]
+            bad = any(t in ("nav", "footer") or (t == "header" and "article" not in tags[:k]) or ("class", "ad") in a for k, (t, a) in enumerate(self.stack))
+            blocks = [x for x in self.stack if x[0] not in ("b", "a")]
+            kind = (id(blocks[-2]) if len(blocks) > 1 else 0, blocks[-1][0] if blocks else "")
+            self.lines.append([text, sum(len(t.strip()) for t, linked in self.text if linked), "article" in tags, "h1" in tags, bad, kind, blocks])
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "a"):
+            self.end_line()
+        if tag == "p" and self.stack and "p" in [t for t, _ in self.stack[-2:]]:
+            while self.stack.pop()[0] != "p":
+                pass
+        if tag not in ("br", "meta", "link", "img", "hr"):
+            self.stack.append((tag, attrs))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a"):
+            self.end_line()
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not {"script", "style", "title"} & {t for t, _ in self.stack}:
+            self.text.append((data, "a" in [t for t, _ in self.stack]))
+
+
+def plain_text(page):
+    """A second way through a whole page: spans of lines between the edges of articles, then runs by brute force."""
+    reader = Plain()
+    reader.feed(page)
+    reader.close()
+    reader.end_line()
+    sized = []
+    for text, linked, inside, head, bad, kind, _ in reader.lines:
+        size = 0 if bad else len(text)
+        if size and not head and 2 * linked > size:
+            size = -(-size // 4) if inside else 0
+        sized.append((size * (1 + inside), text, inside, head, bad, kind))
+    rows = []  # size, text
+    for i, (size, text, inside, head, bad, kind) in enumerate(sized):
+        before = next((x for x in sized[:i][::-1] if x[0]), None)
+        after = next((x for x in sized[i + (not size) :] if x[0]), None)
+        if bad and before and after and ((before[2] and after[2]) or before[5] == after[5]):
+            continue  # no gap of what it stands in
+        if size and before and before[2] != inside and not before[3]:
+            rows += [(0, None)] * html_text.WINDOW
+        rows.append((size, None if bad else text))
+    runs = brute_stretches([size for size, _ in rows])
+    return " ".join(t for b, e in runs for _, t in rows[b:e] if t is not None)
+
+
+def test_whole_pages_by_a_plain_second_way(spark):
+    rnd = random.Random(3)
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in pages:
+        assert main_text(page) == plain_text(page)
+        odd = page.replace("article>", rnd.choice(["article>", "div>"])).replace("<div class=\"ad\">", rnd.choice(["<div>", "<div class='ad'>", "<h1>x</h1><div>"]))
+        paragraphs = odd.split("<p>")
+        for _ in range(rnd.randint(0, 4)):  # links, short lines and boilerplate at any place
+            paragraphs.insert(rnd.randint(1, len(paragraphs)), rnd.choice(["<a href='x'>a link, and more</a></p>", "x</p>", "</p><nav>n<p>n</p></nav>", f"{'y' * 300}</p>"]))
+        odd = "<p>".join(paragraphs)
+        assert main_text(odd) == plain_text(odd), odd
+
+
 def test_columns_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>"), (1, "u", "<article>x</article>"), (2, None, None)], "page_id long, url string, html string")
     out = extract(df.selectExpr("*", "'old' AS text"))
