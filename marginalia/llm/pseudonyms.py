@@ -113,11 +113,14 @@ class Pseudonyms:
         return re.sub(r"\d", lambda _: next(each), value)
 
     def phone(self, value: str, back: bool) -> str:
-        country = re.match(r"\+\d{1,3}(?=[ .(-])|", value)[0]
+        country = re.match(r"(?:\+|00(?=[1-9]))\d{1,3}(?=[ .(-])|", value)[0]
         rest = value[len(country) :]
+        if country[:2] == "00":  # without the plus sign a card could begin here
+            return country + self.digits("phone", rest, back, lambda x: len(country + x) < 13 or luhn_digit((country + x)[:-1]) != x[-1])
         if rest.isdigit() and not country:  # ten digits in a row are a number only in one country's plan: so is the pseudonym
             return self.digits("phone0", rest, back, _PLAN)
-        return country + self.digits("phone", rest, back, lambda x: rest[0] != "+" or x[0] != "0")
+        zeros = re.sub(r"\D", "", rest).startswith("00")  # else a country's number would begin here
+        return country + self.digits("phone", rest, back, lambda x: (rest[0] != "+" or x[0] != "0") and (bool(country) or x.startswith("00") == zeros))
 
     def ssn(self, value: str, back: bool) -> str:
         return self.digits("ssn", value, back, lambda x: _SSN(x) is not None)
@@ -145,19 +148,34 @@ class Pseudonyms:
         new = f"{number:0{len(value)}x}"
         return new.upper() if value.upper() == value else new
 
+    def day(self, day: dt.date, back: bool, fits: Callable[[dt.date], bool]) -> dt.date:
+        """Another one of the days that fit, of which ``day`` is one."""
+        while True:
+            number = self.permute("date", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
+            day = dt.date.fromordinal(FIRST_DAY + number)
+            if fits(day):
+                return day
+
     def date(self, value: str, back: bool) -> str:
+        if named := _named(value):
+            styles, day, wide = named
+            new = self.day(day, back, lambda x: styles[x.month - 1] is not None and len(str(x.day)) <= wide)
+            return re.sub(r"\w+", lambda x: styles[new.month - 1] if x[0].isalpha() else str(new.year) if len(x[0]) == 4 else f"{new.day:0{wide}d}", value)
         parts = re.split(r"(\D)", value)
         year_first = len(parts[0]) == 4
         month_first = not year_first and int(parts[2]) > 12
-        y, m, d = (parts[0], parts[2], parts[4]) if year_first else (parts[4], parts[0], parts[2]) if month_first else (parts[4], parts[2], parts[0])
-        day = dt.date(int(y), int(m), int(d))
-        while True:
-            number = self.permute("date", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
-            day = dt.date.fromordinal(FIRST_DAY + number)
-            if not month_first or day.day > 12:  # else it would read as day first
-                break
-        y, m, d = f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"
-        return "".join([y, parts[1], m, parts[3], d] if year_first else [m if month_first else d, parts[1], d if month_first else m, parts[3], y])
+        y, m, d = (0, 2, 4) if year_first else (4, 0, 2) if month_first else (4, 2, 0)
+        wide = {k: len(parts[k]) for k in (y, m, d)}
+        # a month first has a day above 12, else it would read as day first; one digit has room for nine days or months
+        fits = lambda x: (not month_first or x.day > 12) and len(str(x.day)) <= wide[d] and len(str(x.month)) <= wide[m]
+        new = self.day(dt.date(int(parts[y]), int(parts[m]), int(parts[d])), back, fits)
+        for k, number in ((y, new.year), (m, new.month), (d, new.day)):
+            parts[k] = f"{number:0{wide[k]}d}"
+        return "".join(parts)
+
+    def token(self, value: str, back: bool) -> str:
+        start = _PREFIX.match(value)[0]
+        return start + self.symbols("token:" + start, value[len(start) :], back)
 
     def text(self, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
         """``text`` with its personal data replaced, and how many values of each kind were."""
@@ -214,7 +232,23 @@ def _others(text: str, start: int) -> Iterator[tuple[str, str]]:
             yield kind, value
 
 
+def _named(value: str) -> tuple[list[str | None], dt.date, int] | None:
+    """Of a date with its month's name: names of that style, the day, and digits of the day of the month; None if it is none."""
+    one, two, year = re.findall(r"\w+", value)
+    month, day = (one, two) if one.isalpha() else (two, one)
+    for styles in MONTHS:
+        if month in styles:
+            try:
+                return styles, dt.date(int(year), styles.index(month) + 1, int(day)), len(day)
+            except ValueError:
+                return None
+    return None
+
+
 def _valid_date(value: str) -> bool:
+    if any(x.isalpha() for x in value):
+        named = _named(value)
+        return named is not None and FIRST_DAY <= named[1].toordinal() <= LAST_DAY
     parts = re.split(r"\D", value)
     y, m, d = parts if len(parts[0]) == 4 else reversed(parts)
     if len(parts[0]) < 4 and int(m) > 12:  # month first
@@ -226,8 +260,10 @@ def _valid_date(value: str) -> bool:
 
 
 def _valid_ipv6(value: str) -> bool:
-    if len(re.findall(r"[0-9a-fA-F]+", value)) < 3 or not re.search(r"\d", value):
-        return False  # names in a programming language have double colons too
+    groups = re.findall(r"[0-9a-fA-F]+", value)
+    # names in a programming language have double colons too
+    if len(groups) < 2 or not re.search(r"\d", value if len(groups) > 2 else groups[0]) or (len(groups) == 2 and len(groups[0]) < 4):
+        return False
     try:
         return bool(ipaddress.IPv6Address(value))
     except ValueError:
@@ -244,20 +280,32 @@ def _valid_iban(value: str) -> bool:
 _SSN = re.compile(r"(?!000|666|9\d\d)\d{3}(?!00)\d{2}(?!0000)\d{4}").fullmatch
 _GROUPED = re.compile(r"\d{3,}(?:[ -]\d{3,})*").fullmatch
 _PLAN = re.compile(r"[2-9]\d{9}").fullmatch
-_HINT = re.compile(r"[0-9@]")
+#: Months by their full names and by short ones; May, which is both, stands alone.
+_FULL = "January February March April May June July August September October November December".split()
+MONTHS = [
+    [None if x == "May" else x for x in _FULL],
+    [None if x == "May" else x[:3] for x in _FULL],
+    [x if x == "May" else None for x in _FULL],
+]
+_MONTH = "(?:" + "|".join(sorted({x for style in MONTHS for x in style if x}, key=len, reverse=True)) + ")"
+#: Keys whose beginning tells what they are.
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-")
+_HINT = re.compile(rf"[0-9@]|{_PREFIX.pattern}")
 
 #: What is looked for, in this order at each place. Values end where no letter or digit follows.
 _PATTERN = (
-    r"(?P<email>(?<![\w.+-])[^\W_][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.+-])[^\W_][\w.%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
+    r"|(?P<token>(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,255})(?![\w-]))"
     r"|(?P<secret>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w))"
     r"|(?P<iban>(?<!\w)(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?)(?!\w))"
-    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}\d)(?:[0-9A-Fa-f]{1,4}:|:(?=:)){2,7}(?::?[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{1,4}){0,6}(?![\w:]))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,34}\d)(?:[0-9A-Fa-f]{4}::[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:|:(?=:)){2,7}(?::?[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:]))"
     r"|(?P<address>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d[./-]\d\d[./-]\d{4})(?![\w]|[./-]\d))"
+    rf"|(?P<date>(?<![\w./-])(?:\d{{4}}-\d\d-\d\d(?=T\d)|(?:\d{{4}}-\d\d-\d\d|\d{{4}}/\d\d/\d\d|\d\d?[./-]\d\d?[./-]\d{{4}}|\d\d? {_MONTH},? \d{{4}}|{_MONTH} \d\d?,? \d{{4}})(?![\w]|[./-]\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}(?P<gap>[ -])\d\d(?P=gap)\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?![\w]|[.-]\d)"
-    r"|(?<![\w.,+-])[2-9]\d{9}(?![\w]|[.,-]\d)|(?<![\w+])\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d))"
+    r"|(?<![\w.,+-])[2-9]\d{9}(?![\w]|[.,-]\d)|(?<![\w+])\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d)"
+    r"|(?<![\w.,+-])00[1-9]\d{0,2}[ .-](?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,8}){1,4}(?![\w]|[.-]\d))"
 )
 PATTERN = re.compile(_PATTERN)
 #: The pattern of each kind alone.
@@ -265,6 +313,7 @@ KINDS = {x[4 : x.index(">")]: re.compile(x) for x in re.split(r"\|(?=\(\?P<)", _
 
 VALID: dict[str, Callable[[str], bool]] = {
     "email": lambda v: True,
+    "token": lambda v: True,
     "secret": lambda v: True,
     "iban": _valid_iban,
     "address": lambda v: all(int(p) < 256 and str(int(p)) == p for p in v.split(".")),
