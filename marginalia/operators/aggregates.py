@@ -15,6 +15,8 @@ from marginalia.scratch import written
 
 #: Keys that a task merges at once before it passes them on.
 PARTIAL_KEYS = 100_000
+#: First rows that each task may pass on to one; more are cut among ranges.
+FEW_ROWS = 10_000
 
 
 def exploded(df: DataFrame, column: str, alias: str, *others: str) -> DataFrame:
@@ -103,14 +105,18 @@ def row_counts(results: dict[str, DataFrame]) -> DataFrame:
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first n rows in an order."""
-    return df.orderBy(*order).limit(n)
+    """The first n rows in an order. Up to FEW_ROWS each task passes on its first ones; more are cut among ranges of the order."""
+    if n <= FEW_ROWS:
+        return df.orderBy(*order).limit(n)
+    return _first_rows(df, (), [(c, False) for c in order], lambda _: F.lit(n))
 
 
 def top_n(df: DataFrame, value: str, key: str, n: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The n rows with the highest value, of each group of ``by`` if there are any; ties by key."""
-    if not by:
+    if not by and n <= FEW_ROWS:
         return df.orderBy(F.desc(value), key).limit(n)
+    if not by:
+        return _first_rows(df, (), [(value, True), (key, False)], lambda _: F.lit(n))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), key))
     # the caller's columns in one struct: no name of theirs meets ours
     return df.select(F.struct(*df.columns).alias("row"), place.alias("place")).where(F.col("place") <= n).select("row.*")
@@ -120,21 +126,30 @@ def top_fraction(df: DataFrame, value: str, key: str, quantile: int = 90, compat
     """The rows above a quantile, of each group of ``by`` if there are any; rows without a value take no part.
 
     They are ``floor(n * (100 - quantile) / 100)`` of n, ties by key; with ``compat`` it is ``floor(n / (100 - quantile))``,
-    which is the same at 90. Rows are dealt in ranges of (value, key) and written once; ranges are counted, and only
-    the one in which a group's cut falls is ranked, so outliers and ties bring no more than a range into a task.
+    which is the same at 90.
+    """
+    share = (lambda n: F.floor(n / (100 - quantile))) if compat else (lambda n: F.floor(n * (100 - quantile) / 100))
+    return _first_rows(df.where(F.col(value).isNotNull()), by, [(value, True), (key, False)], share)
+
+
+def _first_rows(df: DataFrame, by: tuple[str, ...], order: list[tuple[str, bool]], places: Callable[[Column], Column]) -> DataFrame:
+    """The first rows of each group of ``by`` in an order of columns (true: the greatest first); ``places`` says how many of n.
+
+    Rows are dealt in ranges of the order and written once; ranges are counted, and only the one in which a group's cut falls
+    is ranked, so outliers and ties bring no more than a range into a task.
     """
-    ranges = df.where(F.col(value).isNotNull()).repartitionByRange(*by, F.desc(value), key)
+    ranges = df.repartitionByRange(*by, *[F.desc(c) if down else F.asc(c) for c, down in order])
     # the caller's columns in one struct: no name of theirs meets ours
     groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)]
-    dealt = written(ranges.select(F.struct(*df.columns).alias("row"), *groups, F.col(value).alias("v"), F.col(key).alias("k"), F.spark_partition_id().alias("part")))
+    values = [F.col(c).alias(f"v{i}") for i, (c, _) in enumerate(order)]
+    dealt = written(ranges.select(F.struct(*df.columns).alias("row"), *groups, *values, F.spark_partition_id().alias("part")))
     keys = [f"g{i}" for i in range(len(by))]
     group = Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))
     n = F.sum("count").over(group)
-    k = F.floor(n / (100 - quantile)) if compat else F.floor(n * (100 - quantile) / 100)
     cuts = (
         dealt.groupBy(*keys, "part")
         .count()
-        .withColumn("room", k - F.sum("count").over(group.orderBy("part")) + F.col("count"))
+        .withColumn("room", places(n) - F.sum("count").over(group.orderBy("part")) + F.col("count"))
         .where("room > 0")
         .withColumn("whole", F.col("room") >= F.col("count"))
         .drop("count")
@@ -142,8 +157,8 @@ def top_fraction(df: DataFrame, value: str, key: str, quantile: int = 90, compat
     keys = [*keys, "part"]
     # null-safe, as a group may be null
     near = dealt.alias("d").join(cuts.alias("c"), [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in keys]).select("d.*", "room", "whole")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v"), "k"))
-    edge = near.where("NOT whole").withColumn("place", place).where("place <= room")
+    inside = [F.desc(f"v{i}") if down else F.asc(f"v{i}") for i, (_, down) in enumerate(order)]
+    edge = near.where("NOT whole").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*inside))).where("place <= room")
     return near.where("whole").select("row.*").unionByName(edge.select("row.*"))
 
 

@@ -39,6 +39,21 @@ def test_top_fraction_ranks_a_range_alone(spark, values, monkeypatch):
     assert dealt[0].groupBy("part").count().agg(F.max("count")).first()[0] < 0.6 * len(with_values)
 
 
+def test_many_first_rows_go_through_no_single_task(spark, monkeypatch):
+    rows = [(k, None if k % 9 == 0 else (k * 37) % 500, k % 5) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id long, v long, part long").repartition(5)
+    first = lambda r: (r[1] is not None, r[1] or 0, r[0])
+    best = lambda r: (r[1] is None, -(r[1] or 0), r[0])
+    monkeypatch.setattr(aggregates, "FEW_ROWS", 100)
+    for n in (100, 101, 1500, 3999, 4000, 9000):
+        assert sorted(aggregates.head(df, n, "v", "id").collect(), key=first) == sorted(rows, key=first)[:n]
+        assert sorted(aggregates.top_n(df, "v", "id", n).collect(), key=best) == sorted(rows, key=best)[:n]
+    assert aggregates.head(df.limit(0), 200, "id").count() == 0
+    found = aggregates.head(df, 1500, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == df.columns and "Limit" not in plan and "TakeOrdered" not in plan
+
+
 def test_one_row_a_key(spark):
     rows = [(k, "" if k % 3 else f"t{k % 7}", [str(k)]) for k in range(300)] + [(400, None, ["x"])]
     df = spark.createDataFrame(rows, "row_id long, title string, authors array<string>").repartition(4)
