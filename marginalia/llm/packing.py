@@ -46,6 +46,9 @@ class Units(dict):
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.older = tokenizers.Tokenizer.from_file(path), {}
+        self.by_units = _fits_units(self.tokenizer)
+        if not self.by_units:
+            return
         self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.space = self.split(" ")[0][0]
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -69,14 +72,26 @@ class Units(dict):
         return found
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.by_units:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, _UNIT.findall(text))), "<u4")
 
 
+def _fits_units(tokenizer: tokenizers.Tokenizer) -> bool:
+    """Whether a text's ids are those of its units: by the byte-level pattern alone, and added tokens that take no neighbours."""
+    split, model = tokenizer.pre_tokenizer, tokenizer.model
+    plain = tokenizer.normalizer is None and isinstance(split, tokenizers.pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+    plain = plain and isinstance(model, tokenizers.models.BPE) and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
+    added = tokenizer.get_added_tokens_decoder().values()
+    # a unit ends between letters and marks or before a space, so a token must not hold such a place
+    return plain and not any(t.lstrip or t.rstrip or t.single_word or len(_UNIT.findall(f"x{t.content}x")) > 1 for t in added)
+
+
 _units: dict[str, Units] = {}
 
 
 def encoded(texts: Iterable[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of whole texts by the byte-level tokenizer of a file, without added special tokens."""
+    """Ids of whole texts by the tokenizer of a file, without added special tokens; a byte-level one goes by remembered units."""
     if path not in _units:
         _units[path] = Units(path)
     return map(_units[path].ids, texts)

@@ -1,5 +1,7 @@
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +29,26 @@ def test_ids_are_those_of_whole_texts(spark, sf_dir, monkeypatch):
     assert next(encoded(["a <|endoftext|> b"], PATH)).tolist() == [64, 220, 50256, 275]
 
 
+def test_other_files_give_the_ids_of_whole_texts(tmp_path):
+    spec = json.loads(Path(PATH).read_text())
+    odd = {
+        "prefix": {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}},
+        "lower": {"normalizer": {"type": "Lowercase"}},
+        "strips": {"added_tokens": [{**t, "rstrip": True} for t in spec["added_tokens"]]},
+        "spaced": {"added_tokens": [{**spec["added_tokens"][0], "id": 50257, "content": "two words"}, *spec["added_tokens"]]},
+    }
+    paths = [public_tokenizers.path("word_bpe_49k.json")]
+    for name, change in odd.items():
+        (tmp_path / name).write_text(json.dumps(spec | change))
+        paths.append(str(tmp_path / name))
+    texts = ["Hello two words, the World. It's  3.4 é!!", "a <|endoftext|>  b", "", " x"]
+    assert packing.Units(PATH).by_units
+    for path in paths:
+        plain = Tokenizer.from_file(path)
+        assert not packing.Units(path).by_units
+        assert [x.tolist() for x in encoded(texts, path)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_runs_of_white_space(spark):
     rows = [(1, "before"), (2, "x" + " " * 1_200_000 + "y"), (3, "after"), (4, "x" + " \t\xa0" * 400_000 + "y"), (5, "\n" * 1_200_000)]
     verify(pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), dict(rows))
