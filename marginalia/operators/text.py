@@ -14,7 +14,12 @@ TABLE_WORDS = 50_000
 
 def words(text: Column) -> Column:
     """Lower-case words of Latin letters, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+    return F.filter(_pieces(text), lambda w: w != "")
+
+
+def _pieces(text: Column) -> Column:
+    """``words``, and an empty text where something else stands before the first word or after the last."""
+    return F.split(F.lower(text), "[^a-z]+")
 
 
 def with_polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str, negations: list[str] | None = None) -> DataFrame:
@@ -24,15 +29,25 @@ def with_polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str, negati
     Rows stay where they are unless the lexicon is larger than TABLE_WORDS; then words are joined with it and brought
     together again by ``key``, which must be unique.
     """
-    known = lexicon.where("word IS NOT NULL AND polarity IS NOT NULL")
+    known = _known(lexicon)
     n = known.limit(TABLE_WORDS + 1).count()
     if n > TABLE_WORDS:
         return _joined(df, known, text, key, negations or [])
-    table = _table(known, n)
-    values = _each(F.col(text), lambda w, before: _value(table(w), before, negations or []))
-    hits = F.filter(values, lambda v: v.isNotNull())
-    mean = F.aggregate(hits, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")))
-    return df.withColumn("sentiment", F.coalesce(F.try_divide(mean["s"], mean["n"]), F.lit(0.0)))
+    table, before = _table(known, n), [w for w in negations or [] if w]
+    # one fold over the pieces, of which empty ones stand at the ends only and are in neither list; most words leave the state as it is
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(False).alias("turned"))
+
+    def step(a: Column, w: Column) -> Column:
+        value = table(w)
+        turns = w.isin(before) if before else F.lit(False)
+        hit = F.struct((a["s"] + F.when(a["turned"], value * -0.5).otherwise(value)).alias("s"), (a["n"] + 1).alias("n"), turns.alias("turned"))
+        if not before:
+            return F.when(value.isNull(), a).otherwise(hit)
+        other = F.struct(a["s"].alias("s"), a["n"].alias("n"), turns.alias("turned"))
+        return F.when(value.isNotNull(), hit).when(turns == a["turned"], a).otherwise(other)
+
+    mean = F.aggregate(_pieces(F.col(text)), start, step, lambda a: F.try_divide(a["s"], a["n"]))
+    return df.withColumn("sentiment", F.coalesce(mean, F.lit(0.0)))
 
 
 def polarity(df: DataFrame, lexicon: DataFrame, text: str, key: str, negations: list[str] | None = None) -> DataFrame:
@@ -48,12 +63,12 @@ def with_intensity(df: DataFrame, lexicon: DataFrame, text: str, intensifiers: d
     polarity of its own, and any other word ends its effect. One fold over the words of a row, which stays where it is; the
     lexicon has TABLE_WORDS entries at most.
     """
-    known = lexicon.where("word IS NOT NULL AND polarity IS NOT NULL")
+    known = _known(lexicon)
     n = known.limit(TABLE_WORDS + 1).count()
     if n > TABLE_WORDS:
         raise ValueError(f"intensity takes a lexicon of {TABLE_WORDS} words at most")
     table = _table(known, n)
-    strength = {**intensifiers, **dict.fromkeys(negations or [], -0.5)}
+    strength = {w: by for w, by in {**intensifiers, **dict.fromkeys(negations or [], -0.5)}.items() if w}
     modifiers = F.from_json(F.lit(json.dumps(strength)), "map<string,double>")
     one, none = F.lit(1.0), F.lit(0.0)
     start = F.struct(one.alias("factor"), none.alias("s"), F.lit(0).alias("n"))
@@ -63,12 +78,16 @@ def with_intensity(df: DataFrame, lexicon: DataFrame, text: str, intensifiers: d
         hit = F.struct(one.alias("factor"), (a["s"] + F.greatest(F.least(value * a["factor"], one), F.lit(-1.0))).alias("s"), (a["n"] + 1).alias("n"))
         other = F.struct(one.alias("factor"), a["s"].alias("s"), a["n"].alias("n"))
         carried = F.struct((a["factor"] * factor).alias("factor"), a["s"].alias("s"), a["n"].alias("n"))
-        return F.when(factor.isNotNull(), carried).when(value.isNotNull(), hit).otherwise(other)
+        return F.when(factor.isNotNull(), carried).when(value.isNotNull(), hit).when(a["factor"] == one, a).otherwise(other)
 
-    mean = F.aggregate(words(F.col(text)), start, step, lambda a: F.try_divide(a["s"], a["n"]))
+    mean = F.aggregate(_pieces(F.col(text)), start, step, lambda a: F.try_divide(a["s"], a["n"]))
     return df.withColumn("sentiment", F.coalesce(mean, none))
 
 
+def _known(lexicon: DataFrame) -> DataFrame:
+    return lexicon.where("word <> '' AND polarity IS NOT NULL")
+
+
 def _table(lexicon: DataFrame, n: int):
     """Polarity of a word, by an array of small maps that a hash of the word chooses from."""
     size = max(1, n)

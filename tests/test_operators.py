@@ -77,10 +77,10 @@ def test_polarity_by_table_and_by_join(spark, monkeypatch):
     rnd = random.Random(2)
     lexicon = {f"w{chr(97 + k % 26)}{chr(97 + k // 26)}": rnd.randint(-8, 8) / 8 for k in range(400)}
     known = [*lexicon, "not", "other", "Never"]
-    rows = [(k, " ".join(rnd.choice(known) for _ in range(rnd.randint(0, 60)))) for k in range(200)] + [(500, None), (501, ""), (502, "!?")]
+    rows = [(k, " ".join(rnd.choice(known) for _ in range(rnd.randint(0, 60)))) for k in range(200)] + [(500, None), (501, ""), (502, "!?"), (503, " not waa, never not wba!"), (504, "?waa not")]
     df = spark.createDataFrame(rows, "id long, t string")
-    words = spark.createDataFrame([*lexicon.items(), (None, 1.0), ("none", None)], "word string, polarity double")
-    for negations in ([], ["not", "never"]):
+    words = spark.createDataFrame([*lexicon.items(), (None, 1.0), ("none", None), ("", 1.0)], "word string, polarity double")
+    for negations in ([], ["not", "never"], ["", "not", "never"]):
         want = {k: plain_polarity(t, lexicon, negations) for k, t in rows}
         for most in (50_000, 10):
             monkeypatch.setattr(text, "TABLE_WORDS", most)
