@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from marginalia.scratch import written
 
-#: A side is broadcast only after its rows were counted and are no more than this.
+#: A side is broadcast only after its rows were counted and are no more than this,
 BROADCAST_ROWS = 1_000_000
+#: and after the bytes of its values were summed and are no more than this.
+BROADCAST_BYTES = 128 << 20
 
 #: Words as all operators see them: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,9 +25,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to be small, else as it is (then the join shuffles)."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if its rows and bytes were counted to be few, else as it is (then the join shuffles).
+
+    ``rows`` is a count that the caller has; values of fixed widths then need no further pass.
+    """
+    if rows is not None and rows > BROADCAST_ROWS:
+        return df
+    if rows is None or any(fixed_width(f.dataType) is None for f in df.schema):
+        counted = df.agg(F.count("*").alias("n"), F.sum(value_bytes(F.struct(*df.columns), df.schema)).alias("bytes")).first()
+        rows, size = max(rows or 0, counted["n"]), counted["bytes"] or 0
+    else:
+        size = rows * fixed_width(df.schema)
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def fixed_width(kind: DataType) -> int | None:
+    """Bytes that any value of a type takes in a row of Spark's, about; None where values differ."""
+    if isinstance(kind, StructType):
+        each = [fixed_width(f.dataType) for f in kind]
+        return None if None in each else 8 + sum(each)
+    return None if isinstance(kind, StringType | BinaryType | ArrayType | MapType) else 8
+
+
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """Bytes that a value takes in a row of Spark's, about, as a long; 8 of a null."""
+    width = fixed_width(kind)
+    if width is not None:
+        return F.lit(width).cast("bigint")
+    if isinstance(kind, StructType):
+        inner = sum((value_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+    elif isinstance(kind, ArrayType):
+        width = fixed_width(kind.elementType)
+        if width is not None:
+            inner = F.array_size(value).cast("bigint") * width
+        else:
+            inner = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + value_bytes(x, kind.elementType))
+    elif isinstance(kind, MapType):
+        inner = value_bytes(F.map_keys(value), ArrayType(kind.keyType)) + value_bytes(F.map_values(value), ArrayType(kind.valueType))
+    else:
+        inner = F.octet_length(value).cast("bigint")
+    return F.coalesce(inner, F.lit(0).cast("bigint")) + 8
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -1,0 +1,39 @@
+"""Bounds of broadcasts."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import common
+
+
+def hinted(df) -> bool:
+    return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_value_bytes_of_nested_values_and_nulls(spark):
+    kind = "a long, s string, b binary, f array<int>, t array<string>, n array<struct<x:int,y:string>>, m map<string,int>"
+    rows = [
+        (1, "äb", b"abc", [1, 2, 3], ["x", None, "yz"], [(1, "abc"), (None, None)], {"k": 1, "long": 2}),
+        (None, None, None, None, None, None, None),
+        (1, "", b"", [], [], [], {}),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = df.select(*[common.value_bytes(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).collect()
+    # an element takes 8 and its own bytes; a struct's inner 8 a field
+    assert tuple(got[0]) == (8, 3 + 8, 3 + 8, 24 + 8, (9 + 8 + 10) + 8, (8 + 8 + 11) + (8 + 8 + 8) + 8, ((9 + 12) + 8) + (16 + 8) + 8)
+    assert tuple(got[1]) == (8, 8, 8, 8, 8, 8, 8 + 8 + 8)
+    assert tuple(got[2]) == (8, 8, 8, 8, 8, 8, 8 + 8 + 8)
+
+
+@pytest.mark.parametrize("rows", [None, 10])
+def test_broadcast_ends_by_rows_and_by_bytes(spark, monkeypatch, rows):
+    flat = spark.range(10)
+    texts = flat.select("id", F.repeat(F.lit("x"), 100).alias("t"))
+    lists = flat.select("id", F.sequence(F.lit(1), F.lit(100)).alias("many"))
+    for df in (flat, texts, lists, texts.limit(0), lists.limit(0)):
+        assert hinted(common.broadcast_if_small(df, rows))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 500)
+    assert hinted(common.broadcast_if_small(flat, rows))
+    assert not hinted(common.broadcast_if_small(texts, rows)) and not hinted(common.broadcast_if_small(lists, rows))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 9)
+    assert not hinted(common.broadcast_if_small(flat, rows))
