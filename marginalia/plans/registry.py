@@ -457,12 +457,12 @@ def stream_once_by_sender(spark, d):
 @query(f"""WITH {_REVIEWS_SQL} SELECT session_id::VARCHAR AS session, title, CAST(sum(score) AS DOUBLE) AS total, count(score) AS n FROM reviews WHERE session_id < 2 GROUP BY 1, 2""")
 def stream_session_results(spark, d):
     top = incremental.folder(spark)
-    sent = _t(spark, d, "lineitem").selectExpr("l_suppkey % 3 AS session", "CAST(l_linenumber % 4 AS STRING) AS worker", "false AS ended", "concat('Book ', l_partkey % 1300) AS title", f"{_SCORE} AS score", "l_orderkey % 3 AS file")
+    sent = _t(spark, d, "lineitem").selectExpr("l_suppkey % 3 AS session", "CAST(l_linenumber % 4 AS STRING) AS worker", "false AS ended", "concat('Book ', l_partkey % 1300) AS title", f"{_SCORE} AS score", "l_orderkey % 3 AS file", "l_orderkey AS deal")
     # the workers of two sessions say that they are at the end, after all rows; those of the third don't
     ends = spark.range(8).selectExpr("id % 2 AS session", "CAST(id div 2 AS STRING) AS worker", "true AS ended", "CAST(NULL AS STRING) AS title", "CAST(NULL AS DOUBLE) AS score").coalesce(1)
-    sent.repartitionByRange(3, "file").drop("file").write.json(f"{top}/in")
+    each = files.write_waves(sent, f"{top}/in", "file", 3, "deal", _t(spark, d, "lineitem").count())
     ends.write.mode("append").json(f"{top}/in")
-    stream = files.incremental(spark, f"{top}/in", "session bigint, worker string, ended boolean, title string, score double")
+    stream = files.incremental(spark, f"{top}/in", "session bigint, worker string, ended boolean, title string, score double", files_per_batch=each)
     return incremental.run_appending(stateful.sums_of_ended_sessions(stream, 4), top)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from marginalia.sources import csv_splits
 BOOK_FIELDS = {"Title": "title", "publishedDate": "published", "authors": "authors", "publisher": "publisher", "categories": "categories"}
 REVIEW_FIELDS = {"Title": "title", "review/score": "score", "review/text": "text"}
 
+#: Rows of a file that is dealt for a stream, about.
+FILE_ROWS = 500_000
+
 
 def _csv(spark: SparkSession, path: str, fields: dict[str, str], row_id: str) -> DataFrame:
     """A row id and text fields by header name; empty fields, and all of a name that the header lacks, are "".
@@ -48,6 +53,18 @@ def incremental(spark: SparkSession, path: str, schema: str, fmt: str = "json",
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
+def write_waves(df: DataFrame, path: str, wave: str, waves: int, by: str, rows: int) -> int:
+    """Deal rows to JSON files for a stream, by the wave (a column from 0 to ``waves`` - 1) and a hash of ``by``; neither column is written.
+
+    Returns the files of a wave, for ``incremental`` to take in a batch: there are as many as ``rows`` (of all waves) ask for,
+    so neither a writing task nor a file grows with the table, and the number of batches doesn't either.
+    """
+    each = max(1, ceil(rows / (waves * FILE_ROWS)))
+    place = F.col(wave) * each + F.pmod(F.hash(by), F.lit(each))
+    df.repartitionById(waves * each, place.cast("int")).drop(wave, by).write.mode("append").json(path)
+    return each
+
+
 def write_result_lines(df: DataFrame, folder: str, query: int) -> None:
     """A query's rows as JSON lines in its own folder; what was there goes."""
     df.write.mode("overwrite").json(f"{folder}/query={query}")

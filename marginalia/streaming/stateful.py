@@ -20,6 +20,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Buckets of a session's keys; numbers of a sender that are one entry of state, as a power of two; rows emitted at once.
 BUCKETS, NUMBER_BITS, ROWS = 32, 20, 4096
+#: Keys whose values a task holds before it passes them on to the state.
+HELD_KEYS = 100_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -93,13 +95,18 @@ class _Sums(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         ends: set[str] = set()
+        held: dict[str, tuple] = {}
         for batch in rows:
             said = batch["ended"].fillna(False).astype(bool)
             ends.update(batch.loc[said, "worker"].dropna().tolist())
             here = batch[~said & batch["title"].notna()].groupby("title", sort=False)["score"].agg(["sum", "count", "size"])
             for title, total, n, seen in here.itertuples():
-                old = self.sums.getValue((title,)) if self.sums.containsKey((title,)) else (0.0, 0, 0)
-                self.sums.updateValue((title,), (old[0] + float(total), old[1] + int(n), old[2] + int(seen)))
+                old = held.get(title, (0.0, 0, 0))
+                held[title] = (old[0] + float(total), old[1] + int(n), old[2] + int(seen))
+            if len(held) > HELD_KEYS:
+                self._add(held)
+                held = {}
+        self._add(held)
         for worker in ends:
             self.ended.updateValue((worker,), (1,))
         if ends and sum(1 for _ in self.ended.keys()) >= self.workers:
@@ -113,6 +120,12 @@ class _Sums(StatefulProcessor):
             self.sums.clear()
             self.ended.clear()
 
+    def _add(self, held: dict[str, tuple]) -> None:
+        """One access of the state a title, however many batches of rows a title comes in."""
+        for title, (total, n, seen) in held.items():
+            old = self.sums.getValue((title,)) or (0.0, 0, 0)
+            self.sums.updateValue((title,), (old[0] + total, old[1] + n, old[2] + seen))
+
     def close(self) -> None:
         pass
 

@@ -1,0 +1,66 @@
+"""Queries over streams deal their rows to files that don't grow with the tables, in as many batches as before."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.plans.registry import QUERIES
+from marginalia.sources import files
+from marginalia.streaming import incremental, stateful
+
+
+def written_files(path):
+    return [f"{path}/{name}" for name in os.listdir(path) if name.startswith("part-")]
+
+
+def test_waves_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_ROWS", 100)
+    df = spark.range(6000).selectExpr("id", "CAST(id % 3 AS INT) AS file", "id AS deal")
+    assert files.write_waves(df, f"file://{tmp_path}/in", "file", 3, "deal", 6000) == 20
+    lines = {path: open(path).read().splitlines() for path in written_files(f"{tmp_path}/in")}
+    assert len(lines) == 60 and max(map(len, lines.values())) < 200
+    assert sorted(int(line[6:-1]) for found in lines.values() for line in found) == list(range(6000))
+    # a file holds rows of one wave
+    assert all(len({int(line[6:-1]) % 3 for line in found}) == 1 for found in lines.values())
+
+
+@pytest.mark.parametrize(
+    ("name", "inputs", "batches"),
+    [
+        ("stream_session_results", ["in"], 4),
+    ],
+)
+def test_files_grow_in_number_alone(spark, sf_dir, tmp_path, monkeypatch, name, inputs, batches):
+    monkeypatch.setattr(files, "FILE_ROWS", 50)
+    monkeypatch.setattr(incremental, "folder", lambda _: f"file://{tmp_path}")
+    got = QUERIES[name](spark, sf_dir).count()
+    for one in inputs:
+        rows = spark.read.text(f"file://{tmp_path}/{one}").groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count")).first()
+        assert rows[0] > 12 and rows[1] < 150
+    assert len([n for n in os.listdir(f"{tmp_path}/state/commits") if n.isdigit()]) <= batches + 1
+    monkeypatch.undo()
+    assert got == QUERIES[name](spark, sf_dir).count()
+
+
+def test_state_is_asked_once_a_title(monkeypatch):
+    import pandas as pd
+
+    asked = []
+
+    class State(dict):
+        def getValue(self, key):
+            asked.append(key)
+            return self.get(key)
+
+        containsKey = dict.__contains__
+        updateValue = dict.__setitem__
+
+    sums = stateful._Sums(1)
+    sums.sums, sums.ended = State(), State()
+    batch = pd.DataFrame({"ended": [False] * 3, "worker": "a", "title": ["p", "q", "p"], "score": [1.0, None, 2.0]})
+    assert list(sums.handleInputRows(("x", 0), iter([batch] * 40), None)) == []
+    assert sums.sums == {("p",): (120.0, 80, 80), ("q",): (0.0, 0, 40)} and len(asked) == 2
+    monkeypatch.setattr(stateful, "HELD_KEYS", 1)
+    list(sums.handleInputRows(("x", 0), iter([batch] * 40), None))
+    assert sums.sums == {("p",): (240.0, 160, 160), ("q",): (0.0, 0, 80)}
