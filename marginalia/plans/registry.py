@@ -471,15 +471,16 @@ def stream_session_results(spark, d):
 def stream_join_when_built(spark, d):
     top = incremental.folder(spark)
     part, names = _t(spark, d, "part"), _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    items = part.selectExpr("p_partkey % 2 AS session", "CAST(p_partkey % 3 AS STRING) AS sender", "false AS ended", "p_name", "p_partkey", "p_partkey % 3 AS file")
+    items = part.selectExpr("p_partkey % 2 AS session", "CAST(p_partkey % 3 AS STRING) AS sender", "false AS ended", "p_name", "p_partkey", "p_partkey % 3 AS file", "p_partkey AS deal")
     item_ends = spark.range(6).selectExpr("id % 2 AS session", "CAST(id % 3 AS STRING) AS sender", "true AS ended", "CAST(NULL AS STRING) AS p_name", "CAST(NULL AS BIGINT) AS p_partkey").coalesce(1)
-    reviews = _t(spark, d, "lineitem").join(names, "l_partkey").selectExpr("l_orderkey % 2 AS session", "'r' AS sender", "false AS ended", "p_name", "l_orderkey", "l_orderkey % 5 AS file")
+    reviews = _t(spark, d, "lineitem").join(names, "l_partkey").selectExpr("l_orderkey % 2 AS session", "'r' AS sender", "false AS ended", "p_name", "l_orderkey", "l_orderkey % 5 AS file", "l_orderkey AS deal")
     review_ends = spark.range(2).selectExpr("id AS session", "'r' AS sender", "true AS ended", "CAST(NULL AS STRING) AS p_name", "CAST(NULL AS BIGINT) AS l_orderkey").coalesce(1)
-    for rows, ends, n, name in ((items, item_ends, 3, "items"), (reviews, review_ends, 5, "reviews")):
-        rows.repartitionByRange(n, "file").drop("file").write.json(f"{top}/{name}")
+    each = {}
+    for rows, ends, n, name, table in ((items, item_ends, 3, "items", "part"), (reviews, review_ends, 5, "reviews", "lineitem")):
+        each[name] = files.write_waves(rows, f"{top}/{name}", "file", n, "deal", _t(spark, d, table).count())
         ends.write.mode("append").json(f"{top}/{name}")
-    one = files.incremental(spark, f"{top}/items", "session bigint, sender string, ended boolean, p_name string, p_partkey bigint")
-    two = files.incremental(spark, f"{top}/reviews", "session bigint, sender string, ended boolean, p_name string, l_orderkey bigint")
+    one = files.incremental(spark, f"{top}/items", "session bigint, sender string, ended boolean, p_name string, p_partkey bigint", files_per_batch=each["items"])
+    two = files.incremental(spark, f"{top}/reviews", "session bigint, sender string, ended boolean, p_name string, l_orderkey bigint", files_per_batch=each["reviews"])
     met = incremental.run_appending(stateful.joined_when_built(one, two, "p_name", "p_partkey", 3), top)
     return met.groupBy("session", "p_name", "p_partkey").agg(F.count("*").alias("n"))
 

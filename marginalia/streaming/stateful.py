@@ -13,6 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -152,15 +153,33 @@ def sums_of_ended_sessions(messages: DataFrame, workers: int) -> DataFrame:
     return dealt.groupBy("session", "bucket").transformWithStateInPandas(_Sums(workers), "session string, title string, total double, n bigint", "Append", "None")
 
 
+_WAITING = pa.schema([("key", pa.string()), ("body", pa.string())])
+
+
+def _packed(reviews: pd.DataFrame) -> bytes:
+    """Rows as one value of the state, in Arrow's format."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _WAITING, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_pandas(reviews, _WAITING, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(pa.py_buffer(bytes(rows))) as found:
+        return found.read_pandas()
+
+
 class _Join(StatefulProcessor):
-    """Reviews wait until the items are complete, then meet the last item of their key."""
+    """Reviews wait until the items are complete, then meet the last item of their key. They wait in chunks of up to ROWS, each
+    an entry of its own: the state is asked for chunks, not for rows, and none grows with a session."""
 
     def __init__(self, item_ends: int, review_ends: int) -> None:
         self.needed = (item_ends, review_ends)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = handle.getMapState("items", "key string", "place bigint, body string")
-        self.waiting = handle.getListState("waiting", "key string, body string")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "rows binary")
+        self.chunks = handle.getValueState("chunks", "n bigint")
         self.ended = handle.getMapState("ended", "side int, sender string", "at bigint")
 
     def _ends(self) -> list[bool]:
@@ -172,6 +191,8 @@ class _Join(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         built_before = self._ends()[0]
         known: dict[str, str | None] = {}
+        newest: dict[str, tuple] = {}
+        chunks = first = self.chunks.get()[0] if self.chunks.exists() else 0
         for batch in rows:
             said = batch["ended"].astype(bool)
             for side, sender in set(batch.loc[said, ["side", "sender"]].dropna().itertuples(index=False, name=None)):
@@ -179,35 +200,45 @@ class _Join(StatefulProcessor):
             data = batch[~said & batch["key"].notna()]
             items = data[data["side"] == 0].sort_values("place").drop_duplicates("key", keep="last")
             for k, place, body in items[["key", "place", "body"]].itertuples(index=False, name=None):
-                if not self.items.containsKey((k,)) or self.items.getValue((k,))[0] <= place:
-                    self.items.updateValue((k,), (int(place), body))
-            reviews = list(data.loc[data["side"] == 1, ["key", "body"]].itertuples(index=False, name=None))
+                if k not in newest or newest[k][0] <= place:
+                    newest[k] = (int(place), body)
+            reviews = data.loc[data["side"] == 1, ["key", "body"]]
+            if len(newest) > HELD_KEYS or (built_before and len(reviews)):
+                self._put(newest)
+                newest = {}
             if built_before:
                 yield self._meet(key, reviews, known)
-            elif reviews:
-                self.waiting.appendList(reviews)
+                continue
+            for at in range(0, len(reviews), ROWS):
+                self.waiting.updateValue((chunks,), (_packed(reviews[at : at + ROWS]),))
+                chunks += 1
+        self._put(newest)
         built, over = self._ends()
-        if built and not built_before and self.waiting.exists():
-            some = []
-            for review in self.waiting.get():
-                some.append(review)
-                if len(some) == ROWS:
-                    yield self._meet(key, some, known)
-                    some = []
-            yield self._meet(key, some, known)
+        if built and not built_before:
+            for chunk in range(chunks):
+                yield self._meet(key, _unpacked(self.waiting.getValue((chunk,))[0]), known)
             self.waiting.clear()
+            self.chunks.clear()
+        elif chunks > first:
+            self.chunks.update((chunks,))
         if built and over:
             self.items.clear()
             self.ended.clear()
 
-    def _meet(self, key: Any, reviews: list[tuple], known: dict[str, str | None]) -> pd.DataFrame:
-        out = []
-        for k, body in reviews:
+    def _put(self, newest: dict[str, tuple]) -> None:
+        for k, (place, body) in newest.items():
+            old = self.items.getValue((k,))
+            if old is None or old[0] <= place:
+                self.items.updateValue((k,), (place, body))
+
+    def _meet(self, key: Any, reviews: pd.DataFrame, known: dict[str, str | None]) -> pd.DataFrame:
+        for k in reviews["key"].unique():
             if k not in known:
-                known[k] = self.items.getValue((k,))[1] if self.items.containsKey((k,)) else None
-            if known[k] is not None:
-                out.append((key[0], k, known[k], body))
-        return _frame(out, ["session", "key", "item", "review"])
+                item = self.items.getValue((k,))
+                known[k] = item[1] if item else None
+        met = reviews[reviews["key"].isin([k for k, item in known.items() if item is not None])]
+        items = [known[k] for k in met["key"]]
+        return pd.DataFrame({"session": [key[0]] * len(met), "key": met["key"].tolist(), "item": items, "review": met["body"].tolist()}, dtype=object)
 
     def close(self) -> None:
         pass

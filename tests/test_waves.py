@@ -29,6 +29,7 @@ def test_waves_of_files(spark, tmp_path, monkeypatch):
     ("name", "inputs", "batches"),
     [
         ("stream_session_results", ["in"], 4),
+        ("stream_join_when_built", ["items", "reviews"], 6),
     ],
 )
 def test_files_grow_in_number_alone(spark, sf_dir, tmp_path, monkeypatch, name, inputs, batches):
@@ -64,3 +65,44 @@ def test_state_is_asked_once_a_title(monkeypatch):
     monkeypatch.setattr(stateful, "HELD_KEYS", 1)
     list(sums.handleInputRows(("x", 0), iter([batch] * 40), None))
     assert sums.sums == {("p",): (240.0, 160, 160), ("q",): (0.0, 0, 80)}
+
+
+def test_reviews_wait_in_chunks():
+    import pandas as pd
+
+    class State(dict):
+        def getValue(self, key):
+            return self.get(key)
+
+        containsKey = dict.__contains__
+        updateValue = dict.__setitem__
+
+    class One:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    join = stateful._Join(1, 1)
+    join.items, join.waiting, join.ended, join.chunks = State(), State(), State(), One()
+    columns = ["side", "sender", "ended", "key", "place", "body"]
+    n = stateful.ROWS + 10
+    reviews = pd.DataFrame({"side": 1, "sender": "r", "ended": False, "key": ["p", "q"] * (n // 2), "place": 0, "body": [f"{k}" for k in range(n)]})
+    for k in range(3):  # three batches of the stream, the last of two frames
+        assert list(join.handleInputRows(("x", 0), iter([reviews] * (1 + (k == 2))), None)) == []
+    assert len(join.waiting) == 8 and join.chunks.get() == (8,)
+    more = pd.DataFrame([(0, "a", False, "p", 3, "new"), (0, "a", False, "p", 2, "old"), (0, "a", True, None, None, None)], columns=columns)
+    met = pd.concat(join.handleInputRows(("x", 0), iter([more]), None))
+    assert met["review"].tolist() == [f"{k}" for _ in range(4) for k in range(0, n, 2)] and set(met["item"]) == {"new"} and set(met["session"]) == {"x"}
+    assert not join.waiting and not join.chunks.exists()
+    (late,) = join.handleInputRows(("x", 0), iter([reviews[:3]]), None)
+    assert late["review"].tolist() == ["0", "2"]
