@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -82,17 +81,33 @@ def merged_by(df: DataFrame, key: str, value: str, function: Callable[[Any, Any]
                 held = {k: last}
         yield _merged_frame(held)
 
-    def final(group: pd.DataFrame) -> pd.DataFrame:
-        one = group["key"].iloc[0]
-        return pd.DataFrame({"key": pd.Series([None if one != one else one], dtype=object), "value": [reduce(function, group.sort_values("part", kind="stable")["value"].tolist())]})
-
-    out = parts.select("key", "value").schema
-    merged = parts.mapInPandas(fold, schema).groupBy("key").applyInPandas(final, out)
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: list[tuple] = []  # the key that may go on in the next batch
+        for batch in batches:
+            keys, values = [k for k, _ in last], [v for _, v in last]
+            for k, v in batch[["key", "value"]].itertuples(index=False, name=None):
+                k = None if k != k else k  # noqa: PLR0124
+                if keys and keys[-1] == k:
+                    values[-1] = function(values[-1], v)
+                else:
+                    keys.append(k)
+                    values.append(v)
+            last = list(zip(keys[-1:], values[-1:], strict=True))
+            yield _values_frame(keys[:-1], values[:-1])
+        yield _values_frame([k for k, _ in last], [v for _, v in last])
+
+    # a key's parts come to one task one after the other: a step a part, none a key
+    dealt = parts.mapInPandas(fold, schema).repartition("key").sortWithinPartitions("key", "part")
+    merged = dealt.mapInPandas(final, parts.select("key", "value").schema)
     return merged.select(F.col("key").alias(key), F.col("value").alias(value))
 
 
+def _values_frame(keys: list, values: list) -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series(keys, dtype=object), "value": pd.Series(values, dtype=object)})
+
+
 def _merged_frame(held: dict[Any, list]) -> pd.DataFrame:
-    return pd.DataFrame({"key": pd.Series(list(held), dtype=object), "value": pd.Series([v for v, _ in held.values()], dtype=object), "part": [p for _, p in held.values()]})
+    return _values_frame(list(held), [v for v, _ in held.values()]).assign(part=[p for _, p in held.values()])
 
 
 def row_counts(results: dict[str, DataFrame]) -> DataFrame:

@@ -306,3 +306,26 @@ def test_result_batches_survive_a_crash_between_write_and_commit(spark, tmp_path
     run()
     found = files.read_result_batches(spark, out, 3, schema).select("s", "n").collect()
     assert sorted(map(tuple, found)) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_merging_many_keys_takes_no_step_a_key(spark):
+    n = 20_000
+    df = spark.range(2 * n).selectExpr("id % 20000 AS k", "CAST(id AS STRING) AS v", "-id AS at").where("k <> 7 OR id > 100")
+    merged = aggregates.merged_by(df, "k", "v", lambda a, b: f"{a},{b}", order="at")
+    plan = merged._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+    got = {r["k"]: r["v"] for r in merged.collect()}
+    assert got == {k: f"{k + n},{k}" if k != 7 else f"{k + n}" for k in range(n)}
+
+
+def test_merged_parts_go_on_over_batches_and_tasks(spark):
+    rows = [("hot", str(k), k) for k in range(3000)] + [(None, str(k), k) for k in range(3000)] + [("z", "1", 5)]
+    df = spark.createDataFrame(rows, "k string, v string, at long").repartition(7)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {r["k"]: r["v"] for r in aggregates.merged_by(df, "k", "v", lambda a, b: f"{a},{b}", order="at").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    every = ",".join(map(str, range(3000)))
+    assert got == {"hot": every, None: every, "z": "1"}
