@@ -501,8 +501,7 @@ def source_books_csv(spark, d):
         "row_id", "concat(title, '\n of \"', publisher, '\"') AS Title", "if(year = 0, '', concat(year, '-01')) AS publishedDate",
         "concat('[\\'', array_join(authors, '\\', \\''), '\\']') AS authors", "publisher", "concat('[\\'', array_join(categories, ' & '), '\\']') AS categories",
     )
-    dealt = books.repartitionByRange(3, "row_id").sortWithinPartitions("row_id").drop("row_id")
-    files.write_csv(dealt, f"{top}/books")
+    files.write_csv_in_order(books, f"{top}/books", "row_id")
     return files.books(spark, f"{top}/books").select("row_id", "title", "year", F.array_join("authors", "|").alias("authors"))
 
 
@@ -510,7 +509,7 @@ def source_books_csv(spark, d):
 def source_reviews_csv(spark, d):
     top = incremental.folder(spark)
     texts = _texts(spark, d).selectExpr("review_id", "title AS Title", "review_id % 5 + 0.5 AS `review/score`", "text AS `review/text`")
-    files.write_csv(texts.repartitionByRange(3, "review_id").sortWithinPartitions("review_id").drop("review_id"), f"{top}/reviews")
+    files.write_csv_in_order(texts, f"{top}/reviews", "review_id")
     return files.reviews(spark, f"{top}/reviews")
 
 

@@ -13,8 +13,8 @@ from marginalia.sources import csv_splits
 BOOK_FIELDS = {"Title": "title", "publishedDate": "published", "authors": "authors", "publisher": "publisher", "categories": "categories"}
 REVIEW_FIELDS = {"Title": "title", "review/score": "score", "review/text": "text"}
 
-#: Rows of a file that is dealt for a stream, about.
-FILE_ROWS = 500_000
+#: Rows of a file that is dealt for a stream, and bytes of a CSV file's values, about.
+FILE_ROWS, FILE_BYTES = 500_000, 64 << 20
 
 
 def _csv(spark: SparkSession, path: str, fields: dict[str, str], row_id: str) -> DataFrame:
@@ -99,6 +99,16 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_csv_in_order(df: DataFrame, path: str, order: str, least: int = 3) -> None:
+    """``df`` in ranges of ``order``, which isn't written: its rows are in that order within the files and by the files' names.
+
+    There are as many files as the bytes of the values ask for, and at least ``least``, so none grows with the table.
+    """
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("bigint") for c in df.columns]
+    held = df.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+    write_csv(df.repartitionByRange(max(least, ceil(held / FILE_BYTES)), order).sortWithinPartitions(order).drop(order), path)
+
+
 def golden_titles(spark: SparkSession, path: str) -> DataFrame:
     """Titles of expected result lines ``{"title": ...}``."""
     return spark.read.text(path).select(F.get_json_object("value", "$.title").alias("title")).where("title IS NOT NULL")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from marginalia.plans import registry
 from marginalia.sources import csv_splits, files
 
 HEADER = "Title,publishedDate,authors,publisher,categories"
@@ -62,3 +63,13 @@ def test_an_open_quote_and_files_that_cannot_be_split(spark, tmp_path):
     assert not csv_splits.splittable([("viewfs://store/in/x.csv", 5)])
     (row,) = files.books(spark, f"file://{tmp_path}/c.csv.gz").collect()
     assert (row["title"], row["authors"], row["year"]) == ("t", ["A\nB"], 2001)
+
+
+@pytest.mark.parametrize(("name", "folder", "width"), [("source_reviews_csv", "reviews", 40_000), ("source_books_csv", "books", 2_000)])
+def test_written_files_grow_in_number_alone(spark, sf_dir, tmp_path, monkeypatch, name, folder, width):
+    want = sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(files, "FILE_BYTES", width)
+    monkeypatch.setattr(registry.incremental, "folder", lambda _: f"file://{tmp_path}")
+    assert sorted(map(tuple, registry.QUERIES[name](spark, sf_dir).collect())) == want
+    sizes = [f.stat().st_size for f in (tmp_path / folder).glob("part-*.csv")]
+    assert len(sizes) >= sum(sizes) / width / 2 > 3 and max(sizes) < 5 * width
