@@ -449,8 +449,9 @@ def stream_once_by_sender(spark, d):
     # files out of order, of which the last ones repeat a third of the messages
     sent = _numbered(spark, d).withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int"))
     again = sent.where("number % 3 = 0").withColumn("file", F.lit(3))
-    sent.unionByName(again).repartitionByRange(4, "file").drop("file").write.json(f"{top}/in")
-    stream = files.incremental(spark, f"{top}/in", "user_id bigint, number bigint, event_id bigint, event_type string")
+    every = sent.unionByName(again).withColumn("deal", F.col("event_id"))
+    each = files.write_waves(every, f"{top}/in", "file", 4, "deal", _t(spark, d, "events").count() * 4 // 3)
+    stream = files.incremental(spark, f"{top}/in", "user_id bigint, number bigint, event_id bigint, event_type string", files_per_batch=each)
     return incremental.run_appending(stateful.once_by_sender(stream, "user_id", "number"), top)
 
 

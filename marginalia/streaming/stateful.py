@@ -21,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Buckets of a session's keys; numbers of a sender that are one entry of state, as a power of two; rows emitted at once.
 BUCKETS, NUMBER_BITS, ROWS = 32, 20, 4096
+#: Buckets of senders: each is one group of a batch, however many senders there are.
+SENDER_BUCKETS = 2048
 #: Keys whose values a task holds before it passes them on to the state.
 HELD_KEYS = 100_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,29 +49,40 @@ def _merge(begins: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[n
     return new, all_begins[first], all_ends[last]
 
 
+def sender_bucket(sender: Column) -> Column:
+    return F.pmod(F.xxhash64(sender.cast("string")), F.lit(SENDER_BUCKETS)).cast("int")
+
+
 def once_by_sender(stream: DataFrame, sender: str, number: str) -> DataFrame:
     """Rows of ``stream`` without those whose sender sent their number before. Append mode.
 
     State is the numbers seen as intervals, so senders whose numbers come about in order leave one interval for each 2^20
-    numbers, and each gap that is still open adds one. Rows without a sender or a number go, as nothing tells whether they
+    numbers, and each gap that is still open adds one. Senders are dealt to buckets, whose intervals are merged at once, as a
+    step of Python a sender and batch would take longer than its rows. Rows without a sender or a number go, as nothing tells whether they
     are repeats; numbers may be any, in any order, and come again at any time. Of rows with one number any one is kept.
     """
     columns = stream.columns
     keyed = stream.where(F.col(sender).isNotNull() & F.col(number).isNotNull()).select(
-        F.struct(*columns).alias("row"), F.col(sender).cast("string").alias("sender"), F.shiftright(F.col(number).cast("bigint"), NUMBER_BITS).alias("block"),
-        F.col(number).cast("bigint").alias("number"),
+        F.struct(*columns).alias("row"), F.col(sender).cast("string").alias("sender"), sender_bucket(F.col(sender)).alias("bucket"),
+        F.shiftright(F.col(number).cast("bigint"), NUMBER_BITS).alias("block"), F.col(number).cast("bigint").alias("number"),
     )
+    width = 1 << NUMBER_BITS
 
     def new_ones(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begins, ends = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))
+        senders, begins, ends = state.get if state.exists else ([], [], [])
+        places = {one: at for at, one in enumerate(senders)}
+        begins, ends = np.array(begins, np.int64), np.array(ends, np.int64)
         for batch in batches:
-            numbers, first = np.unique(batch["number"].to_numpy(np.int64), return_index=True)
+            # a sender's numbers in the block lie 2 * width after those of the sender before, so that no two intervals touch
+            codes, found = pd.factorize(batch["sender"])
+            known = np.array([places.setdefault(one, len(places)) for one in found], np.int64)
+            numbers, first = np.unique(known[codes] * (2 * width) + (batch["number"].to_numpy(np.int64) & (width - 1)), return_index=True)
             new, begins, ends = _merge(begins, ends, numbers)
             yield batch.iloc[np.sort(first[np.isin(numbers, new)])][["row"]]
-        state.update((begins.tolist(), ends.tolist()))
+        state.update((list(places), begins.tolist(), ends.tolist()))
 
-    once = keyed.groupBy("sender", "block").applyInPandasWithState(
-        new_ones, keyed.select("row").schema, "begins array<bigint>, ends array<bigint>", "append", GroupStateTimeout.NoTimeout
+    once = keyed.groupBy("bucket", "block").applyInPandasWithState(
+        new_ones, keyed.select("row").schema, "senders array<string>, begins array<bigint>, ends array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
     return once.select("row.*")
 
