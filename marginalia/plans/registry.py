@@ -538,11 +538,12 @@ def eof_barrier(spark, d):
 def stream_in_order(spark, d):
     top = incremental.folder(spark)
     sent = _t(spark, d, "events").withColumn("number", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint"))
-    # four files, one a batch, in which each sender's numbers are out of order; the last ones come twice
+    # four waves of files, one a batch, in which each sender's numbers are out of order; the last ones come twice
     drawn = sent.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(4)).cast("int"))
     again = drawn.where("number % 5 = 0").withColumn("file", F.lit(4))
-    drawn.unionByName(again).select("file", "user_id", "number", "event_id", "event_type").repartitionByRange(5, "file").drop("file").write.json(f"{top}/in")
-    stream = files.incremental(spark, f"{top}/in", "user_id bigint, number bigint, event_id bigint, event_type string")
+    every = drawn.unionByName(again).select("file", "user_id", "number", "event_id", "event_type", F.col("event_id").alias("deal"))
+    each = files.write_waves(every, f"{top}/in", "file", 5, "deal", _t(spark, d, "events").count() * 5 // 4)
+    stream = files.incremental(spark, f"{top}/in", "user_id bigint, number bigint, event_id bigint, event_type string", files_per_batch=each)
     return incremental.run_appending(incremental.in_order(stream, "user_id", "number"), top)
 
 

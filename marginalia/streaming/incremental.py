@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from marginalia.operators.aggregates import total
 from marginalia.scratch import new_folder
+from marginalia.streaming import stateful
 
 
 def folder(spark: SparkSession) -> str:
@@ -72,40 +73,51 @@ def in_order(stream: DataFrame, sender: str, number: str, patience: str | None =
     A row whose number is above the next one waits in the state until the gap closes; a number that was released
     already is a repeat and goes. With ``patience`` (such as ``10 minutes``, processing time) a sender that was not
     heard of for so long has its waiting rows released past the gap. ``place`` long counts a sender's released rows;
-    rows without a sender or a number, or numbered below 1, go. Append mode.
+    rows without a sender or a number, or numbered below 1, go. Append mode. Senders are dealt to buckets, each of which is one
+    group of a batch; with ``patience`` each sender is a group of its own, as its time is its own.
     """
     others = [c for c in stream.columns if c not in (sender, number)]
     bodies = stream.where(F.col(sender).isNotNull() & (F.col(number) >= 1)).select(
         F.col(sender).cast("string").alias("sender"),
         F.col(number).cast("bigint").alias("number"),
         F.to_json(F.struct(sender, *others), _TIMES).alias("body"),
+        (F.col(sender).cast("string") if patience else stateful.sender_bucket(F.col(sender))).alias("bucket"),
     )
     waits = GroupStateTimeout.ProcessingTimeTimeout if patience else GroupStateTimeout.NoTimeout
     millis = int(pd.Timedelta(patience).total_seconds() * 1000) if patience else 0
 
     def release(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        after, place, numbers, texts = state.get if state.exists else (1, 0, [], [])
-        held = dict(zip(numbers, texts, strict=True))
+        senders, afters, places, owners, numbers, texts = map(list, state.get) if state.exists else ([], [], [], [], [], [])
+        known = {one: at for at, one in enumerate(senders)}
+        held: dict[int, dict[int, str]] = {}
+        for at, n, body in zip(owners, numbers, texts, strict=True):
+            held.setdefault(at, {})[n] = body
         if not state.hasTimedOut:
             for batch in batches:
-                for n, body in zip(batch["number"].tolist(), batch["body"].tolist(), strict=True):
-                    if n >= after:
-                        held.setdefault(n, body)
+                for one, n, body in zip(batch["sender"].tolist(), batch["number"].tolist(), batch["body"].tolist(), strict=True):
+                    at = known.setdefault(one, len(known))
+                    if at == len(afters):
+                        afters.append(1)
+                        places.append(0)
+                    if n >= afters[at]:
+                        held.setdefault(at, {}).setdefault(n, body)
         out = []
-        for n in sorted(held):
-            if n > after and not state.hasTimedOut:
-                break
-            place += 1
-            out.append((n, place, held.pop(n)))
-            after = n + 1
-        state.update((after, place, list(held), list(held.values())))
-        if patience and held:
+        for at, mine in held.items():
+            for n in sorted(mine):
+                if n > afters[at] and not state.hasTimedOut:
+                    break
+                places[at] += 1
+                out.append((n, places[at], mine.pop(n)))
+                afters[at] = n + 1
+        left = [(at, n, body) for at, mine in held.items() for n, body in mine.items()]
+        state.update((list(known), afters, places, *([one[k] for one in left] for k in range(3))))
+        if patience and left:
             state.setTimeoutDuration(millis)
-        yield pd.DataFrame(out, columns=["number", "place", "body"])
+        for at in range(0, len(out), stateful.ROWS):
+            yield pd.DataFrame(out[at : at + stateful.ROWS], columns=["number", "place", "body"])
 
-    released = bodies.groupBy("sender").applyInPandasWithState(
-        release, "number bigint, place bigint, body string", "after bigint, place bigint, numbers array<bigint>, bodies array<string>", "append", waits
-    )
+    waiting = "senders array<string>, afters array<bigint>, places array<bigint>, owners array<int>, numbers array<bigint>, bodies array<string>"
+    released = bodies.groupBy("bucket").applyInPandasWithState(release, "number bigint, place bigint, body string", waiting, "append", waits)
     kept = stream.select(sender, *others).schema
     fields = F.from_json("body", kept, _TIMES)
     return released.select(*[F.col("number").alias(c) if c == number else fields[c].alias(c) for c in stream.columns], "place")

@@ -31,6 +31,7 @@ def test_waves_of_files(spark, tmp_path, monkeypatch):
         ("stream_session_results", ["in"], 4),
         ("stream_join_when_built", ["items", "reviews"], 6),
         ("stream_once_by_sender", ["in"], 4),
+        ("stream_in_order", ["in"], 5),
     ],
 )
 def test_files_grow_in_number_alone(spark, sf_dir, tmp_path, monkeypatch, name, inputs, batches):
@@ -125,3 +126,16 @@ def test_many_senders_are_few_groups(spark, tmp_path, monkeypatch):
         assert got == sorted((str(k), m) for k in range(300) for m in (n - 1, 0, -1, n, 5))
         sent.where("v < 1500").coalesce(1).write.mode("append").json(f"{top}/in")
     assert state_groups(spark, top) <= 15
+
+
+def test_many_senders_in_order_are_few_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "SENDER_BUCKETS", 5)
+    top = f"file://{tmp_path}"
+    sent = spark.range(6000).selectExpr("CAST(id % 300 AS STRING) AS s", "id DIV 300 + 1 AS n", "id AS v")
+    # the first half of numbers lacks 3, then everything comes, with repeats
+    for part, last in (("n <= 10 AND n <> 3", 2), ("n > 0", 20)):
+        sent.where(part).repartition(1).write.mode("append").json(f"{top}/in")
+        stream = files.incremental(spark, f"{top}/in", "s string, n long, v long")
+        got = sorted(map(tuple, incremental.run_appending(incremental.in_order(stream, "s", "n"), top).collect()))
+        assert got == sorted((str(k), n, (n - 1) * 300 + k, n) for k in range(300) for n in range(1, last + 1))
+    assert state_groups(spark, top) <= 5
