@@ -29,7 +29,7 @@ def test_waves_of_files(spark, tmp_path, monkeypatch):
     ("name", "inputs", "batches"),
     [
         ("stream_session_results", ["in"], 4),
-        ("stream_join_when_built", ["items", "reviews"], 6),
+        ("stream_join_when_built", ["reviews"], 6),
         ("stream_once_by_sender", ["in"], 4),
         ("stream_in_order", ["in"], 5),
     ],
